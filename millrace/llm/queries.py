@@ -7,19 +7,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, packing, token_files, url_filter
+from millrace.llm import audio, bpe, language, packing, quality, token_files, topk, url_filter
 from millrace.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.store(table(spark, sf_dir, "documents")))
+
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digests(token_files.read(spark, path))
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_token_files, op7_best_fit_packing, op8_url_filter, op10_bpe)}
+    return {f.__name__: f for f in (op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
