@@ -9,12 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, language, packing, quality, token_files, topk, url_filter
+from millrace.llm import audio, bpe, language, near_dedup, packing, quality, token_files, topk, url_filter
 from millrace.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.store(table(spark, sf_dir, "documents")))
 
@@ -51,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
