@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, language, near_dedup, packing, quality, token_files, topk, url_filter
+from millrace.llm import audio, bpe, html_extract, language, near_dedup, packing, quality, token_files, topk, url_filter
 from millrace.session import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +50,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op9_html_extract, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
