@@ -170,10 +170,15 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("x", "y", "rows", "more").mapInArrow(run, "a long, b long")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id and kept of each row. row_key tells which row of a repeated doc_id it is."""
+def _key(docs: DataFrame) -> DataFrame:
+    """docs with row_key, which tells rows of the same doc_id apart by their texts."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, node, n and component of each row."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    keyed = _key(docs.select("doc_id", "text"))
     rows = stored(spark, _rows(keyed, False), "shingled")
     nodes = rows.where("n > 0").select("node", "row_key", "bands").dropDuplicates(["node"])
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -200,8 +205,23 @@ def dedup(docs: DataFrame) -> DataFrame:
     more = _confirmed(_plausible(pairs, sets), sets).union(_in_blocks(unclear.where(F.col("k") > SINGLY), sets))
     found = stored(spark, components(stored(spark, links.union(more), "links")), "components")
 
-    named = rows.select("doc_id", "row_key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.select("doc_id", "row_key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    named = stored(docs.sparkSession, _grouped(docs), "grouped")
     least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "component", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates, all columns: one row of each component, of the least doc_id (null last), and every row
+    without words."""
+    named = _grouped(docs).where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
+    chosen = named.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    stay = docs.where(worded).withColumn("_key", F.xxhash64("doc_id", "text")).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return stay.unionByName(docs.where(~worded))

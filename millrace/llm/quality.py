@@ -4,8 +4,8 @@ each text had SHRINK n-grams more that say nothing: else long texts would be in
 
 A document without words has weight 0. Null text counts as empty. Rows without a label, or with a null one, teach the
 model of all documents only; of several labels of a document the lowest counts. Repeated rows are scored and sampled
-alike; rows that tie with the last one sampled are sampled too. Extra columns stay; those called log_weight, gumbel_key or
-keep are replaced. Without labels of both kinds every document is kept. An empty table gives an empty result.
+alike; rows that tie with the last one sampled are sampled too. Extra columns are ignored; carried ones
+that are called like a result are left out. Without labels of both kinds every document is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,10 +69,12 @@ def fit(docs: DataFrame, known: dict[int, int]) -> np.ndarray:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, weights: np.ndarray, known: dict[int, int]) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, the key's order as a whole number, and the label where it is known."""
+def score(docs: DataFrame, weights: np.ndarray, known: dict[int, int], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, log_weight, gumbel_key, the key's order as a whole number, and the label where it is known."""
     spark = docs.sparkSession
     ship(spark)
+    made = ["log_weight", "gumbel_key", "key_order", "label"]
+    schema = docs.select(*carry).schema.add("log_weight", "double").add("gumbel_key", "double").add("key_order", "long").add("label", "integer")
     shared = spark.sparkContext.broadcast((weights, known))
 
     def run(batches):
@@ -89,9 +91,9 @@ def score(docs: DataFrame, weights: np.ndarray, known: dict[int, int]) -> DataFr
             key = sums + _gumbel(ids, hashes)
             bits = key.view(np.int64)
             label = [labels.get(d) for d in batch.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sums), pa.array(key), pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1))), pa.array(label, pa.int32())], names=["doc_id", "log_weight", "gumbel_key", "key_order", "label"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(sums), pa.array(key), pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1))), pa.array(label, pa.int32())], names=[*carry, *made])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, key_order long, label int")
+    return docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).mapInArrow(run, schema)
 
 
 def cut(scored: DataFrame) -> float:
@@ -124,11 +126,12 @@ def kth_largest(scored: DataFrame, k: int, column: str = "key_order") -> int:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, gumbel_key and keep of each document. The sample has as many documents as weigh at least the
-    cut; it is drawn without replacement, by the largest sums of log weight and Gumbel noise."""
+def resample(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, log_weight, gumbel_key and keep of each document. The sample has as many documents as weigh at
+    least the cut; it is drawn without replacement, by the largest sums of log weight and Gumbel noise."""
+    carry = tuple(c for c in carry if c not in ("log_weight", "gumbel_key", "key_order", "label", "keep"))
     known = labelled(labels)
-    scored = stored(docs.sparkSession, score(docs, fit(docs, known), known), "quality")
+    scored = stored(docs.sparkSession, score(docs, fit(docs, known), known, carry), "quality")
     size = scored.where(F.col("log_weight") >= cut(scored)).count()
     threshold = kth_largest(scored, size) if size else 2**63 - 1
-    return scored.select("doc_id", "log_weight", "gumbel_key", (F.col("key_order") >= F.lit(threshold)).alias("keep"))
+    return scored.select(*carry, "log_weight", "gumbel_key", (F.col("key_order") >= F.lit(threshold)).alias("keep"))

@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.dedup(table(spark, sf_dir, "documents")).drop("row_key")
+    return near_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
