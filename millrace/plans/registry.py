@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import decisions, reports, scalars
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return scalars.QUERIES | decisions.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalars.SQL | decisions.SQL | reports.sql()
