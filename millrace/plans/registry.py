@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import decisions, reports, scalars
+from millrace.plans import decisions, feeds, reports, scalars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return scalars.QUERIES | decisions.QUERIES | reports.QUERIES
+    return scalars.QUERIES | decisions.QUERIES | reports.QUERIES | feeds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalars.SQL | decisions.SQL | reports.sql()
+    return scalars.SQL | decisions.SQL | reports.sql() | feeds.SQL
