@@ -51,3 +51,24 @@ def candidate_urls(slug: Column, domain: Column) -> Column:
     places = ("https://boards.greenhouse.io/{}", "https://jobs.lever.co/{}", "https://jobs.ashbyhq.com/{}", "https://{}.jobs.personio.de", "https://{}.pinpointhq.com")
     urls = [F.concat(F.lit(p.split("{}")[0]), slug, F.lit(p.split("{}")[1])) for p in places]
     return F.array_compact(F.array(*urls, F.when(domain.isNotNull(), F.concat(F.lit("https://careers."), domain))))
+
+
+#: What a page of each system holds, in order.
+PAGE_WORDS = {"GREENHOUSE": ("greenhouse.io", "boards.greenhouse"), "LEVER": ("lever.co", "lever-jobs-iframe"), "ASHBY": ("ashbyhq.com", "ashby-job-posting"), "WORKDAY": ("myworkdayjobs.com", "workday")}
+
+
+def system_from_html(html: Column) -> Column:
+    low = F.lower(html)
+    out = None
+    for ats, (first, second) in PAGE_WORDS.items():
+        found = low.contains(first) | low.contains(second)
+        out = F.when(found, ats) if out is None else out.when(found, ats)
+    return out
+
+
+def resolution(url: Column, html: Column) -> Column:
+    """struct(ats, slug, confidence): the URL is sure, a page's words count where no URL pattern does, else null."""
+    by_url, by_page = system_from_url(url), system_from_html(html)
+    sure = F.struct(by_url["ats"].alias("ats"), by_url["slug"].alias("slug"), F.lit("HIGH").alias("confidence"))
+    likely = F.struct(by_page.alias("ats"), F.lit(None).cast("string").alias("slug"), F.lit("MEDIUM").alias("confidence"))
+    return F.when(by_url.isNotNull(), sure).when(by_page.isNotNull(), likely)

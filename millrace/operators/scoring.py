@@ -98,8 +98,8 @@ def jaccard_points(mine: Column, theirs: Column, points: int = 15) -> Column:
 
 
 def urgency(total_days: Column, remaining_days: Column) -> Column:
-    """1.2 when overdue, else 1 - remaining / total between 0 and 1.5; 1 without dates."""
-    return F.when(total_days.isNull() | remaining_days.isNull(), 1.0).when(remaining_days < 0, 1.2).when(total_days <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.5), 1 - remaining_days / total_days)))
+    """1.2 when overdue or without any time, else 1 - remaining / total between 0 and 1.5; 1 without dates."""
+    return F.when(total_days.isNull() | remaining_days.isNull(), 1.0).when((remaining_days < 0) | (total_days <= 0), 1.2).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.5), 1 - remaining_days / total_days)))
 
 
 def visa_friendliness(*signals: Column) -> Column:

@@ -246,6 +246,6 @@ SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_n
     "snk05_delete_purge": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND (CAST(o_orderdate AS DATE) >= DATE '1998-01-01' - 730 OR o_orderstatus = 'P')",
     "sco13_visa_signals": f"WITH {SQL_COMPANIES} SELECT company_id, CASE WHEN has_sponsored_before IS NULL THEN 'UNKNOWN' ELSE (['LOW', 'MEDIUM', 'MEDIUM', 'HIGH'])[CAST(has_sponsored_before AS INTEGER) + CAST(english_speaking AS INTEGER) + CAST(international_workforce AS INTEGER) + 1] END AS friendliness FROM companies",
     "sco10_actions": """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 20 AS t, o_orderkey % 31 - 5 AS r, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT k AS o_orderkey, CAST(CASE WHEN k % 7 = 0 THEN 1.0 WHEN r < 0 THEN 1.2 WHEN t <= 0 THEN 1.0 ELSE greatest(0.0, least(1.5, 1 - CAST(r AS DOUBLE) / t)) END AS DOUBLE) AS urgency, CAST(trunc(CAST(0.6 AS DOUBLE) * (k % 101) + CAST(0.4 AS DOUBLE) * (k % 77)) AS BIGINT) AS priority,
+SELECT k AS o_orderkey, CAST(CASE WHEN k % 7 = 0 THEN 1.0 WHEN r < 0 OR t <= 0 THEN 1.2 ELSE greatest(0.0, least(1.5, 1 - CAST(r AS DOUBLE) / t)) END AS DOUBLE) AS urgency, CAST(trunc(CAST(0.6 AS DOUBLE) * (k % 101) + CAST(0.4 AS DOUBLE) * (k % 77)) AS BIGINT) AS priority,
   CASE WHEN k % 5 < 3 THEN d + ([7, 7, 14])[k % 5 + 1] END AS next_day FROM a""",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import analytics, search, state
 from millrace.plans import bindings as b
-from millrace.session import table
+from millrace.session import shared_dir, table
+from millrace.streaming import relationships
 
 _R = "CASE WHEN {w} > 0 THEN floor(CAST({p} AS DOUBLE) / {w} * 1000 + 0.5) / 1000 ELSE 0.0 END"
 
@@ -169,7 +172,27 @@ def stm08_overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.overdue(o, F.lit("1997-01-01").cast("date")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
+def stm03_stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of each relationship from a stream of its events, run to the end of what is there."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    query = relationships.run_available(relationships.latest_status(b.relationship_events(events)), f"{base}/out", f"{base}/log", "complete")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def stm02_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user and kind of event once a stream's day of delay, by the first event: counted by kind."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumns({"day": F.to_date("ts"), "ts": F.col("ts").cast("timestamp")})
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    once = relationships.once_per_key(events, ["user_id", "event_type", "day"], "ts", "1 day")
+    relationships.run_available(once.select("user_id", "event_type", "day"), f"{base}/out", f"{base}/log").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (stm02_stream_once, stm03_stream_status, agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
 
 
 def sql() -> dict[str, str]:
@@ -193,6 +216,8 @@ def sql() -> dict[str, str]:
         "prj03_tech_stack": f"WITH {_SKILLS} SELECT job_id, {', '.join(f"coalesce(array_to_string(list_sort(list(DISTINCT skill_name) FILTER (category = '{c}')), ','), '') AS {c.lower()}" for c in 'ANR')} FROM skills GROUP BY 1",
         "join02_without_score": f"WITH {b.JOBS} SELECT source, count(*) FILTER (id NOT IN (SELECT doc_id FROM labels)) AS unscored, count(*) FILTER (id IN (SELECT doc_id FROM labels)) AS scored FROM jobs WHERE is_active GROUP BY 1",
         "join15_orphans": "SELECT (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS lines, (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS orders",
+        "stm02_stream_once": "SELECT event_type, count(DISTINCT (user_id, CAST(ts AS DATE))) AS n FROM events GROUP BY 1",
+        "stm03_stream_status": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT relationship_id, status, events FROM replayed",
         "win05_streaks": STREAKS,
         "win07_replay": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT * FROM replayed",
         "stm04_ghosts": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT relationship_id, last_contact_at FROM replayed WHERE status = 'CONTACTED' AND last_contact_at < TIMESTAMP '2024-01-25' - INTERVAL 14 DAY AND (last_reply_at IS NULL OR last_reply_at < last_contact_at)",
