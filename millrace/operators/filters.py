@@ -6,7 +6,6 @@ Every stage is a Column of struct(keep, reason); null input keeps, as does whate
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.config import Filters
@@ -106,9 +105,11 @@ def refilter_described(jobs: DataFrame, rules: Filters) -> DataFrame:
 
 def duplicate_of_system(jobs: DataFrame) -> DataFrame:
     """Adds duplicate_of: an own posting is a duplicate of the first kept own one of its fingerprint, an aggregator's of
-    the first kept one at all. Rows are taken by discovered_date, then id."""
-    order = W.partitionBy("fingerprint").orderBy("discovered_date", "id").rowsBetween(W.unboundedPreceding, -1)
+    the first kept one at all. Rows are taken by discovered_date, then id; the first ones come from pre-aggregated minima."""
     kept = F.col("decision") == "KEEP"
-    own = F.first(F.when(kept & ~F.col("is_aggregator"), F.col("source")), ignorenulls=True).over(order)
-    anyone = F.first(F.when(kept, F.col("source")), ignorenulls=True).over(order)
-    return jobs.withColumn("duplicate_of", F.when(kept, F.when(F.col("is_aggregator"), anyone).otherwise(own)))
+    place = F.struct("discovered_date", "id")
+    first = F.struct(place.alias("place"), F.col("source").alias("source"))
+    firsts = jobs.where(kept).groupBy("fingerprint").agg(F.min(F.when(~F.col("is_aggregator"), first)).alias("_own"), F.min(first).alias("_any"))
+    before = F.when(F.col("is_aggregator"), F.col("_any")).otherwise(F.col("_own"))
+    found = F.when(kept & (before["place"] < place), before["source"])
+    return jobs.join(firsts, "fingerprint", "left").withColumn("duplicate_of", found).drop("_own", "_any")

@@ -14,15 +14,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
-def ingest_outcomes(batch: DataFrame, known: DataFrame, order: list[Column]) -> DataFrame:
+def ingest_outcomes(batch: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """Adds outcome to a batch (source, external_id): error for a blank id, duplicate for an id known before or met
-    earlier in the batch, else created."""
+    earlier in the batch, else created. The order columns tell the rows of an id apart. The first row of an id comes from
+    a pre-aggregated minimum, so that an id may repeat any number of times."""
     blank = F.coalesce(F.trim("external_id") == "", F.lit(True))
-    ids = known.select("source", "external_id").distinct().withColumn("_known", F.lit(True))
-    rank = F.row_number().over(W.partitionBy("source", "external_id").orderBy(*order))
-    joined = batch.join(ids, ["source", "external_id"], "left").withColumn("_rank", rank)
-    outcome = F.when(blank, "error").when(F.col("_known") | (F.col("_rank") > 1), "duplicate").otherwise("created")
-    return joined.withColumn("outcome", outcome).drop("_known", "_rank")
+    keys = ["source", "external_id"]
+    ids = known.select(*keys).distinct().withColumn("_known", F.lit(True))
+    first = batch.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = batch.join(first, keys, "left").join(ids, keys, "left")
+    outcome = F.when(blank, "error").when(F.col("_known") | (F.struct(*order) != F.col("_first")), "duplicate").otherwise("created")
+    return joined.withColumn("outcome", outcome).drop("_known", "_first")
 
 
 def ingestion_stats(outcomes: DataFrame) -> DataFrame:
@@ -43,10 +45,9 @@ def enrich_links(jobs: DataFrame) -> DataFrame:
 def supersede(jobs: DataFrame) -> DataFrame:
     """Kept aggregator rows that share a fingerprint with a kept own posting are refused."""
     kept = F.col("decision") == "KEEP"
-    owned = F.max(F.when(kept & ~F.col("is_aggregator"), True)).over(W.partitionBy("fingerprint"))
-    loses = kept & F.col("is_aggregator") & F.coalesce(owned, F.lit(False))
-    marked = jobs.withColumn("_loses", loses)
-    return marked.withColumns({"reason": F.when(F.col("_loses"), "superseded by endpoint").otherwise(F.col("reason")), "decision": F.when(F.col("_loses"), "SKIP").otherwise(F.col("decision"))}).drop("_loses")
+    owned = jobs.where(kept & ~F.col("is_aggregator")).select("fingerprint").distinct().withColumn("_owned", F.lit(True))
+    marked = jobs.join(owned, "fingerprint", "left").withColumn("_loses", kept & F.col("is_aggregator") & F.coalesce("_owned", F.lit(False)))
+    return marked.withColumns({"reason": F.when(F.col("_loses"), "superseded by endpoint").otherwise(F.col("reason")), "decision": F.when(F.col("_loses"), "SKIP").otherwise(F.col("decision"))}).drop("_loses", "_owned")
 
 
 def deactivate_missing(jobs: DataFrame, seen: DataFrame) -> DataFrame:

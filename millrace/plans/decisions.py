@@ -183,7 +183,7 @@ def ded01_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = jobs(spark, sf_dir)
     batch = j.select("id", "source", F.when(F.col("id") % 23 == 0, "").otherwise((F.col("id") % 500).cast("string")).alias("external_id"))
     known = j.where("id % 10 = 0").select("source", (F.col("id") % 400).cast("string").alias("external_id"))
-    return postings.ingestion_stats(postings.ingest_outcomes(batch, known, [F.asc("id")]))
+    return postings.ingestion_stats(postings.ingest_outcomes(batch, known, ["id"]))
 
 
 def snk01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,9 +39,9 @@ def test_funnel_fixture(spark):
 def test_ingestion_is_idempotent(spark):
     batch = spark.createDataFrame([(1, "s", "a"), (2, "s", "a"), (3, "s", ""), (4, "s", None), (5, "s", "b")], "id int, source string, external_id string")
     none = batch.limit(0)
-    first = {r["id"]: r["outcome"] for r in postings.ingest_outcomes(batch, none, [F.asc("id")]).collect()}
+    first = {r["id"]: r["outcome"] for r in postings.ingest_outcomes(batch, none, ["id"]).collect()}
     assert first == {1: "created", 2: "duplicate", 3: "error", 4: "error", 5: "created"}
-    again = postings.ingest_outcomes(batch, batch, [F.asc("id")]).where("outcome = 'created'")
+    again = postings.ingest_outcomes(batch, batch, ["id"]).where("outcome = 'created'")
     assert again.count() == 0
 
 
