@@ -6,14 +6,16 @@ a column that already has the name of a result is replaced. An empty table gives
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import tokens
+from millrace.llm.text import buffers, chunks
 from millrace.session import ship
 
 #: Characters of text that a worker encodes at once, of a leaf of tree concatenation, and tokens of the first window.
@@ -36,8 +38,13 @@ def _join(model, left: list, right: list) -> list:
 
 
 def tree_concat(model, unit: str) -> list:
-    """(id, spelling) of one unsplit unit: leaves are encoded independently, then neighbours are joined pairwise."""
-    level = [[(t.id, t.value) for t in model.tokenize(unit[k : k + LEAF])] for k in range(0, len(unit), LEAF)]
+    """(id, spelling) of one unsplit unit: leaves are encoded independently, in one call that the library may spread over
+    threads, then neighbours are joined pairwise."""
+    from tokenizers import Tokenizer
+
+    bare = Tokenizer(model)  # neither normalizes nor splits
+    leaves = bare.encode_batch([unit[k : k + LEAF] for k in range(0, len(unit), LEAF)], add_special_tokens=False)
+    level = [list(zip(e.ids, e.tokens, strict=True)) for e in leaves]
     while len(level) > 1:
         level = [_join(model, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
     return level[0] if level else []
@@ -63,18 +70,13 @@ def long_piece(tokenizer, piece: str) -> list[int]:
     return [k for unit in units for k, _ in (tree_concat(tokenizer.model, unit) if len(unit) > LEAF else [(t.id, t.value) for t in tokenizer.model.tokenize(unit)])]
 
 
-def _parts(sizes: list[int], limit: int = BATCH) -> Iterator[tuple[int, int]]:
-    first, total = 0, 0
-    for k, n in enumerate(sizes):
-        if k > first and total + n > limit:
-            yield first, k
-            first, total = k, 0
-        total += n
-    if first < len(sizes):
-        yield first, len(sizes)
+def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of about BATCH bytes of text, with their texts; null counts as empty."""
+    for a, b in chunks(buffers(column)[1], BATCH):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
-def _ids_array(encoded: list[bytes], arrow: pa.DataType) -> pa.Array:
+def ids_array(encoded: list[bytes], arrow: pa.DataType) -> pa.Array:
     ends = [0]
     for x in encoded:
         ends.append(ends[-1] + len(x) // 4)
@@ -93,9 +95,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     def run(batches):
         enc = tokens.encoder(vocabulary, long_piece)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for a, b in _parts([len(t) for t in texts]):
-                found = _ids_array([x + tail for x in enc.ids(texts[a:b])], pa.list_(pa.int32()))
+            for a, b, texts in slices(batch.column(text)):
+                found = ids_array([x + tail for x in enc.ids(texts)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), found], names=[*kept, ids])
 
     return docs.select(*kept, *([] if text in kept else [text])).mapInArrow(run, schema)
@@ -111,8 +112,10 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", text: str = "d
         tokenizer = tokens.encoder(vocabulary, long_piece).tokenizer
         spelling = _spellings(tokenizer)
         for batch in batches:
-            texts = [b"".join([spelling[k] for k in x or ()]).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                texts = [b"".join([spelling[k] for k in x or ()]).decode("utf-8", "replace") for x in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, text])
 
     return encoded.mapInArrow(run, schema)
 
@@ -125,11 +128,21 @@ def _spellings(tokenizer) -> list[bytes]:
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded in one pass."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        enc = tokens.encoder(vocabulary, long_piece)
+        spelling = _spellings(enc.tokenizer)
+        decimal = [str(k).encode() for k in range(len(spelling))]
+        for batch in batches:
+            for a, b, texts in slices(batch.column("text")):
+                out = []
+                for encoded in enc.ids(texts):
+                    ids = np.frombuffer(encoded, "<u4").tolist()
+                    text = b"".join([spelling[k] for k in ids]).decode("utf-8", "replace")
+                    out.append((len(ids), hashlib.sha256(b",".join([decimal[k] for k in ids])).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
