@@ -75,3 +75,28 @@ def csv_lines(payloads: DataFrame, schema: str) -> DataFrame:
     """Rows of quoted CSV text without its header line."""
     lines = payloads.select(F.posexplode(F.split("payload", "\r?\n")).alias("n", "line")).where("n > 0 AND trim(line) <> ''")
     return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
+
+
+def zipped(payloads: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Postings that a page holds as parallel runs of values: the first group of each pattern, matched by position; what a
+    shorter run lacks is null."""
+    runs = [F.regexp_extract_all("payload", F.lit(p), 1).alias(name) for name, p in patterns.items()]
+    return payloads.select(*runs).select(F.explode(F.arrays_zip(*patterns)).alias("z")).select("z.*")
+
+
+#: A row of a job table: link with a numeric id and title, then further cells; and a bare link.
+_ROW, _LINK = r"(?is)<tr[^>]*>(.*?)</tr>", r"""(?is)(<a[^>]*href=["'][^"']*/job/[^"']*/\d+/?["'][^>]*>.*?</a>)"""
+
+
+def job_table(payloads: DataFrame, key: str) -> DataFrame:
+    """Postings of HTML listings: rows of tables if a page has any with a posting, else bare links; the first of each id.
+    The place stands in the second cell, or in the link before its first hyphen."""
+    href = lambda c: F.regexp_extract(c, r"""(?i)href=["']([^"']*/job/[^"']*/\d+/?)["']""", 1)
+    rows = F.filter(F.regexp_extract_all("payload", F.lit(_ROW), 1), lambda r: href(r) != "")
+    parts = F.when(F.size(rows) > 0, rows).otherwise(F.regexp_extract_all("payload", F.lit(_LINK), 1))
+    each = payloads.select(key, F.posexplode(parts).alias("n", "part")).withColumn("apply_url", href(F.col("part")))
+    cell = F.regexp_extract("part", r"(?is)<td[^>]*>.*?</td>\s*<td[^>]*>(.*?)</td>", 1)
+    slug = F.regexp_extract("apply_url", r"/job/([^/-]*)-", 1)
+    made = each.select(key, "n", F.regexp_extract("apply_url", r"/(\d+)/?$", 1).alias("external_id"), strip_html(F.regexp_extract("part", r"(?is)<a[^>]*>(.*?)</a>", 1)).alias("title"), F.coalesce(blank_to_null(strip_html(cell)), blank_to_null(slug)).alias("location"), "apply_url")
+    rank = F.row_number().over(W.partitionBy(key, "external_id").orderBy("n"))
+    return made.withColumn("_r", rank).where("_r = 1").drop("_r", "n")

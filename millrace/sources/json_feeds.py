@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import blank_to_null, epoch_date, iso_date, salary, strip_html, tags_to_spaces, truncate
+from millrace.functions.text import blank_to_null, epoch_date, iso_date, posted_ago, salary, strip_html, tags_to_spaces, truncate
 
 #: What every source gives.
 RAW_JOB = ("external_id", "title", "company_name", "location", "description", "apply_url", "posted_date", "salary_min", "salary_max", "salary_currency", "raw_json")
@@ -76,9 +76,16 @@ def _city_country(city: Column, country: Column) -> Column:
     return F.when(city == country, city).otherwise(blank_to_null(F.concat_ws(", ", city, country)))
 
 
-def parse(payloads: DataFrame, source: str, *kept: str) -> DataFrame:
+def workday(as_of: Column) -> Feed:
+    """Workday's postings say how many days ago they were made."""
+    bullets = lambda v: blank_to_null(F.array_join(F.try_variant_get(v, "$.bulletFields", "array<string>"), " | "))
+    last = lambda v: F.nullif(F.regexp_extract(F.try_variant_get(v, "$.externalPath", "string"), r"([^/_]+)$", 1), F.lit(""))
+    return Feed(("$.jobPostings",), {"external_id": either(at("$.bulletFields[0]"), last), "title": at("$.title"), "location": at("$.locationsText"), "description": bullets, "apply_url": at("$.externalPath"), "posted_date": through(lambda c: posted_ago(c, as_of), at("$.postedOn"))})
+
+
+def parse(payloads: DataFrame, source: str | Feed, *kept: str) -> DataFrame:
     """The postings in payloads, with the kept columns of their payload and the posting's place there."""
-    feed = FEEDS[source]
+    feed = source if isinstance(source, Feed) else FEEDS[source]
     whole = F.try_parse_json("payload")
     postings = F.coalesce(*[F.try_variant_get(whole, p, "array<variant>") for p in feed.arrays])
     items = payloads.select(*kept, F.posexplode(postings).alias("position", "item"))
