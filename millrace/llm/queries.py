@@ -30,7 +30,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.digests(token_files.read(spark, path))
+    return token_files.digests(spark, path)
 
 
 def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

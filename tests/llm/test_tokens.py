@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -46,13 +47,17 @@ def test_bpe_query_rows(spark):
     for r in got:
         assert r["ids"] == ids(BYTE, r["text"])
         assert r["decoded"] == library.decode(r["ids"], skip_special_tokens=False)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = [(r["doc_id"], len(r["ids"]), digest(",".join(map(str, r["ids"])).encode()), digest(r["decoded"].encode())) for r in got]
+    assert sorted(map(tuple, bpe.digests(docs, BYTE).collect()), key=str) == sorted(want, key=str)
     assert bpe.digests(docs.limit(0), BYTE).count() == 0
 
 
 def test_token_files(spark, tmp_path):
     token_files.write(spark.createDataFrame(DOCS, SCHEMA), f"file://{tmp_path}/t", WORD)
-    back = token_files.read(spark, f"file://{tmp_path}/t")
-    rows = sorted(token_files.digests(back).collect(), key=lambda r: r["start"])
+    rows = sorted(token_files.digests(spark, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"])
+    back = {(r["doc_id"], r["start"]): r["ids"] for r in token_files.read(spark, f"file://{tmp_path}/t").collect()}
+    assert all(zlib.crc32(np.array(back[r["doc_id"], r["start"]], "<u4")) == r["ids_crc32"] for r in rows)
     assert [r["doc_id"] for r in rows] == sorted((d[0] for d in DOCS), key=lambda k: (k is not None, k))
     start = 0
     want = sorted((d if d is not None else -1, zlib.crc32(np.array([*ids(WORD, t), 1], "<u4"))) for d, t, _ in DOCS)
@@ -61,7 +66,7 @@ def test_token_files(spark, tmp_path):
         start += r["n_tokens"]
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids_crc32"]) for r in rows) == want
     token_files.write(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/e", WORD)
-    assert token_files.read(spark, f"file://{tmp_path}/e").count() == 0
+    assert token_files.read(spark, f"file://{tmp_path}/e").count() == token_files.digests(spark, f"file://{tmp_path}/e").count() == 0
 
 
 def check_packing(rows, docs, capacity):
