@@ -13,8 +13,8 @@ from collections.abc import Callable
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Pieces that a worker keeps, and the longest piece that it keeps.
-MAX_KEPT, MAX_RUNS, MAX_PIECE = 500_000, 400_000, 64
+#: Pieces and runs of letters that a worker keeps, twice, and the longest that it keeps.
+MAX_KEPT, MAX_RUNS, MAX_PIECE = 200_000, 300_000, 64
 #: Latin letters that are their own normal form, then ASCII punctuation but for the apostrophe: two units of the splitting.
 _LATIN, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]", r"[!-&(-/:-@\[-`{-~]"
 _WORD, _SPACED_WORD = re.compile(f"({_LATIN}+)({_MARKS}*)"), re.compile(f"( ?{_LATIN}+)({_MARKS}*)")
@@ -23,8 +23,29 @@ _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Kept(dict):
+    """Values by text, made when they are missed. When it is full, its entries become the older half: an entry that is
+    missed again comes back from there, the others go with the next filling."""
+
+    def __init__(self, most: int, make: Callable[[str], bytes]):
+        super().__init__()
+        self.most, self.make, self.older = most, make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+            if len(text) > MAX_PIECE:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
+        return value
+
+
 class Encoder:
-    """ids(text) gives the ids of a whole text as little-endian unsigned 32-bit bytes."""
+    """ids(texts) gives the ids of whole texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, long_piece: Callable | None = None, longest: int = 4096):
         from tokenizers import Tokenizer
@@ -34,9 +55,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.drops_white = "word" in os.path.basename(path)
         self.simple = (_WORD if self.drops_white else _SPACED_WORD).fullmatch
-        self.known: dict[str, bytes] = {"": b""}
-        self.runs: dict[str, bytes] = {}
         self.long_piece, self.longest = long_piece, longest
+        self.known, self.runs = _Kept(MAX_KEPT, self._piece), _Kept(MAX_RUNS, self._run)
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_white:
@@ -44,47 +64,25 @@ class Encoder:
         found = text.split(" ") if "  " not in text and text[:1] != " " and text[-1:] != " " and not _odd_white(text) else _SPLIT.split(text)
         return [found[0], *[" " + x for x in found[1:]]]
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the pieces that are new: letters before punctuation once for each run of letters, others in one call."""
-        new = {p for pieces in texts for p in pieces if p not in self.known}
-        if len(self.known) + len(new) > MAX_KEPT:
-            self.known = {"": b""}
-            new = {p for pieces in texts for p in pieces if p}
-        if len(self.runs) > MAX_RUNS:
-            self.runs = {}
-        known, rest = self.known, []
-        for piece in new:
-            if len(piece) <= MAX_PIECE and (m := self.simple(piece)):
-                known[piece] = self._run(m[1]) + (self._run(m[2]) if m[2] else b"")
-            elif self.long_piece and len(piece) > self.longest:
-                known[piece] = np.array(self.long_piece(self.tokenizer, piece), "<u4").tobytes()
-            else:
-                rest.append(piece)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece: letters and the punctuation after them each for themselves, others by the library."""
+        if len(piece) <= MAX_PIECE and (m := self.simple(piece)):
+            letters, marks = m.groups()
+            if self.drops_white:
+                letters = letters.lower()
+            return self.runs[letters] + self.runs[marks] if marks else self.runs[letters]
+        if self.long_piece and len(piece) > self.longest:
+            return np.array(self.long_piece(self.tokenizer, piece), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
         """The ids of one unit of the vocabulary's own splitting: Latin letters (after a space), or ASCII punctuation."""
-        if self.drops_white:
-            run = run.lower()
-        ids = self.runs.get(run)
-        if ids is None:
-            spelt = run.encode().decode("latin-1").translate(_SPELT)
-            ids = self.runs[run] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
-        return ids
+        spelt = run.encode().decode("latin-1").translate(_SPELT)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts]
-        self.learn(split)
-        known = self.known
-        out = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for pieces in split:
-            for p in pieces:
-                if len(p) > MAX_PIECE:
-                    known.pop(p, None)
-        return out
+        find = self.known.__getitem__
+        return [b"".join(map(find, self.pieces(t))) for t in texts]
 
 
 def _odd_white(text: str) -> bool:
