@@ -41,7 +41,8 @@ def with_match(df: DataFrame, rules: Scoring, title: str = "title", description:
     advice = F.when((c("_score") >= rules.apply_score) & (n >= rules.apply_matches), "APPLY").when((c("_score") >= rules.maybe_score) & (n >= rules.maybe_matches), "MAYBE").otherwise("SKIP")
     some, none = ~is_blank(c("_text")), F.array().cast("array<string>")
     full = F.struct(F.when(some, c("_score")).otherwise(0).alias("score"), F.when(some, c("_matched")).otherwise(none).alias("matched"), F.when(some, c("_missing")).otherwise(none).alias("missing"), F.when(some, advice).otherwise("SKIP").alias("recommendation"))
-    return out.withColumn("match", full).drop("_text", "_low", "_hits", "_bonus", "_matched", "_missing", "_score")
+    # a generator of one row: filters on the score stay above it, where they don't repeat the patterns
+    return out.select(*[x for x in df.columns if x != "match"], F.explode(F.array(full)).alias("match"))
 
 
 def interview_factor(rate: Column) -> Column:
