@@ -8,18 +8,21 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Pieces and runs of letters that a worker keeps, twice, and the longest that it keeps.
-MAX_KEPT, MAX_RUNS, MAX_PIECE = 200_000, 300_000, 64
+#: Pieces and runs of punctuation that a worker keeps, twice, and the longest piece that it keeps.
+MAX_KEPT, MAX_MARKS, MAX_PIECE = 150_000, 20_000, 64
 #: Latin letters that are their own normal form, then ASCII punctuation but for the apostrophe: two units of the splitting.
 _LATIN, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]", r"[!-&(-/:-@\[-`{-~]"
 _WORD, _SPACED_WORD = re.compile(f"({_LATIN}+)({_MARKS}*)"), re.compile(f"( ?{_LATIN}+)({_MARKS}*)")
 #: Byte-level vocabularies spell bytes that aren't visible Latin-1 characters as the code points from 256 on.
 _SPELT = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_SPACE = chr(_SPELT[32])
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -56,7 +59,7 @@ class Encoder:
         self.drops_white = "word" in os.path.basename(path)
         self.simple = (_WORD if self.drops_white else _SPACED_WORD).fullmatch
         self.long_piece, self.longest = long_piece, longest
-        self.known, self.runs = _Kept(MAX_KEPT, self._piece), _Kept(MAX_RUNS, self._run)
+        self.known, self.marks = _Kept(MAX_KEPT, self._piece), _Kept(MAX_MARKS, self._run)
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_white:
@@ -65,20 +68,29 @@ class Encoder:
         return [found[0], *[" " + x for x in found[1:]]]
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a piece: letters and the punctuation after them each for themselves, others by the library."""
+        """The ids of a piece: letters and the punctuation after them each for themselves, others by the library. Letters
+        alone, lower-cased where the vocabulary does that, are a piece of their own and kept as one."""
         if len(piece) <= MAX_PIECE and (m := self.simple(piece)):
             letters, marks = m.groups()
             if self.drops_white:
                 letters = letters.lower()
-            return self.runs[letters] + self.runs[marks] if marks else self.runs[letters]
+            if marks:
+                return self.known[letters] + self.marks[marks]
+            return self._run(letters) if letters == piece else self.known[letters]
         if self.long_piece and len(piece) > self.longest:
             return np.array(self.long_piece(self.tokenizer, piece), "<u4").tobytes()
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
         """The ids of one unit of the vocabulary's own splitting: Latin letters (after a space), or ASCII punctuation."""
-        spelt = run.encode().decode("latin-1").translate(_SPELT)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        if run.isascii():  # only its first character can be a space
+            spelt = run if run[0] != " " else _SPACE + run[1:]
+        else:
+            spelt = run.encode().decode("latin-1").translate(_SPELT)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         find = self.known.__getitem__
