@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one round of array arithmetic takes; a longer text is a round of its own.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
