@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.plans.bindings import JOBS, jobs
 from millrace.sources import documents, json_feeds
 
 EACH = 1000
+#: A payload of whole texts ends where its texts reach so many bytes; a variant holds 16 MB, and JSON may escape a byte as six.
+PAYLOAD_BYTES = 2_000_000
 
 
 def _payloads(rows: DataFrame, item: Column, array: str | None) -> DataFrame:
@@ -18,25 +21,61 @@ def _payloads(rows: DataFrame, item: Column, array: str | None) -> DataFrame:
     return grouped.select("chunk", whole.alias("payload"))
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir).withColumns({"title": F.concat(F.lit("T "), F.left("title", F.lit(60))), "stamp": F.unix_timestamp(F.col("discovered_date").cast("timestamp")), "day": F.col("discovered_date").cast("string")})
+def _whole_payloads(rows: DataFrame, item: Column, array: str | None, most: int = PAYLOAD_BYTES) -> DataFrame:
+    """JSON payloads of whole titles and descriptions, cut by bytes within every EACH ids: most, and one text more."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("title", "description")]
+    before = W.partitionBy("_each").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
+    sized = rows.withColumn("_each", F.floor(F.col("id") / EACH)).withColumn("_part", F.floor(F.sum(texts[0] + texts[1]).over(before) / most))
+    grouped = sized.groupBy("_each", "_part").agg(F.collect_list(item).alias("items"))
+    return grouped.select((F.to_json("items") if array is None else F.to_json(F.struct(F.col("items").alias(array)))).alias("payload"))
+
+
+def _rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return jobs(spark, sf_dir).withColumns({"title": F.concat(F.lit("T "), F.col("title") if whole else F.left("title", F.lit(60))), "stamp": F.unix_timestamp(F.col("discovered_date").cast("timestamp")), "day": F.col("discovered_date").cast("string")})
+
+
+def _greenhouse(text: Column) -> Column:
+    return F.struct("id", "title", F.struct(F.col("location").alias("name")).alias("location"), F.concat(F.lit("<p>"), text, F.lit("</p>")).alias("content"), F.concat(F.lit("https://x/"), F.col("id")).alias("absolute_url"), F.concat(F.col("day"), F.lit("T23:30:00-05:00")).alias("updated_at"))
+
+
+def _lever(text: Column) -> Column:
+    return F.struct("id", F.col("title").alias("text"), F.struct("location").alias("categories"), text.alias("descriptionPlain"), F.concat(F.lit("https://x/"), F.col("id")).alias("hostedUrl"), (F.col("stamp") * 1000 + 5).alias("createdAt"))
 
 
 def src10_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct("id", "title", F.struct(F.col("location").alias("name")).alias("location"), F.concat(F.lit("<p>"), F.left("description", F.lit(80)), F.lit("</p>")).alias("content"), F.concat(F.lit("https://x/"), F.col("id")).alias("absolute_url"), F.concat(F.col("day"), F.lit("T23:30:00-05:00")).alias("updated_at"))
-    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), item, "jobs"), "GREENHOUSE"))
+    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), _greenhouse(F.left("description", F.lit(80))), "jobs"), "GREENHOUSE"))
 
 
 def src11_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct("id", F.col("title").alias("text"), F.struct("location").alias("categories"), F.left("description", F.lit(80)).alias("descriptionPlain"), F.concat(F.lit("https://x/"), F.col("id")).alias("hostedUrl"), (F.col("stamp") * 1000 + 5).alias("createdAt"))
-    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), item, None), "LEVER"))
+    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), _lever(F.left("description", F.lit(80))), None), "LEVER"))
+
+
+def src10_greenhouse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole titles and descriptions through the payload, the parser and strip_html."""
+    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir, whole=True), _greenhouse(F.col("description")), "jobs"), "GREENHOUSE"))
+
+
+def src11_lever_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole titles and descriptions; the feed itself keeps 500 characters of a title."""
+    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir, whole=True), _lever(F.col("description")), None), "LEVER"))
 
 
 def src32_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same postings under two keywords; the first of each id stays."""
-    rows = _rows(spark, sf_dir)
-    item = F.struct("id", F.col("title").alias("title_raw"), F.col("company").alias("company_display_name"), F.col("location").alias("location_name"), F.concat(F.lit("https://x/"), F.col("id")).alias("posting_url"), F.array(F.lit("Go"), F.col("lang")).alias("skills"), F.col("stamp").alias("first_seen"))
-    asked = _payloads(rows, item, "results").withColumn("keyword", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return _builtin(_payloads(_rows(spark, sf_dir), _builtin_item(), "results"))
+
+
+def src32_builtin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole titles, under two keywords as well."""
+    return _builtin(_whole_payloads(_rows(spark, sf_dir, whole=True), _builtin_item(), "results"))
+
+
+def _builtin_item() -> Column:
+    return F.struct("id", F.col("title").alias("title_raw"), F.col("company").alias("company_display_name"), F.col("location").alias("location_name"), F.concat(F.lit("https://x/"), F.col("id")).alias("posting_url"), F.array(F.lit("Go"), F.col("lang")).alias("skills"), F.col("stamp").alias("first_seen"))
+
+
+def _builtin(payloads: DataFrame) -> DataFrame:
+    asked = payloads.withColumn("keyword", F.explode(F.array(F.lit("a"), F.lit("b"))))
     parsed = json_feeds.first_of_each(json_feeds.parse(asked, "BUILTIN", "keyword"), ["keyword", "position"])
     return parsed.select("external_id", "title", "company_name", "location", "description", "apply_url", "posted_date")
 
@@ -73,12 +112,18 @@ def src36_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.md5("title").alias("title"), "location")
 
 
-QUERIES = {f.__name__: f for f in (src10_greenhouse, src11_lever, src32_builtin, src23_rss, src38_lines, src36_pages)}
+QUERIES = {f.__name__: f for f in (src10_greenhouse, src10_greenhouse_whole, src11_lever, src11_lever_whole, src32_builtin, src32_builtin_whole, src23_rss, src38_lines, src36_pages)}
+_WHOLE = _BASE.replace("left(title, 60)", "title")
+
 _HEADING = r"trim(regexp_replace(" + "replace(" * 7 + r"regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
+_H1, _PARAGRAPH = r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)", "'<p>' || description || '</p>'"
 SQL = {
     "src10_greenhouse": f"{_BASE} SELECT {_SHOWN.format(_STRIPPED)} FROM r",
     "src11_lever": f"{_BASE} SELECT {_SHOWN.format('left(description, 80)')} FROM r",
     "src32_builtin": f"{_BASE} SELECT CAST(id AS VARCHAR) AS external_id, title, company AS company_name, location, 'Go, ' || lang AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date FROM r",
+    "src10_greenhouse_whole": f"{_WHOLE} SELECT {_SHOWN.format(_HEADING.replace(_H1, _PARAGRAPH))} FROM r",
+    "src11_lever_whole": f"{_WHOLE.replace("'T ' || title", "left('T ' || title, 500)")} SELECT {_SHOWN.format("CASE WHEN regexp_matches(description, '[^\\x00-\\x20]') THEN description END")} FROM r",
+    "src32_builtin_whole": f"{_WHOLE} SELECT CAST(id AS VARCHAR) AS external_id, title, company AS company_name, location, 'Go, ' || lang AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date FROM r",
     "src23_rss": f"{_BASE} SELECT 'g' || id AS external_id, 'T' || id AS title, 'C' || id % 7 || ', Y; D' AS location, discovered_date AS posted_date FROM r",
     "src38_lines": f"{_BASE} SELECT id, 'Role ' || id AS title, 'Firm ' || id % 5 AS company_name, 'Berlin (Hybrid)' AS location, (id % 9 + 1) || ' days ago' AS posted FROM r",
     "src36_pages": f"SELECT page_id, md5({_HEADING}) AS title, CAST(NULL AS VARCHAR) AS location FROM pages",
