@@ -18,6 +18,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import ship, stored
 
@@ -25,6 +27,8 @@ UNIT, RATE = 64, 8_000
 #: Resampling by UP / DOWN with TAPS coefficients for each phase; frames of FRAME samples, HOP apart; MELS bands.
 UP, DOWN, TAPS = 3, 4, 16
 FRAME, HOP, MELS = 256, 128, 24
+#: Seconds between the starts of two frames.
+STEP = HOP * DOWN / UP / RATE
 #: Frames become active at ON dB above a clip's mean energy and inactive below OFF dB above it.
 ON, OFF = 1.0, -0.5
 #: A tensor of the stored features has the log-mel energies of this many frames; the last one is padded with FLOOR.
@@ -102,12 +106,11 @@ def analyse(samples: bytes) -> Features:
     mel = np.log10(power @ MEL_BANK + 10**FLOOR).astype(np.float32)
     on = active_frames(10 * np.log10(power.sum(1, dtype=np.float64) + 1e-9))
     turns = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).reshape(-1, 2)
-    second = HOP * DOWN / UP / RATE
     blocks = -(-frames // BLOCK)
     tensors = np.full((blocks * BLOCK, MELS), FLOOR, np.float32)
     tensors[:frames] = mel
     first = np.arange(blocks) * BLOCK
-    return Features(tensors.reshape(blocks, BLOCK, MELS), np.stack([first, np.minimum(first + BLOCK, frames)], 1) * second, turns * second, frames, int(on.sum()))
+    return Features(tensors.reshape(blocks, BLOCK, MELS), np.stack([first, np.minimum(first + BLOCK, frames)], 1) * STEP, turns * STEP, frames, int(on.sum()))
 
 
 def describe(f: Features) -> str:
@@ -134,37 +137,85 @@ def store(docs: DataFrame, name: str = "media") -> DataFrame:
     return stored(docs.sparkSession, media, name, compression="zstd")
 
 
-def tensors(media: DataFrame) -> DataFrame:
-    """doc_id, block number, start_s, end_s, and log_mel: Arrow tensors of the fixed shape (BLOCK, MELS), as flat lists."""
+#: The stored form of a tensor is a flat list; its shape stands in the metadata of the column log_mel.
+TENSOR = {"tensor": "fixed_shape", "shape": [BLOCK, MELS], "value_type": "float32"}
+_CHECKS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_BLOCKS = T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType()), T.StructField("log_mel", T.ArrayType(T.FloatType()), metadata=TENSOR)])
+CLIPS = T.StructType([*(T.StructField(c, T.LongType() if kind == "long" else T.StringType()) for c, kind in map(str.split, _CHECKS.split(", "))), T.StructField("spans", T.ArrayType(T.DoubleType())), T.StructField("blocks", T.ArrayType(_BLOCKS))])
+#: Clips of so many bytes of media are analysed, and so many bytes of tensors read, at a time.
+SLICE_BYTES = 4_000_000
+
+
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows that have SLICE_BYTES, and one row more, at most."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=0))
+    return [(int(a), int(b)) for a, b in zip([0, *edges], [*edges, len(sizes)], strict=True) if a < b]
+
+
+def _block_array(features: list[Features]) -> pa.Array:
+    """Each clip's blocks: times, and the tensors of the fixed shape in their stored form."""
+    fixed = pa.FixedShapeTensorArray.from_numpy_ndarray(np.concatenate([f.tensors for f in features])).storage
+    log_mel = pa.ListArray.from_arrays(pa.array(np.arange(len(fixed) + 1) * BLOCK * MELS, pa.int32()), fixed.flatten())
+    times = np.concatenate([f.blocks for f in features])
+    each = pa.StructArray.from_arrays([pa.array(times[:, 0].copy()), pa.array(times[:, 1].copy()), log_mel], names=["start_s", "end_s", "log_mel"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(f.blocks) for f in features)]), pa.int32()), each)
+
+
+def from_blocks(blocks: pa.ListArray, spans: pa.ListArray) -> list[Features]:
+    """The features of clips from their stored blocks and spans."""
+    each = blocks.flatten()
+    fixed = pa.FixedSizeListArray.from_arrays(each.field("log_mel").flatten(), BLOCK * MELS)
+    all_ = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS)), fixed).to_numpy_ndarray()
+    times = np.stack([each.field(c).to_numpy(zero_copy_only=False) for c in ("start_s", "end_s")], 1)
+    seconds = spans.flatten().to_numpy(zero_copy_only=False)
+    out, at, turn = [], 0, 0
+    for n, m in zip(blocks.value_lengths().to_pylist(), spans.value_lengths().to_pylist(), strict=True):
+        own, turns = times[at : at + n], seconds[turn : turn + m].reshape(-1, 2)
+        out.append(Features(all_[at : at + n], own, turns, round(own[-1, 1] / STEP), round(float((turns[:, 1] - turns[:, 0]).sum()) / STEP)))
+        at, turn = at + n, turn + m
+    return out
+
+
+def clips(media: DataFrame) -> DataFrame:
+    """Checksums of the payload and of the stored form of each clip, its active spans (begin and end in turn, in seconds),
+    and its blocks: start_s, end_s and log_mel, a tensor of the fixed shape (BLOCK, MELS)."""
     ship(media.sparkSession)
-    names = ["doc_id", "block", "start_s", "end_s", "log_mel"]
 
     def run(batches):
         for batch in batches:
-            for doc, stored_form in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                f = analyse(from_wav(stored_form))
-                fixed = pa.FixedShapeTensorArray.from_numpy_ndarray(f.tensors).storage
-                flat = pa.ListArray.from_arrays(pa.array(range(0, len(fixed.flatten()) + 1, BLOCK * MELS), pa.int32()), fixed.flatten())
-                n = len(f.blocks)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(f.blocks[:, 0]), pa.array(f.blocks[:, 1]), flat], names=names)
+            ids, sizes, cells = (batch.column(c) for c in ("doc_id", "n_bytes", "media"))
+            for a, b in _runs(np.fromiter((len(c.as_buffer()) for c in cells), np.int64, len(cells))):
+                checks, features = [], []
+                for cell in cells.slice(a, b - a):
+                    stored_form = cell.as_py()
+                    own = from_wav(stored_form)
+                    checks.append((len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-UNIT:]), len(stored_form), hashlib.sha256(stored_form).hexdigest()))
+                    features.append(analyse(own))
+                types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                made = [pa.array(c, t) for c, t in zip(zip(*checks, strict=True), types, strict=True)]
+                spans = pa.array([f.spans.ravel() for f in features], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), sizes.slice(a, b - a), *made, spans, _block_array(features)], names=CLIPS.names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, CLIPS)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block int, start_s double, end_s double, log_mel array<float>")
 
+def tensors(media: DataFrame) -> DataFrame:
+    """doc_id, block number, start_s, end_s, and log_mel: tensors of the fixed shape (BLOCK, MELS), a row for each."""
+    each = clips(media).select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return each.select("doc_id", "block", "b.start_s", "b.end_s", F.col("b.log_mel").alias("log_mel", metadata=TENSOR))
 
-def digests(media: DataFrame) -> DataFrame:
-    """Checksums of the payload and of the stored form of each clip, and its features in one line."""
-    ship(media.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+def digests(media: DataFrame, name: str = "tensors") -> DataFrame:
+    """The checksums of each clip, and its features in one line: its tensors and spans are written as a table, and the
+    line is made of what is read back."""
+    kept = stored(media.sparkSession, clips(media), name, compression="zstd")
+    names = CLIPS.names[:-2]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, n, cell in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-                stored_form = cell.as_py()
-                own = from_wav(stored_form)
-                out.append((doc, n, len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-UNIT:]), len(stored_form), hashlib.sha256(stored_form).hexdigest(), describe(analyse(own))))
-            if out:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
-
-    return media.mapInArrow(run, schema)
+            blocks = batch.column("blocks")
+            for a, b in _runs(blocks.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * 4 * BLOCK * MELS):
+                lines = pa.array(map(describe, from_blocks(blocks.slice(a, b - a), batch.column("spans").slice(a, b - a))), pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in names), lines], names=[*names, "feature"])
+
+    return kept.mapInArrow(run, f"{_CHECKS}, feature string")
