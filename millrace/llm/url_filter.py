@@ -7,7 +7,6 @@ repeated ids each get their verdict; extra columns are ignored; an empty table g
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A token of a rule or url: a run of these, lower-cased.
 TOKEN = "[a-z0-9]+"
-#: Rules up to here go into the plan as one map literal; more of them are joined as a table.
+#: Rules up to here go into the plan as one map literal; more of them are joined as tables.
 MAX_LITERAL_RULES = 5_000
 
 
@@ -93,19 +92,49 @@ def _rule_name(hosts: tuple[HostRule, ...], host: Column, path: Column) -> Colum
     return F.array_max(F.transform(fitting, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
+def _blocked(index: dict[str, list[str]], low: Column, tokens: Column) -> Column:
+    """Whether any pattern fits. The url's own tokens fetch the patterns, so the work doesn't grow with the rules."""
+    if not index:
+        return F.lit(False)
+    table = F.create_map(*[x for t, found in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, found)))])
+    fetched = F.transform(F.array_distinct(tokens), lambda t: F.exists(F.try_element_at(table, t), lambda p: F.rlike(low, p)))
+    return F.coalesce(F.exists(fetched, lambda hit: F.coalesce(hit, F.lit(False))), F.lit(False))
+
+
+def _judge_joined(urls: DataFrame, hosts: tuple[HostRule, ...], patterns: tuple[PatternRule, ...], url: str) -> DataFrame:
+    """judge() for rules that no plan holds: tables of rules, joined by host suffix and by token. Each distinct host and
+    path, and each distinct url, is looked up once; rows find the result by value."""
+    spark, out = urls.sparkSession, with_parts(urls, url)
+    places = out.select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
+    labels = F.split("_host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    by_host = spark.createDataFrame([(r.host, r.path, r.host + r.path, r.verdict) for r in hosts], "_suffix string, _prefix string, rule string, verdict string")
+    fitting = places.select("*", F.explode(suffixes).alias("_suffix")).join(by_host, "_suffix").where(F.col("_path").startswith(F.col("_prefix")))
+    longest = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_rule")
+    out = out.join(fitting.groupBy("_host", "_path").agg(longest), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
+
+    low = urls.select(lower_ascii(F.col(url)).alias("_low")).where("_low IS NOT NULL").distinct()
+    tokens = low.select("_low", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit(f"({TOKEN})"), 1))).alias("_token"))
+    asked = spark.createDataFrame([(t,) for t in sorted({t for r in patterns for t in r.tokens})], "_token string")
+    counts = {r["_token"]: r["n"] for r in tokens.join(asked, "_token").groupBy("_token").agg(F.count("*").alias("n")).collect()}
+    by_token = spark.createDataFrame([(t, p) for t, found in rarest(patterns, counts).items() for p in found], "_token string, _pattern string")
+    hit = tokens.join(by_token, "_token").where(F.rlike("_low", "_pattern")).select(F.col("_low").alias("_hit")).distinct()
+    out = out.join(hit, lower_ascii(F.col(url)) == F.col("_hit"), "left")
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_hit").isNotNull(), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_host", "_path", "_rule", "_hit")
+
+
 def judge(urls: DataFrame, hosts: tuple[HostRule, ...] = HOST_RULES, patterns: tuple[PatternRule, ...] = PATTERN_RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to each row. The longest fitting host rule decides; else a url that any pattern
     rule matches is blocked and others are allowed. A pattern runs only on urls that hold its rarest token."""
     if len(hosts) + len(patterns) > MAX_LITERAL_RULES:
-        raise ValueError(f"{len(hosts) + len(patterns)} rules; the plan holds up to {MAX_LITERAL_RULES}: judge in several passes")
+        return _judge_joined(urls, hosts, patterns, url)
     index = rarest(patterns, token_counts(urls, sorted({t for r in patterns for t in r.tokens}), url))
     low, out = lower_ascii(F.col(url)), with_parts(urls, url)
     tokens = F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1)
-    hits = [F.array_contains(F.col("_tokens"), token) & reduce(Column.__or__, [low.rlike(p) for p in found]) for token, found in sorted(index.items())]
-    blocked = F.coalesce(reduce(Column.__or__, hits), F.lit(False)) if hits else F.lit(False)
-    out = out.withColumns({"_tokens": tokens, "_rule": _rule_name(hosts, F.col("host"), F.col("path")) if hosts else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")})
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(blocked, "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_tokens", "_rule")
+    out = out.withColumns({"_blocked": _blocked(index, low, tokens), "_rule": _rule_name(hosts, F.col("host"), F.col("path")) if hosts else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")})
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_blocked", "_rule")
 
 
 def oracle(hosts: tuple[HostRule, ...] = HOST_RULES, patterns: tuple[PatternRule, ...] = PATTERN_RULES) -> str:
