@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,8 @@ from millrace.llm.bpe import long_piece, slices
 from millrace.session import ship, stored
 
 CAPACITY, END_ID = 2048, 0
-#: Steps of the local search and underfull kinds of bin that a step looks at; they bound the planning, not what is packed.
+#: Steps of the local search, which bound the planning, not what is packed; fullest and emptiest kinds of bin that a step
+#: looks at before the others.
 SEARCH_STEPS, SEARCH_KINDS = 2_000, 48
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -84,8 +85,9 @@ def _better(source: Pattern, target: Pattern, capacity: int) -> tuple[Pattern, P
     room, fill, other = capacity - sum(target), sum(target), sum(source)
     best, gain = None, 0
     ones = {(n,): n for n in set(source)}
-    items = sorted(source)
-    twos = {(a, b): a + b for k, a in enumerate(items) for b in items[k + 1 :]} if len(items) <= 40 else {}
+    held = Counter(source)
+    items = sorted(held)
+    twos = {(a, b): a + b for k, a in enumerate(items) for b in items[k if held[a] > 1 else k + 1 :]}
     backs = [0, *sorted(set(target))]
     for given, total in (ones | twos).items():
         if len(given) == 2 and total <= room:
@@ -110,7 +112,7 @@ def _better(source: Pattern, target: Pattern, capacity: int) -> tuple[Pattern, P
 def search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """Swap-based local search: the emptiest kind of bin gives to other underfull kinds whatever raises the sum of squared
     fills most, in as many bins at once as both kinds have, until it is empty or nothing helps."""
-    bins, stuck = Counter(bins), set()
+    bins, stuck, missed = Counter(bins), set(), defaultdict(set)
     for _ in range(SEARCH_STEPS):
         least = -(-sum(sum(p) * c for p, c in bins.items()) // capacity)
         open_ = sorted((p for p in bins if sum(p) < capacity and p not in stuck), key=lambda p: (sum(p), p))
@@ -118,10 +120,14 @@ def search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
             break
         source, found = open_[0], None
         targets = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p))
-        for target in targets[:SEARCH_KINDS] + targets[SEARCH_KINDS:][-SEARCH_KINDS:]:
+        ends, others = targets[:SEARCH_KINDS] + targets[SEARCH_KINDS:][-SEARCH_KINDS:], targets[SEARCH_KINDS:-SEARCH_KINDS]
+        for target in ends + others:
             times = min(bins[source], bins[target]) if target != source else bins[source] // 2
-            if times and (found := _better(source, target, capacity)):
+            if not times or target in missed[source]:
+                continue
+            if found := _better(source, target, capacity):
                 break
+            missed[source].add(target)
         if not found:
             stuck.add(source)
             continue
