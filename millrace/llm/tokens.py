@@ -6,6 +6,8 @@ a text are those of its pieces in order. Workers keep the ids of short pieces th
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 import sys
@@ -47,18 +49,27 @@ class _Kept(dict):
         return value
 
 
+@functools.cache
+def library(path: str, normalizes: bool = True):
+    """This worker's tokenizer of a vocabulary file, without truncation and padding, and without its normalizer if asked."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    if not normalizes and tokenizer.normalizer:
+        tokenizer = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class Encoder:
     """ids(texts) gives the ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, long_piece: Callable | None = None, longest: int = 4096):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.drops_white = "word" in os.path.basename(path)
+    def __init__(self, path: str):
+        self.tokenizer = library(path)
+        #: Words carry their end, and white space goes, if the vocabulary's model has a suffix for ends of words.
+        self.drops_white = bool(self.tokenizer.model.end_of_word_suffix)
         self.simple = (_WORD if self.drops_white else _SPACED_WORD).fullmatch
-        self.long_piece, self.longest = long_piece, longest
         self.known, self.marks = _Kept(MAX_KEPT, self._piece), _Kept(MAX_MARKS, self._run)
 
     def pieces(self, text: str) -> list[str]:
@@ -77,8 +88,6 @@ class Encoder:
             if marks:
                 return self.known[letters] + self.marks[marks]
             return self._run(letters) if letters == piece else self.known[letters]
-        if self.long_piece and len(piece) > self.longest:
-            return np.array(self.long_piece(self.tokenizer, piece), "<u4").tobytes()
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
@@ -102,12 +111,7 @@ def _odd_white(text: str) -> bool:
     return not text.isprintable()
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
-def encoder(path: str, long_piece: Callable | None = None) -> Encoder:
+@functools.cache
+def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    key = (path, getattr(long_piece, "__name__", None))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, long_piece)
-    return _ENCODERS[key]
+    return Encoder(path)
