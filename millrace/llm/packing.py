@@ -2,17 +2,20 @@
 
 Pieces of the same length are alike for the packing, so it is planned on the histogram of lengths, which has at most as
 many numbers as a sequence has tokens however large the corpus is. The plan says how many sequences hold which lengths;
-every piece then finds its place from its rank among the pieces of its length.
+every piece then finds its place from its rank among the pieces of its length. A loose first assignment is improved by
+exchanges of pieces between underfull bins until bins empty.
 
-Null text counts as empty: its document is the end id alone. Repeated rows are packed each on its own. Extra columns are
-ignored; an empty table gives an empty result.
+Null text counts as empty: its document is the end id alone. Repeated rows, and rows of a repeated or null doc_id, are packed
+each on its own. A very long text is encoded and cut in one task, which holds its ids. Extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import bisect
+import itertools
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm import tokens
-from millrace.llm.bpe import long_piece, slices
+from millrace.llm.bpe import slices
 from millrace.session import ship, stored
 
 CAPACITY, END_ID = 2048, 0
-#: Steps of the local search, which bound the planning, not what is packed; fullest and emptiest kinds of bin that a step
-#: looks at before the others.
-SEARCH_STEPS, SEARCH_KINDS = 2_000, 48
+#: Pieces, or portions of equal pieces, up to which the local search takes all at once.
+SEARCHED = 16_384
+#: Of so many full bins of larger portions, one is searched again.
+MIXED = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -41,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc, chunk, seen = tokens.encoder(vocabulary, long_piece), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, chunk, seen = tokens.encoder(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for a, b, texts in slices(batch.column("text")):
@@ -60,90 +64,153 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Bins by best fit decreasing over lengths: each takes the longest piece left, then always the longest that fits.
-    As many bins as the counts allow are filled alike, so that every kind of bin uses up one length at least."""
+def loose_bins(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """A first assignment that is quick and loose: each bin takes the longest piece left, then the shortest ones until the
+    next doesn't fit. As many bins as the counts allow are filled alike."""
     left, lengths, bins = dict(counts), sorted(n for n, c in counts.items() if c), Counter()
     while lengths:
-        pattern, room, high = Counter(), capacity, len(lengths)
-        while room and (high := bisect.bisect_right(lengths, room, 0, high)):
-            n = lengths[high - 1]
-            k = min(room // n, left[n])
-            pattern[n] += k
-            room -= k * n
-            high -= 1
+        pattern, room = Counter([lengths[-1]]), capacity - lengths[-1]
+        for n in lengths:
+            if k := min(room // n, left[n] - pattern[n]):
+                pattern[n] += k
+                room -= k * n
+            if left[n] > pattern[n]:
+                break
         times = min(left[n] // k for n, k in pattern.items())
-        bins[tuple(sorted(pattern.elements(), reverse=True))] += times
+        bins[_sorted(pattern.elements())] += times
         for n, k in pattern.items():
             left[n] -= times * k
         lengths = [n for n in lengths if left[n]]
     return bins
 
 
-def _better(source: Pattern, target: Pattern, capacity: int) -> tuple[Pattern, Pattern] | None:
-    """The exchange that fills target most: one piece moves, or goes for a shorter one, or two pieces for one."""
-    room, fill, other = capacity - sum(target), sum(target), sum(source)
-    best, gain = None, 0
-    ones = {(n,): n for n in set(source)}
-    held = Counter(source)
-    items = sorted(held)
-    twos = {(a, b): a + b for k, a in enumerate(items) for b in items[k if held[a] > 1 else k + 1 :]}
-    backs = [0, *sorted(set(target))]
-    for given, total in (ones | twos).items():
-        if len(given) == 2 and total <= room:
-            continue
-        low = bisect.bisect_left(backs, total - room)
-        if low < len(backs) and (add := total - backs[low]) > 0 and (len(given) == 1 or backs[low]):
-            value = (fill + add) ** 2 + (other - add) ** 2 - fill**2 - other**2
-            if value > gain:
-                best, gain = (given, backs[low]), value
-    if not best:
-        return None
-    a, b = Counter(source), Counter(target)
-    for n in best[0]:
-        a[n] -= 1
-        b[n] += 1
-    if best[1]:
-        a[best[1]] += 1
-        b[best[1]] -= 1
-    return tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))
+def _sorted(pieces: Iterable[int]) -> Pattern:
+    return tuple(sorted(pieces, reverse=True))
+
+
+class _Underfull:
+    """The underfull kinds of bin, as one row for each piece that a kind can give back (0: none): the most tokens that may
+    come for it, the piece, and the kind's fill and number."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.kinds, self.number, self.rows = capacity, [], {}, {}
+        self.table, self.used = np.full((4, 4096), -1, np.int64), 0
+
+    def add(self, kind: Pattern) -> None:
+        fill, backs = sum(kind), [0, *sorted(set(kind))]
+        if fill == self.capacity:
+            return
+        if self.used + len(backs) > self.table.shape[1]:
+            self._compact(len(backs))
+        if kind not in self.number:
+            self.number[kind] = len(self.kinds)
+            self.kinds.append(kind)
+        a, self.used = self.used, self.used + len(backs)
+        own = self.table[:, a : self.used]
+        own[0], own[1], own[2], own[3] = np.add(backs, self.capacity - fill), backs, fill, self.number[kind]
+        self.rows[kind] = (a, self.used)
+
+    def drop(self, kind: Pattern) -> None:
+        if kind in self.rows:
+            a, b = self.rows.pop(kind)
+            self.table[0, a:b] = -1
+
+    def _compact(self, more: int) -> None:
+        live = self.table[:, np.flatnonzero(self.table[0, : self.used] >= 0)]
+        self.used = live.shape[1]
+        self.table = np.full((4, max(4096, 2 * (self.used + more))), -1, np.int64)
+        self.table[:, : self.used] = live
+        edges = np.flatnonzero(np.diff(live[3], prepend=-1, append=-1)).tolist()
+        self.rows = {self.kinds[live[3, a]]: (a, b) for a, b in itertools.pairwise(edges)}
+
+    def exchange(self, source: Pattern, alone: bool) -> tuple[Pattern, tuple[int, ...], int] | None:
+        """The exchange of the source with any kind that raises the sum of squared fills most: (target, what goes there, what
+        comes back). One piece moves, or goes for a shorter one, or two go for one. A source that is alone has no other
+        bin of its kind to exchange with."""
+        most, back, fill, number = self.table[:, : self.used]
+        held, total = Counter(source), sum(source)
+        items = sorted(held)
+        twos = {a + b: (a, b) for k, a in enumerate(items) for b in items[k if held[a] > 1 else k + 1 :]}
+        usable = most > 0
+        if alone and source in self.number:
+            usable &= number != self.number[source]
+        best, gain = None, 0
+        for given, allowed in (({n: (n,) for n in items}, usable), (twos, usable & (back > 0))):
+            if not given:
+                continue
+            sums = np.array(sorted(given))
+            place = np.searchsorted(sums, most, "right") - 1
+            added = np.where(allowed & (place >= 0), sums[place] - back, 0)
+            gains = np.where(added > 0, 2 * added * (fill - total + added), 0)
+            k = int(gains.argmax()) if len(gains) else 0
+            if len(gains) and gains[k] > gain:
+                gain, best = gains[k], (self.kinds[number[k]], given[int(sums[place[k]])], int(back[k]))
+        return best
 
 
 def search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
-    """Swap-based local search: the emptiest kind of bin gives to other underfull kinds whatever raises the sum of squared
-    fills most, in as many bins at once as both kinds have, until it is empty or nothing helps."""
-    bins, stuck, missed = Counter(bins), set(), defaultdict(set)
-    for _ in range(SEARCH_STEPS):
-        least = -(-sum(sum(p) * c for p, c in bins.items()) // capacity)
-        open_ = sorted((p for p in bins if sum(p) < capacity and p not in stuck), key=lambda p: (sum(p), p))
-        if sum(bins.values()) <= least or not open_:
-            break
-        source, found = open_[0], None
-        targets = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p))
-        ends, others = targets[:SEARCH_KINDS] + targets[SEARCH_KINDS:][-SEARCH_KINDS:], targets[SEARCH_KINDS:-SEARCH_KINDS]
-        for target in ends + others:
-            times = min(bins[source], bins[target]) if target != source else bins[source] // 2
-            if not times or target in missed[source]:
-                continue
-            if found := _better(source, target, capacity):
-                break
-            missed[source].add(target)
-        if not found:
-            stuck.add(source)
-            continue
-        for p, change in ((source, -times), (target, -times), (found[0], times), (found[1], times)):
-            if p:
-                bins[p] += change
-        bins = +bins
-        stuck.clear()
-    return bins
+    """Swap-based local search: kinds of bins, from the emptiest on, exchange pieces with other underfull kinds as long as
+    the sum of squared fills grows, in as many bins at once as both kinds have. It ends when no exchange helps any kind,
+    or when no fewer bins could hold the pieces."""
+    bins, total = Counter(bins), sum(bins.values())
+    least = -(-sum(sum(p) * c for p, c in bins.items()) // capacity)
+    underfull = _Underfull(capacity)
+    for kind in bins:
+        underfull.add(kind)
+    helped = True
+    while helped and total > least:
+        helped = False
+        for source in sorted(underfull.rows, key=lambda p: (sum(p), p)):
+            while bins[source] and total > least and (found := underfull.exchange(source, bins[source] == 1)):
+                target, given, back = found
+                times = bins[source] // 2 if target == source else min(bins[source], bins[target])
+                a, b = Counter(source), Counter(target)
+                a.subtract(given)
+                b.update(given)
+                if back:
+                    a[back] += 1
+                    b[back] -= 1
+                for kind, change in ((source, -times), (target, -times), (_sorted(a.elements()), times), (_sorted(b.elements()), times)):
+                    before = bins[kind]
+                    bins[kind] += change
+                    if not kind:
+                        total -= change
+                    elif not before:
+                        underfull.add(kind)
+                    elif not bins[kind]:
+                        underfull.drop(kind)
+                helped = True
+    del bins[()]
+    return +bins
+
+
+def bins_of(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """Kinds of bins for all pieces. The search begins with portions of equal pieces, as large as leave at most SEARCHED of
+    them, and goes on with portions a quarter of the size, down to single pieces. Of what larger portions give, only full
+    bins are used, and not every MIXED-th of them: the pieces in the others are searched again among what is left over, so
+    that every search has lengths of all kinds. The steps grow with the lengths and the logarithm of the pieces only."""
+    left, bins, portion = Counter(counts), Counter(), 1
+    while sum(counts.values()) > SEARCHED * portion:
+        portion *= 4
+    while portion:
+        found = search(loose_bins({n: c // portion for n, c in left.items()}, capacity), capacity)
+        full = 0
+        for kind, times in sorted(found.items()):
+            if portion > 1:
+                full, before = (full + times, full) if sum(kind) == capacity else (full, full)
+                times = full - before - (full // MIXED - before // MIXED)
+            bins[kind] += times * portion
+            for n in kind:
+                left[n] -= times * portion
+        portion //= 4
+    return +bins
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, pieces in a bin, first sequence, offset of the first piece) in order of rank."""
     rows: dict[int, list] = {n: [] for n in counts}
     rank, sequence = Counter(), 0
-    for pattern, times in sorted(search(best_fit(counts, capacity), capacity).items(), reverse=True):
+    for pattern, times in sorted(bins_of(counts, capacity).items(), reverse=True):
         offset = 0
         for n, k in sorted(Counter(pattern).items(), reverse=True):
             rows[n].append((rank[n], k, sequence, offset))
