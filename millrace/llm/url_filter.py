@@ -1,7 +1,8 @@
 """URL verdicts from host rules and pattern rules, each fetched by one literal token.
 
 Null, empty and malformed urls (no `://`) have an empty host and path, fit no rule and are allowed. Repeated rows and
-repeated ids each get their verdict; extra columns are ignored; an empty table gives an empty result.
+repeated ids each get their verdict; a url of any length is tokenized whole. Extra columns stay, also such as have names of
+the judge's own helpers; columns called host, path, rule or verdict are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,15 +40,46 @@ HOST_RULES = (
     HostRule("allow", "com", "/fr/"),
     HostRule("block", "com", "/de/"),
 )
-PATTERN_RULES = (
-    PatternRule(r"^[a-z]+://([^/?#]*\.)?doubleclick\.net([/?#:]|$)", ("doubleclick", "net")),
-    PatternRule(r"^[a-z]+://([^/?#]*\.)?ads\.[^/?#]*([/?#:]|$)", ("ads",)),
-    PatternRule(r"^[a-z]+://[^?#]*/banner/ads/", ("banner", "ads")),
-    PatternRule(r"^[a-z]+://[^?#]*/popunder/", ("popunder",)),
-    PatternRule(r"^[a-z]+://([^/?#]*\.)?casino\.[^/?#]*([/?#:]|$)", ("casino",)),
-    PatternRule(r"^[a-z]+://[^?#]*/wp-login\.php([?#]|$)", ("wp", "login", "php")),
-    PatternRule(r"^[a-z]+://[^?#]*/track/pixel\.gif([?#]|$)", ("track", "pixel", "gif")),
-)
+#: Words of hosts that sell games of chance, drugs and the like, each as a label of a host or as a part of one between
+#: hyphens; then hosts, paths and queries of adverts, trackers and machinery. In the syntax of parse().
+_WORDS = ("casino", "casinos", "poker", "slots", "jackpot", "roulette", "blackjack", "bets", "betting", "bookmaker", "sportsbook", "lottery", "pills", "viagra", "cialis", "levitra", "payday", "escorts", "porn", "xxx", "webcams", "warez", "keygen", "torrents")
+_SHAPES = ("||{}.", "||{}-", "||*-{}.", "||*-{}-")
+RULE_LIST = "\n".join(
+    [
+        "! hosts by a word", *(shape.format(word) for word in _WORDS for shape in _SHAPES),
+        "! hosts of adverts and trackers", *(f"||{x}^" for x in ("doubleclick.net", "adserver.invalid", "popads.invalid")), *(f"||{x}." for x in ("ads", "adserver", "adclick", "banners", "popunder", "tracker", "pixel")),
+        "! paths", *(f"/{x}/" for x in ("banner/ads", "popunder", "adserver", "ad-frame", "affiliate/click", "track/click", "cgi-bin/adclick")), *(f"/{x}^" for x in ("wp-login.php", "xmlrpc.php", "track/pixel.gif", "pixel.gif", "adframe.js", "prebid.js")),
+        "! queries", *(f"^{x}=" for x in ("phpsessid", "jsessionid", "sessionid", "adclickid", "affid", "popunder")),
+        "! whole addresses", "|http://*/setup.exe|", "|http://*/install.apk|",
+    ]
+)
+
+
+def parse(lines: str) -> tuple[PatternRule, ...]:
+    """Rules from a filter list, one a line: `||` stands before a label of the host, `|` at either end of the url, `^` for a
+    separator (what isn't a letter, a digit or one of `_-.%`) or the end, `*` for anything, which in a rule with `||` stays in
+    the host up to the first slash. `!` begins a comment. A rule's tokens are the runs of letters and digits that end
+    where a token of the url must end too; a rule without any is refused, since nothing could fetch it."""
+    out = []
+    for line in map(str.strip, lines.lower().splitlines()):
+        if not line or line.startswith("!"):
+            continue
+        body = line.removeprefix("||") if line.startswith("||") else line.removeprefix("|")
+        pattern = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if line.startswith("||") else "^" if line.startswith("|") else ""
+        first, last = bool(pattern), body.endswith("|")
+        body = body.removesuffix("|")
+        in_host = line.startswith("||")
+        for c in body:
+            in_host &= c != "/"
+            pattern += ("[^/?#]*" if in_host else ".*") if c == "*" else r"(?:[^a-z0-9_.%-]|$)" if c == "^" else c if c.isalnum() or c == "_" else "\\" + c
+        found = [m for m in re.finditer(TOKEN, body) if (body[m.start() - 1] != "*" if m.start() else first) and (body[m.end()] != "*" if m.end() < len(body) else last)]
+        if not found:
+            raise ValueError(f"no whole literal token in rule {line!r}")
+        out.append(PatternRule(pattern + ("$" if last else ""), tuple(dict.fromkeys(m.group() for m in found))))
+    return tuple(out)
+
+
+PATTERN_RULES = parse(RULE_LIST)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -61,6 +93,14 @@ def with_parts(urls: DataFrame, url: str = "url") -> DataFrame:
     return urls.withColumns({"host": lower_ascii(part(1)), "path": part(2)})
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name after as many underscores as make it one that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def token_counts(urls: DataFrame, tokens: list[str], url: str = "url") -> dict[str, int]:
     """In how many urls each of these tokens stands; at most one row for each token reaches the driver."""
     if not tokens:
@@ -105,23 +145,25 @@ def _judge_joined(urls: DataFrame, hosts: tuple[HostRule, ...], patterns: tuple[
     """judge() for rules that no plan holds: tables of rules, joined by host suffix and by token. Each distinct host and
     path, and each distinct url, is looked up once; rows find the result by value."""
     spark, out = urls.sparkSession, with_parts(urls, url)
-    places = out.select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
-    labels = F.split("_host", r"\.")
+    rule, hit = free_name(out, "found_rule"), free_name(out, "found_hit")
+    places = out.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
+    labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    by_host = spark.createDataFrame([(r.host, r.path, r.host + r.path, r.verdict) for r in hosts], "_suffix string, _prefix string, rule string, verdict string")
-    fitting = places.select("*", F.explode(suffixes).alias("_suffix")).join(by_host, "_suffix").where(F.col("_path").startswith(F.col("_prefix")))
-    longest = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("_rule")
-    out = out.join(fitting.groupBy("_host", "_path").agg(longest), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-
-    low = urls.select(lower_ascii(F.col(url)).alias("_low")).where("_low IS NOT NULL").distinct()
-    tokens = low.select("_low", F.explode(F.array_distinct(F.regexp_extract_all("_low", F.lit(f"({TOKEN})"), 1))).alias("_token"))
-    asked = spark.createDataFrame([(t,) for t in sorted({t for r in patterns for t in r.tokens})], "_token string")
-    counts = {r["_token"]: r["n"] for r in tokens.join(asked, "_token").groupBy("_token").agg(F.count("*").alias("n")).collect()}
-    by_token = spark.createDataFrame([(t, p) for t, found in rarest(patterns, counts).items() for p in found], "_token string, _pattern string")
-    hit = tokens.join(by_token, "_token").where(F.rlike("_low", "_pattern")).select(F.col("_low").alias("_hit")).distinct()
-    out = out.join(hit, lower_ascii(F.col(url)) == F.col("_hit"), "left")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_hit").isNotNull(), "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_host", "_path", "_rule", "_hit")
+    by_host = spark.createDataFrame([(r.host, r.path, r.host + r.path, r.verdict) for r in hosts], "suffix string, prefix string, rule string, verdict string")
+    fitting = places.select("*", F.explode(suffixes).alias("suffix")).join(by_host, "suffix").where(F.col("p").startswith(F.col("prefix")))
+    longest = fitting.groupBy("h", "p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias(rule)).select(F.struct("h", "p").alias("place"), rule)
+    left = out.alias("left")
+    out = left.join(longest.alias("right"), (F.col("left.host") == F.col("right.place.h")) & (F.col("left.path") == F.col("right.place.p")), "left").select("left.*", f"right.{rule}")
+
+    low = urls.select(lower_ascii(F.col(url)).alias("low")).where("low IS NOT NULL").distinct()
+    tokens = low.select("low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(f"({TOKEN})"), 1))).alias("token"))
+    asked = spark.createDataFrame([(t,) for t in sorted({t for r in patterns for t in r.tokens})], "token string")
+    counts = {r["token"]: r["n"] for r in tokens.join(asked, "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    by_token = spark.createDataFrame([(t, p) for t, found in rarest(patterns, counts).items() for p in found], "token string, pattern string")
+    hits = tokens.join(by_token, "token").where(F.rlike("low", "pattern")).select(F.col("low").alias(hit)).distinct()
+    out = out.alias("left").join(hits.alias("right"), lower_ascii(F.col(f"left.{url}")) == F.col(f"right.{hit}"), "left").select("left.*", f"right.{hit}")
+    verdict = F.coalesce(F.col(f"{rule}.verdict"), F.when(F.col(hit).isNotNull(), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col(f"{rule}.rule"), "verdict": verdict}).drop(rule, hit)
 
 
 def judge(urls: DataFrame, hosts: tuple[HostRule, ...] = HOST_RULES, patterns: tuple[PatternRule, ...] = PATTERN_RULES, url: str = "url") -> DataFrame:
@@ -132,9 +174,11 @@ def judge(urls: DataFrame, hosts: tuple[HostRule, ...] = HOST_RULES, patterns: t
     index = rarest(patterns, token_counts(urls, sorted({t for r in patterns for t in r.tokens}), url))
     low, out = lower_ascii(F.col(url)), with_parts(urls, url)
     tokens = F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1)
-    out = out.withColumns({"_blocked": _blocked(index, low, tokens), "_rule": _rule_name(hosts, F.col("host"), F.col("path")) if hosts else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")})
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_blocked"), "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_rule.rule"), "verdict": verdict}).drop("_blocked", "_rule")
+    found = _rule_name(hosts, F.col("host"), F.col("path")) if hosts else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    helper = free_name(out, "found")
+    out = out.withColumn(helper, F.struct(found.alias("rule"), _blocked(index, low, tokens).alias("blocked")))
+    verdict = F.coalesce(F.col(f"{helper}.rule.verdict"), F.when(F.col(f"{helper}.blocked"), "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col(f"{helper}.rule.rule"), "verdict": verdict}).drop(helper)
 
 
 def oracle(hosts: tuple[HostRule, ...] = HOST_RULES, patterns: tuple[PatternRule, ...] = PATTERN_RULES) -> str:

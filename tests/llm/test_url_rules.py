@@ -24,3 +24,32 @@ def test_patterns_are_fetched_by_the_tokens_of_the_url(spark):
     few = spark.createDataFrame(ROWS, SCHEMA)
     plan = u.judge(few)._jdf.queryExecution().toString()
     assert "array_contains" not in plan and "element_at" in plan
+
+
+def test_syntax_of_rules():
+    import re
+
+    rules = u.parse("! comment\n\n||ads.^\n||*-bets.\n/a/*.gif^\n|http://x.y/z|\n^id=\n")
+    assert [r.tokens for r in rules] == [("ads",), ("bets",), ("a", "gif"), ("http", "x", "y", "z"), ("id",)]
+    fits = [["http://my.ads.?", "http://ads./"], ["https://free-bets.net/", "http://www.x-bets.com"], ["http://h/a/b/c.gif", "http://h/a/.gif?x"], ["http://x.y/z"], ["http://h/?id=3", "http://h/?b&id=3"]]
+    fails = [["http://h/ads.?", "http://bads./"], ["http://h/a-bets.x", "http://h/?a-bets."], ["http://h/a/b.gifs", "http://h/b.gif"], ["http://x.y/z1", "ahttp://x.y/z"], ["http://h/?xid=3"]]
+    for rule, yes, no in zip(rules, fits, fails, strict=True):
+        assert all(re.search(rule.pattern, x) for x in yes) and not any(re.search(rule.pattern, x) for x in no), rule
+        assert all(t in re.findall(u.TOKEN, x) for x in yes for t in rule.tokens)
+    for bad in ("*ads*", "||*x*", "abc"):
+        try:
+            u.parse(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_patterns_block_urls_of_the_table(spark):
+    got = u.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")).where("rule IS NULL").groupBy("verdict").count().collect()
+    assert len(u.PATTERN_RULES) > 100 and {r["verdict"] for r in got} == {"allow", "block"}
+
+
+def test_columns_with_names_of_helpers_stay(spark):
+    rows = spark.createDataFrame([(1, "http://a.net/", 5, 6, 7)], "page_id long, url string, found int, _found int, found_rule int")
+    for hosts in (u.HOST_RULES, u.HOST_RULES * 1_500):
+        assert u.judge(rows, hosts).columns[:5] == rows.columns and u.judge(rows, hosts).first()["_found"] == 6
