@@ -2,8 +2,8 @@
 
 The samples are resampled by a polyphase filter, cut into overlapped frames, and turned into log-mel energies; a
 hysteresis over the frames' energy gives the active time spans. Null text counts as empty: 64 zero bytes. Equal texts
-have equal media and features. Repeated rows stay repeated; extra columns are ignored; an empty table gives an empty
-result.
+have equal media and features. A very long text is one clip, analysed in rounds. Repeated rows stay repeated; extra columns are ignored, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +33,10 @@ STEP = HOP * DOWN / UP / RATE
 ON, OFF = 1.0, -0.5
 #: A tensor of the stored features has the log-mel energies of this many frames; the last one is padded with FLOOR.
 BLOCK, FLOOR = 32, -6.0
+#: Log-mel energies are kept to one part in LEVELS, of which a stored tensor has few different values.
+LEVELS = 64
+#: Samples that one round of array arithmetic takes, so that a long text needs little more than its samples and tensors.
+ROUND = 1 << 20
 
 
 def payload(text: str | None) -> bytes:
@@ -75,8 +79,9 @@ def resample(x: np.ndarray) -> np.ndarray:
     views = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(TAPS - 1, np.float32), x]), TAPS)
     out = np.empty(-(-len(x) * UP // DOWN), np.float32)
     for n in range(min(UP, len(out))):
-        rows = len(out[n::UP])
-        out[n::UP] = views[n * DOWN // UP :: DOWN][:rows] @ PHASES[n * DOWN % UP]
+        own, rows = out[n::UP], views[n * DOWN // UP :: DOWN]
+        for at in range(0, len(own), ROUND):
+            own[at : at + ROUND] = rows[at : at + ROUND][: len(own) - at] @ PHASES[n * DOWN % UP]
     return out
 
 
@@ -102,13 +107,15 @@ def analyse(samples: bytes) -> Features:
     frames = 1 + max(0, -(-(len(x) - FRAME) // HOP))
     x = np.concatenate([x, np.zeros((frames - 1) * HOP + FRAME - len(x), np.float32)])
     each = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(each * WINDOW)).astype(np.float32) ** 2
-    mel = np.log10(power @ MEL_BANK + 10**FLOOR).astype(np.float32)
-    on = active_frames(10 * np.log10(power.sum(1, dtype=np.float64) + 1e-9))
-    turns = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).reshape(-1, 2)
     blocks = -(-frames // BLOCK)
-    tensors = np.full((blocks * BLOCK, MELS), FLOOR, np.float32)
-    tensors[:frames] = mel
+    tensors, energy = np.full((blocks * BLOCK, MELS), FLOOR, np.float32), np.empty(frames)
+    for at in range(0, frames, ROUND // FRAME):
+        now = slice(at, min(frames, at + ROUND // FRAME))
+        power = np.abs(np.fft.rfft(each[now] * WINDOW)).astype(np.float32) ** 2
+        tensors[now] = np.rint(np.log10(power @ MEL_BANK + 10**FLOOR) * LEVELS) / LEVELS
+        energy[now] = power.sum(1, dtype=np.float64)
+    on = active_frames(10 * np.log10(energy + 1e-9))
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))).reshape(-1, 2)
     first = np.arange(blocks) * BLOCK
     return Features(tensors.reshape(blocks, BLOCK, MELS), np.stack([first, np.minimum(first + BLOCK, frames)], 1) * STEP, turns * STEP, frames, int(on.sum()))
 

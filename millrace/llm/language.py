@@ -2,12 +2,12 @@
 
 A text that is null or has no letter is `und` with score 0, as is every text where nothing could be learned. Every row
 gets a prediction, repeated ones too; a row whose language is null teaches nothing. A null doc_id is not held out. Ties go
-to the language that is first by name. Extra columns are ignored; an empty table gives an empty result.
+to the language that is first by name. A very long text is scored in slices. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.text import chunks
+from millrace.llm.text import CHUNK, chunks
 from millrace.llm.vectors import count_vectors
 from millrace.session import ship
 
 #: Buckets of the hashed n-grams, their lengths, and what is added to each count.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most: of more values the most frequent, ties by name.
+MAX_LANGUAGES = 256
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -30,23 +31,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of each text, one text after the other, and where each text's begin. Texts are lower-cased
-    and stand between spaces, so that the ends of words count at the ends of texts too."""
-    lowered = [t.lower() for t in texts]
-    codes = np.frombuffer(("  " + "  ".join(lowered) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    begins = np.concatenate([[0], np.cumsum([len(t) + 2 for t in lowered], dtype=np.int64)])
-    n = int(begins[-1])
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    """The buckets of the n-grams that begin after each of the first n characters, a column for each order."""
     out, state = np.empty((n, len(ORDERS)), np.int32), np.zeros(n, np.uint32)
     for k in range(max(ORDERS)):
         state = (state ^ codes[1 + k : 1 + k + n]) * _FACTORS[k % len(_FACTORS)]
         state ^= state >> np.uint32(15)
         if k + 1 in ORDERS:
             out[:, ORDERS.index(k + 1)] = (state * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 15)
+    return out
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of each text, one text after the other, and where each text's begin. Texts are lower-cased
+    and stand between spaces, so that the ends of words count at the ends of texts too."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer(("  " + "  ".join(lowered) + "   ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 2 for t in lowered], dtype=np.int64)])
+    out = _hashed(codes, int(begins[-1]))
     out[begins[1:] - 1] = 0  # what would reach into the next text
     return out.reshape(-1), begins * len(ORDERS)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category (digits, numbers such as superscripts, and marks aren't)."""
+    return any(map(str.isalpha, text))
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, buckets, where each row's begin) of all texts: short ones together, a text of more than CHUNK
+    characters in slices, one after the other, which have the n-grams of the whole text."""
+    for a, b in chunks(np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)):
+        if b - a > 1 or len(texts[a]) <= CHUNK:
+            yield a, b, *ngrams(texts[a:b])
+            continue
+        padded = "  " + texts[a].lower() + "   "
+        for at in range(0, len(padded) - 3, CHUNK):
+            last = min(at + CHUNK, len(padded) - 3)
+            grams = _hashed(np.frombuffer(padded[at : last + 3].encode("utf-32-le", "surrogatepass"), np.uint32), last - at)
+            if last == len(padded) - 3:
+                grams[-1] = 0
+            yield a, b, grams.reshape(-1), np.array([0, grams.size])
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -58,14 +85,15 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Learns from all rows of docs (text, lang) that have a language."""
     docs = docs.select("text", "lang").where(F.col("lang").isNotNull())
-    languages = sorted(r["lang"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    frequent = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted(r["lang"] for r in frequent.collect())
+    docs = docs.where(F.col("lang").isin(languages))
     place = {x: k for k, x in enumerate(languages)}
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         texts, own = batch.column("text").to_pylist(), np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
         np.add.at(total[:, BUCKETS], own, 1)
-        for a, b in _ranges(texts):
-            grams, begins = ngrams([t or "" for t in texts[a:b]])
+        for a, b, grams, begins in parts([t or "" for t in texts]):
             slot = np.repeat(own[a:b], np.diff(begins))
             total[:, :BUCKETS] += np.bincount(slot * BUCKETS + grams, minlength=len(languages) * BUCKETS).reshape(-1, BUCKETS)
 
@@ -75,10 +103,6 @@ def fit(docs: DataFrame) -> Model:
     return Model(languages, np.ascontiguousarray((np.log(smooth) - np.log(smooth.sum(1, keepdims=True))).T), np.log(prior / prior.sum()))
 
 
-def _ranges(texts: list[str | None]):
-    return chunks(np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64))
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score, the posterior probability of lang_pred; columns of these names are replaced."""
     spark = docs.sparkSession
@@ -89,17 +113,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         likelihood, prior, names = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            for a, b in _ranges(texts) if len(names) > 1 else ():
-                own = [t or "" for t in texts[a:b]]
-                grams, begins = ngrams(own)
-                logs = prior + np.add.reduceat(likelihood[grams], begins[:-1], axis=0)
+            if len(names) > 1:
+                logs = np.tile(prior, (len(texts), 1))
+                for a, b, grams, begins in parts(texts):
+                    logs[a:b] += np.add.reduceat(likelihood[grams], begins[:-1], axis=0)
                 chance = np.exp(logs - logs.max(1, keepdims=True))
                 chance /= chance.sum(1, keepdims=True)
-                known = np.array([bool(_LETTER.search(t)) for t in own])
-                best[a:b] = np.where(known, chance.argmax(1), len(names) - 1)
-                score[a:b] = np.where(known, chance.max(1), 0.0)
+                known = np.array([has_letter(t) for t in texts])
+                best = np.where(known, chance.argmax(1), len(names) - 1)
+                score = np.where(known, chance.max(1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     schema = docs.select(*kept).schema.add("lang_pred", "string", False).add("score", "double", False)

@@ -1,11 +1,18 @@
 """Quality by importance resampling: how much likelier a text is under hashed word n-gram counts of good documents than
-under those of all documents, sampled by Gumbel top-k. The log ratio is taken for a text of LENGTH n-grams, and drawn to 0 as if
-each text had SHRINK n-grams more that say nothing: else long texts would be in or out by their length alone.
-
-A document without words has weight 0. Null text counts as empty. Rows without a label, or with a null one, teach the
-model of all documents only; of several labels of a document the lowest counts. Repeated rows are scored and sampled
-alike; rows that tie with the last one sampled are sampled too. Extra columns are ignored; carried ones
-that are called like a result are left out. Without labels of both kinds every document is kept. An empty table gives an empty result.
+under those of all documents, sampled by Gumbel top-k.
+
+The log ratio of a text is the mean over its n-grams, drawn to 0 as if each text had SHRINK n-grams more that say nothing.
+As the good documents are part of all documents, a document's true ratio is P(good | text) / P(good), at most 1 / P(good),
+while a product over n-grams, as if they were independent, exceeds any bound: so a logistic curve, fitted on labelled
+documents as n-gram models see them that haven't learned from them, sets the scale (the temperature) of the log ratios,
+and log_weight is log P(good | text). Noise then matters as far as the labels leave doubt. The sample has as many documents as are good by
+expectation, the sum of P(good | text).
+
+A document without words has the log ratio 0. Null text counts as empty; a very long text is counted in slices. Rows
+without a label, or with a null one, teach the model of all documents only; of several labels of a document the lowest
+counts. Repeated rows are scored and sampled alike; rows that tie with the last one sampled are sampled too. Extra columns
+are ignored; carried ones that are called like a result are left out. Without labels of both kinds every document is
+kept, with log_weight 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import MULTIPLIER, buffers, chunks, mix, word_hashes
@@ -22,10 +29,10 @@ from millrace.session import ship, stored
 
 #: Buckets of the hashed words and pairs of words, and what is added to the counts, as a share of all documents' counts.
 BUCKETS, SMOOTHING = 1 << 15, 1.0
-#: Labelled documents that the model of good documents and the cut are fitted on, at most (those of the lowest hashes).
+#: Labelled documents that are used, at most (those of the lowest hashes).
 MAX_LABELS = 20_000
 SEED = 20_240_101
-LENGTH, SHRINK = 512, 64
+SHRINK = 64
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,78 +53,94 @@ def _gumbel(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return -np.log(-np.log((u >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54))
 
 
-def labelled(labels: DataFrame, limit: int = MAX_LABELS) -> dict[int, int]:
-    """doc_id -> quality of at most limit labelled documents, spread evenly by a hash of the id."""
+def labelled(labels: DataFrame, limit: int = MAX_LABELS) -> dict[int, tuple[int, int]]:
+    """doc_id -> (quality, half) of at most limit labelled documents, spread evenly by a hash of the id."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return {r["doc_id"]: r["quality"] for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()}
+    rows = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    return {r["doc_id"]: (r["quality"], r["half"]) for r in rows.collect()}
 
 
-def fit(docs: DataFrame, known: dict[int, int]) -> np.ndarray:
-    """log P(bucket | good) - log P(bucket | any)."""
-    good = np.array(sorted(d for d, q in known.items() if q), np.int64)
+def fit(docs: DataFrame, known: dict[int, tuple[int, int]]) -> np.ndarray:
+    """log P(bucket | good) - log P(bucket | any), learned from the good documents of each half."""
+    good = [np.array(sorted(d for d, (q, h) in known.items() if q and h == half), np.int64) for half in (0, 1)]
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
         data, offsets = buffers(batch.column("text"))
-        chosen = np.isin(pc.fill_null(batch.column("doc_id"), -(2**63)).to_numpy(), good)
+        ids = pc.fill_null(batch.column("doc_id"), -(2**63)).to_numpy()
+        chosen = [np.isin(ids, own) for own in good]
         for a, b in chunks(offsets):
             grams, counts = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            total[0] += np.bincount(grams, minlength=BUCKETS)
-            total[1] += np.bincount(grams[np.repeat(chosen[a:b], counts)], minlength=BUCKETS)
-
-    counts = count_vectors(docs.select("doc_id", "text"), (2, BUCKETS), add).astype(np.float64)
-    raw, target = counts[0] + SMOOTHING, counts[1] + SMOOTHING * (counts[1].sum() + 1) / (counts[0].sum() + 1)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
-
-
-def score(docs: DataFrame, weights: np.ndarray, known: dict[int, int], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, log_weight, gumbel_key, the key's order as a whole number, and the label where it is known."""
+            total[2] += np.bincount(grams, minlength=BUCKETS)
+            for half in (0, 1):
+                if chosen[half][a:b].any():
+                    total[half] += np.bincount(grams[np.repeat(chosen[half][a:b], counts)], minlength=BUCKETS)
+
+    first, second, every = count_vectors(docs.select("doc_id", "text"), (3, BUCKETS), add).astype(np.float64)
+    raw = every + SMOOTHING
+    target = np.stack([first, second])
+    target += SMOOTHING * (target.sum(1, keepdims=True) + 1) / (every.sum() + 1)
+    return np.log(target / target.sum(1, keepdims=True)) - np.log(raw / raw.sum())
+
+
+def ratios(docs: DataFrame, weights: np.ndarray, known: dict[int, tuple[int, int]], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns, log_ratio, noise (standard Gumbel noise that a document always gets), and the quality of labelled
+    documents. The ratio of a labelled document is that of the half of the labels that it doesn't belong to, others get the
+    mean of both."""
     spark = docs.sparkSession
     ship(spark)
-    made = ["log_weight", "gumbel_key", "key_order", "label"]
-    schema = docs.select(*carry).schema.add("log_weight", "double").add("gumbel_key", "double").add("key_order", "long").add("label", "integer")
+    made = ["log_ratio", "noise", "quality"]
+    schema = docs.select(*carry).schema.add("log_ratio", "double", False).add("noise", "double", False).add("quality", "integer")
     shared = spark.sparkContext.broadcast((weights, known))
 
     def run(batches):
-        table, labels = shared.value
+        halves, labels = shared.value
+        both = halves.mean(0)
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            sums, hashes = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.uint64)
+            own = [labels.get(d) for d in batch.column("doc_id").to_pylist()]
+            ratio, sizes = np.zeros(len(own)), np.zeros(len(own), np.int64)
             for a, b in chunks(offsets):
                 grams, counts = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                sums[a:b] = np.add.reduceat(np.append(table[grams], 0.0), np.cumsum(counts) - counts) * (counts > 0)
-                sums[a:b] *= LENGTH / (counts + SHRINK)
-                hashes[a:b] = counts.astype(np.uint64)
-            ids = pc.fill_null(batch.column("doc_id"), -1).to_numpy()
-            key = sums + _gumbel(ids, hashes)
-            bits = key.view(np.int64)
-            label = [labels.get(d) for d in batch.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(sums), pa.array(key), pa.array(bits ^ ((bits >> 63) & np.int64(2**63 - 1))), pa.array(label, pa.int32())], names=[*carry, *made])
+                starts = np.cumsum(counts) - counts
+                ratio[a:b] = np.add.reduceat(np.append(both[grams], 0.0), starts) * (counts > 0) / (counts + SHRINK)
+                sizes[a:b] = counts
+                for k in range(a, b):
+                    if own[k]:
+                        part = grams[starts[k - a] : starts[k - a] + counts[k - a]]
+                        ratio[k] = halves[1 - own[k][1]][part].sum() / (len(part) + SHRINK)
+            noise = _gumbel(pc.fill_null(batch.column("doc_id"), -1).to_numpy(), sizes.astype(np.uint64))
+            found = [pa.array(ratio), pa.array(noise), pa.array([x and x[0] for x in own], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), *found], names=[*carry, *made])
 
     return docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).mapInArrow(run, schema)
 
 
-def cut(scored: DataFrame) -> float:
-    """The log weight that tells the labelled good documents from the others with the fewest errors: the middle of the
-    widest gap where several do. It reads at most as many rows as there are labels."""
-    rows = np.array([(r["log_weight"], r["label"]) for r in scored.where("label IS NOT NULL").select("log_weight", "label").limit(4 * MAX_LABELS).collect()]).reshape(-1, 2)
-    if len(set(rows[:, 1])) < 2:
-        return -np.inf
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    bad = rows[:, 1] == 0
-    errors = np.concatenate([[0], np.cumsum(~bad)]) + np.concatenate([np.cumsum(bad[::-1])[::-1], [0]])
-    values = rows[:, 0]
-    gaps = np.concatenate([[0.0], np.diff(values), [0.0]])
-    gaps[errors != errors.min()] = -1.0
-    k = int(gaps.argmax())
-    return -np.inf if k == 0 else np.inf if k == len(values) else float(values[k - 1] + values[k]) / 2
-
-
-def kth_largest(scored: DataFrame, k: int, column: str = "key_order") -> int:
-    """The k-th largest of a long column, found from counts by its 16 highest bits, then the next 16, and so on."""
-    low = -(2**63)
+def curve(x: np.ndarray, good: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(a, b) of P(good | x) = 1 / (1 + exp(-a - b x)) by maximum likelihood, by Newton's method. Labels count as a little less
+    than certain, as if there were one document more of each kind, so that separable labels have a maximum too."""
+    n = good.sum()
+    y = np.where(good, (n + 1) / (n + 2), 1 / (len(good) - n + 2))
+    middle, spread = x.mean(), x.std() + 1e-12
+    z = np.stack([np.ones(len(x)), (x - middle) / spread], 1)
+    beta = np.zeros(2)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -500, 500)))
+        change = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2), z.T @ (y - p) - 1e-6 * beta)
+        beta += change * min(1.0, 4 / (np.abs(change).max() + 1e-12))
+    return float(beta[0] - beta[1] * middle / spread), float(beta[1] / spread)
+
+
+def ordered(key: Column) -> Column:
+    """A whole number that orders as the key does, in billionths, infinities at the ends."""
+    return F.round(F.least(F.greatest(key, F.lit(-9e9)), F.lit(9e9)) * 1e9).cast("long")
+
+
+def kth_largest(weighed: DataFrame, k: int, column: str = "gumbel_key") -> int:
+    """The k-th largest ordered() value of a column, found from counts by its 16 highest bits, then the next 16, and so on."""
+    low, values = -(2**63), weighed.select(ordered(F.col(column)).alias("v"))
     for shift in (48, 32, 16, 0):
-        rows = scored.where(F.shiftright(column, shift + 16) == low >> (shift + 16)) if shift < 48 else scored
-        counts = rows.groupBy(F.shiftright(column, shift).alias("part")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
+        rows = values.where(F.shiftright("v", shift + 16) == low >> (shift + 16)) if shift < 48 else values
+        counts = rows.groupBy(F.shiftright("v", shift).alias("part")).agg(F.count("*").alias("n")).collect()  # 65,536 rows at most
         for r in sorted(counts, key=lambda r: -r["part"]):
             if r["n"] >= k:
                 low = r["part"] << shift
@@ -127,11 +150,22 @@ def kth_largest(scored: DataFrame, k: int, column: str = "key_order") -> int:
 
 
 def resample(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns, log_weight, gumbel_key and keep of each document. The sample has as many documents as weigh at
-    least the cut; it is drawn without replacement, by the largest sums of log weight and Gumbel noise."""
-    carry = tuple(c for c in carry if c not in ("log_weight", "gumbel_key", "key_order", "label", "keep"))
+    """The carried columns, log_weight, gumbel_key and keep of each document. The sample is drawn without replacement, by the
+    largest sums of log weight and Gumbel noise."""
+    spark, made = docs.sparkSession, ("log_ratio", "noise", "quality", "log_weight", "gumbel_key", "keep")
+    carry = tuple(c for c in carry if c not in made)
     known = labelled(labels)
-    scored = stored(docs.sparkSession, score(docs, fit(docs, known), known, carry), "quality")
-    size = scored.where(F.col("log_weight") >= cut(scored)).count()
-    threshold = kth_largest(scored, size) if size else 2**63 - 1
-    return scored.select(*carry, "log_weight", "gumbel_key", (F.col("key_order") >= F.lit(threshold)).alias("keep"))
+    with_id = (*carry, *(() if "doc_id" in carry else ("doc_id",)))
+    scored = stored(spark, ratios(docs, fit(docs, known), known, with_id), "quality")
+    rows = scored.where("quality IS NOT NULL").groupBy("doc_id").agg(F.avg("log_ratio").alias("x"), F.max("quality").alias("q")).collect()  # MAX_LABELS at most
+    rows.sort()
+    x, good = np.array([r["x"] for r in rows]), np.array([r["q"] > 0 for r in rows], bool)
+    if len(set(good.tolist())) < 2:
+        return scored.select(*carry, F.lit(0.0).alias("log_weight"), F.col("noise").alias("gumbel_key"), F.lit(True).alias("keep"))
+    a, b = curve(x, good)
+    weighed = scored.withColumn("log_weight", -F.log1p(F.exp(-(F.col("log_ratio") * F.lit(b) + F.lit(a)))))
+    weighed = weighed.withColumn("gumbel_key", F.col("log_weight") + F.col("noise"))
+    # sums of whole billionths, which come out the same in any order
+    size = weighed.agg(F.sum(F.round(F.exp("log_weight") * 1e9).cast("decimal(38,0)")).alias("n")).first()["n"]
+    threshold = kth_largest(weighed, max(1, round(int(size or 0) / 1e9)))
+    return weighed.select(*carry, "log_weight", "gumbel_key", (ordered(F.col("gumbel_key")) >= F.lit(threshold)).alias("keep"))

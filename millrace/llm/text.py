@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one round of array arithmetic takes; a longer text is a round of its own.
+#: Bytes of text that one round of array arithmetic takes; a longer text is a round of its own, but for its words' hashes,
+#: which are made in rounds of so many bytes too, or of one word.
 CHUNK = 1 << 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _WHITE = np.zeros(256, bool)
@@ -61,12 +62,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     powers = np.ones(int(lengths.max()), np.uint64)
     powers[1:] = MULTIPLIER
     np.multiply.accumulate(powers, out=powers)
-    place = np.arange(starts[0], n)
-    place -= np.repeat(starts, lengths)
-    values = _BYTE[data[starts[0] :]]
-    values *= powers[place]
-    hashes = mix(np.add.reduceat(values, starts - starts[0]))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    hashes = np.empty(len(starts), np.uint64)
+    for a, b in chunks(np.append(starts, n)):
+        first, last = starts[a], starts[b] if b < len(starts) else n
+        place = np.arange(first, last)
+        place -= np.repeat(starts[a:b], lengths[a:b])
+        values = _BYTE[data[first:last]]
+        values *= powers[place]
+        hashes[a:b] = np.add.reduceat(values, starts[a:b] - first)
+    return mix(hashes), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

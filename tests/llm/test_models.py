@@ -3,8 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from millrace.llm import audio, language, quality, topk
-from millrace.llm.text import buffers, shingles, word_hashes
+from millrace.llm import audio, html_extract, language, near_dedup, quality, topk
+from millrace.llm.text import buffers, chunks, mix, shingles, word_hashes
 from pyspark.sql import functions as F
 
 import pyarrow as pa
@@ -45,41 +45,113 @@ def test_language_odd_rows(spark, sf):
     assert {r["lang_pred"] for r in language.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def bucket(three):
+    """The hash of up to three characters, written out with Python's whole numbers."""
+    state = 0
+    for c, factor in zip(three, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+        state = ((state ^ ord(c)) * factor) % 2**32
+        state ^= state >> 15
+    return (state * 0x27D4EB2F) % 2**32 >> 17
+
+
 def test_ngrams_equal_brute_force():
-    texts = ["ab", "", "Aé c", "x"]
+    texts = ["ab", "", "Aé c", "x", "İΣ 日本"]
     grams, begins = language.ngrams(texts)
-    one = [language.ngrams([t])[0] for t in texts]
-    for k in range(len(texts)):
-        assert grams[begins[k] : begins[k + 1]].tolist() == one[k].tolist()
-        assert len(one[k]) == 3 * (len(texts[k]) + 2)
+    for k, t in enumerate(texts):
+        padded = " " + t.lower() + "  "
+        want = [bucket(padded[i : i + n]) for i in range(len(padded) - 2) for n in (1, 2, 3)] + [0, 0, 0]
+        assert grams[begins[k] : begins[k + 1]].tolist() == want
 
 
-def test_quality_tells_labelled_documents(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    rows = quality.resample(docs, labels).join(labels, "doc_id").collect()
-    right = np.mean([r["keep"] == bool(r["quality"]) for r in rows])
-    assert right > 0.9
-    again = {(r["doc_id"], r["keep"]) for r in quality.resample(docs, labels).collect()}
+def test_language_of_a_long_text_in_slices(monkeypatch):
+    text = "Der Anfang und das Ende İ. " * 3_000
+    whole = language.ngrams([text])[0]
+    monkeypatch.setattr(language, "CHUNK", 1000)
+    monkeypatch.setattr(language, "chunks", lambda offsets: chunks(offsets, 1000))
+    slices = list(language.parts(["a", text, "b"]))
+    assert len(slices) > 50 and np.array_equal(np.concatenate([g for a, _, g, _ in slices if a == 1]), whole)
+
+
+def test_no_letter_is_undetermined(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs)
+    rows = language.predict(spark.createDataFrame([(1, "²½①"), (2, "_ 7 \u0301"), (3, "²a"), (4, "日")], "doc_id long, text string"), model).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(rows)] == [True, True, False, False]
+
+
+def test_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "text string, lang string")
+    assert language.fit(docs).languages == ["x", "y"]
+
+
+def test_quality_of_documents_that_nothing_was_learned_from(spark, sf):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.resample(docs, labels.where("doc_id % 4 <> 1")).join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r["keep"] == bool(r["quality"]) for r in rows]) > 0.9
+    again = {(r["doc_id"], r["keep"]) for r in quality.resample(docs, labels.where("doc_id % 4 <> 1")).collect()}
     assert again >= {(r["doc_id"], r["keep"]) for r in rows}
 
 
-def test_quality_weights_equal_brute_force(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    known = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+def grams_of(text):
+    """The buckets of words and pairs of words, from the words' hashes alone."""
+    hashes = word_hashes(*buffers(pa.array([text or ""])))[0].tolist()
+    pairs = [int(mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:])]
+    return [h >> 49 for h in hashes + pairs]
+
+
+def test_quality_equals_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = quality.labelled(labels)
+    assert {d: q for d, (q, _) in known.items()} == {r["doc_id"]: r["quality"] for r in labels.collect()} and {h for _, h in known.values()} == {0, 1}
     weights = quality.fit(docs, known)
-    raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
-    each = {}
+    raw, good, each = np.zeros(quality.BUCKETS), np.zeros((2, quality.BUCKETS)), {}
     for r in docs.collect():
-        grams, _ = quality.features(*buffers(pa.array([r["text"]])))
-        each[r["doc_id"]] = grams
-        np.add.at(raw, grams, 1)
-        np.add.at(good, grams, bool(known.get(r["doc_id"])))
-    good += (good.sum() + 1) / (raw.sum() + 1)
-    raw += 1
-    assert np.allclose(weights, np.log(good / good.sum()) - np.log(raw / raw.sum()))
-    for r in quality.score(docs, weights, known).collect():
-        own = each[r["doc_id"]]
-        assert np.isclose(r["log_weight"], weights[own].sum() * quality.LENGTH / (len(own) + quality.SHRINK))
+        each[r["doc_id"]] = own = grams_of(r["text"])
+        np.add.at(raw, own, 1)
+        q, half = known.get(r["doc_id"], (0, 0))
+        if q:
+            np.add.at(good[half], own, 1)
+    want = []
+    for g in good:
+        g = g + (g.sum() + 1) / (raw.sum() + 1)
+        want.append(np.log(g / g.sum()) - np.log((raw + 1) / (raw + 1).sum()))
+    assert np.allclose(weights, want)
+    mean = lambda d, n: want[n][each[d]].sum() / (len(each[d]) + quality.SHRINK)
+    ratio = {d: mean(d, 1 - known[d][1]) if d in known else (mean(d, 0) + mean(d, 1)) / 2 for d in each}
+    x, y = np.array([ratio[d] for d in known]), np.array([q > 0 for q, _ in known.values()])
+    a, b = quality.curve(x, y)
+
+    def loss(a, b):
+        n = y.sum()
+        t, z = np.where(y, (n + 1) / (n + 2), 1 / (len(y) - n + 2)), a + b * x
+        return (np.logaddexp(0, z) - t * z).sum()
+
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.1, 0, 0.1))
+    noise = {r["doc_id"]: (r["noise"], r["log_ratio"]) for r in quality.ratios(docs, weights, known).collect()}
+    keys, size = {}, 0.0
+    for d, own in each.items():
+        assert np.isclose(noise[d][1], ratio[d])
+        u = int(mix(np.array([(d * 0x9E3779B97F4A7C15 + len(own) + quality.SEED) % 2**64], np.uint64))[0])
+        assert np.isclose(noise[d][0], -np.log(-np.log((u >> 11) / 2**53 + 2**-54)))
+        log_weight = -np.logaddexp(0, -(a + b * ratio[d]))
+        size += np.exp(log_weight)
+        keys[d] = log_weight + noise[d][0]
+    kept = {r["doc_id"] for r in quality.resample(docs, labels).where("keep").collect()}
+    assert kept == set(sorted(keys, key=keys.get)[-max(1, round(size)) :])
+
+
+def test_gumbel_draws_follow_the_weights():
+    """Of one document drawn, each is drawn as often as its share of the weights."""
+    weights, ids = np.array([1.0, 2.0, 5.0]), np.arange(3)
+    drawn = np.bincount([int(np.argmax(np.log(weights) + quality._gumbel(ids + 1000 * k, np.full(3, k, np.uint64)))) for k in range(20_000)], minlength=3) / 20_000
+    assert np.abs(drawn - weights / weights.sum()).max() < 0.02
+
+
+def test_quality_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "good words here", 1, "x"), (2, "bad", 2, "y")], "doc_id long, text string, noise int, label string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.resample(docs, labels, ("doc_id", "noise", "label", "text")).columns == ["doc_id", "label", "text", "log_weight", "gumbel_key", "keep"]
 
 
 def test_quality_odd_rows(spark):
@@ -94,9 +166,10 @@ def test_quality_odd_rows(spark):
 
 @pytest.mark.parametrize("k", [1, 7, 50, 100])
 def test_kth_largest(spark, k):
-    values = np.random.default_rng(k).integers(-(2**63), 2**63 - 1, 90).tolist() + [5] * 10
-    df = spark.createDataFrame([(v,) for v in values], "key_order long")
-    assert quality.kth_largest(df, k) == sorted(values)[-k]
+    values = np.random.default_rng(k).normal(0, 9, 90).tolist() + [5.0] * 8 + [float("-inf"), 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "gumbel_key double").select("gumbel_key", quality.ordered(F.col("gumbel_key")).alias("o"))
+    whole = sorted(r["o"] for r in df.collect())
+    assert quality.kth_largest(df, k) == whole[-k] and whole == [r["o"] for r in df.orderBy("gumbel_key").collect()]
 
 
 def brute_top(rows, k=20):
@@ -156,3 +229,62 @@ def test_audio_features():
     assert abs(np.abs(y[100:]).max() - 1) < 0.05 and np.abs(np.fft.rfft(y)).argmax() == 500
     energy = np.array([0, 0, 5, 2.4, 2.3, 0, 2.4, 5, 0.0])
     assert audio.active_frames(energy).tolist() == [False, False, True, True, True, False, False, True, False]
+
+
+def test_log_mel_equals_brute_force():
+    samples = bytes((37 * k * k + 11 * k) % 251 for k in range(1_600))
+    f = audio.analyse(samples)
+    x = audio.resample((np.frombuffer(samples, np.uint8).astype(np.float64) - 128) / 128)
+    frames = 1 + -(-(len(x) - 256) // 128)
+    x = np.concatenate([x, np.zeros(128 * frames + 256 - len(x))])
+    n, top = np.arange(256), 3_000
+    hertz = lambda mel: 700 * (10 ** (mel / 2595) - 1)
+    edges = [hertz(2595 * np.log10(1 + top / 700) * j / 25) for j in range(26)]
+    for t in (0, 1, frames // 2, frames - 1):
+        part = x[128 * t : 128 * t + 256] * (0.5 - 0.5 * np.cos(2 * np.pi * n / 255))
+        power = [abs(sum(part * np.exp(-2j * np.pi * b * n / 256))) ** 2 for b in range(129)]
+        for j in range(24):
+            low, mid, high = edges[j : j + 3]
+            energy = sum(p * max(0, min((b * top / 128 - low) / (mid - low), (high - b * top / 128) / (high - mid))) for b, p in enumerate(power))
+            assert abs(f.tensors.reshape(-1, 24)[t, j] - np.log10(energy + 1e-6)) < 1 / 64
+    assert f.frames == frames and (f.tensors.reshape(-1, 24)[frames:] == audio.FLOOR).all()
+    assert np.isclose(audio.STEP, 128 / 6_000) and np.allclose(f.blocks[:, 0], np.arange(len(f.blocks)) * 32 * audio.STEP)
+
+
+def test_rounds_change_nothing(monkeypatch):
+    samples = bytes((k * k) % 256 for k in range(64 * 900))
+    whole = audio.analyse(samples)
+    monkeypatch.setattr(audio, "ROUND", 2_048)
+    again = audio.analyse(samples)
+    assert audio.describe(whole) == audio.describe(again) and np.array_equal(whole.spans, again.spans)
+
+
+def test_media_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "a", "m", 3)], "doc_id long, text string, media string, n_bytes int")
+    assert audio.digests(audio.store(docs)).count() == 1
+
+
+def test_texts_of_twenty_megabytes(spark):
+    text = "word of a long text " * 1_000_000
+    odd = spark.createDataFrame([(1, text, "en"), (2, "x" * 2_000_000, "de"), (3, "short text", "en")], DOCS)
+    assert {r["doc_id"]: r["n_bytes"] for r in audio.digests(audio.store(odd)).collect()}[1] == len(text)
+    assert language.identify(odd).count() == 3
+    assert {r["doc_id"]: r["n_shingles"] for r in near_dedup.dedup(odd).collect()} == {1: 5, 2: 1, 3: 1}
+    page = spark.createDataFrame([(1, "<html><body><nav><a href=/>x</a></nav><article><p>" + text + "</p></article></body></html>")], "page_id long, html string")
+    assert html_extract.extract(page).first()["n_chars"] == len(text) - 1
+
+
+def test_pairs_of_blocks_and_partial_sums(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    rows = [(k, (draw.normal(size=12) * draw.choice([0.2, 1.0, 6.0])).astype(np.float32).tolist()) for k in range(900)]
+    for name, value in (("BLOCK", 64), ("STEP", 16), ("QUERIES", 16), ("SEEDS", 64), ("GRID", 3)):
+        monkeypatch.setattr(topk, name, value)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()} == brute_top(rows)
+    q = np.array([[3, 0, 0, 0], [0, 2, 0, 0]], np.int64)
+    counted, products = [], topk.products
+    monkeypatch.setattr(topk, "products", lambda a, b: counted.append(a.shape[0] * b.shape[0]) or products(a, b))
+    search = topk.Search(q, np.array([1, 2]), np.full(2, -np.inf), np.eye(4), 1)
+    search.add(np.array([[9, 0, 0, 0], [0, 9, 0, 0]] + [[1, 1, 0, 0]] * 62, np.int64), np.arange(10, 74))
+    assert search.rows().to_pylist() == [{"query_id": 1, "vec_id": 10, "score": 27}, {"query_id": 2, "vec_id": 11, "score": 18}]
+    assert sum(counted) < 2 * 64
