@@ -1,6 +1,6 @@
 """The main text of web pages: boosted trees score the nodes of a page, and a decoding over the tree chooses among them.
 
-Null or empty html, and pages without main text, give an empty text. Markup that never ends counts up to the page's end.
+Null or empty html, and pages without main text, give an empty text. A very long page is parsed whole, by itself. Markup that never ends counts up to the page's end.
 Repeated rows stay repeated. Extra columns stay; columns called text or n_chars are replaced. An empty table gives an
 empty result. A line break ends a block, as block elements do.
 """
@@ -12,51 +12,66 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from millrace.llm import boosting
 from millrace.llm.html_tree import TEXT, Node, Page, parse
+from millrace.llm.text import chunks
 from millrace.session import ship
 
-#: Drawn pages that the trees learn from.
-PAGES = 700
+#: Bytes of html whose nodes are held at once; a longer page is a round of its own.
+ROUND = 1 << 20
+#: Drawn pages that the trees learn from; trees, and questions on the way through one.
+PAGES, TREES, DEPTH = 700, 60, 5
 #: Attribute tokens of parts that aren't main text, and of main text.
 AWAY = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo promotion cookie cookies consent notice gdpr popup modal alert newsletter subscribe signup login search comment comments reply respond disqus sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social related recommended toolbar pagination pager copyright legal".split())
 MAIN = frozenset("article articlebody body content entry main post story text".split())
 AWAY_TAGS, MAIN_TAGS = frozenset("nav footer aside form header dialog button label".split()), frozenset(["article", "main"])
-_KINDS = [{TEXT}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "input", "button", "label", "select", "textarea"}, MAIN_TAGS, {"section"}, {"div"}, {"p"}, {"h1", "h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dd", "dt"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"a"}, {"html", "body"}, {"blockquote", "pre", "figure", "figcaption", "code"}, {"ins", "iframe"}]
+HEADINGS, FLOWING = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("p li blockquote pre td dd em b i strong span".split())
+CONTROLS = frozenset("form input button label select textarea option".split())
+_KINDS = [{TEXT}, {"nav"}, {"header"}, {"footer"}, {"aside"}, {"form", "input", "button", "label", "select", "textarea"}, MAIN_TAGS, {"section"}, {"div"}, {"p"}, {"h1"}, {"h2", "h3"}, {"h4", "h5", "h6"}, {"ul", "ol", "li", "dl", "dd", "dt"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"a"}, {"html", "body"}, {"blockquote", "pre", "code"}, {"figure", "figcaption", "img"}, {"ins", "iframe"}]
 _KIND = {t: k for k, tags in enumerate(_KINDS) for t in tags}
-#: Features of a node: its kind, and OTHERS more.
-OTHERS = 20
-WIDTH = len(_KINDS) + OTHERS
+#: Features of a node: its kind, its parent's, and OTHERS more.
+OTHERS = 30
+WIDTH = 2 * len(_KINDS) + OTHERS
 
 
 def features(nodes: list[Node]) -> np.ndarray:
+    """A row for each node: kinds, attribute tokens of its own and above, depth, and of its subtree, its siblings and its
+    parent how much text they have, how much of it is linked, how dense it is, how long its runs are, and where it stands."""
     n = len(nodes)
     own, links, tags, stops = [0] * n, [0] * n, [1] * n, [0] * n
+    longest, runs, anchors, controls, flowing, heads = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     children: list[list[int]] = [[] for _ in nodes]
-    sign, near, away, main = [0] * n, [0] * n, [0] * n, [0] * n
+    sign, near, away, main, before = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    seen = 0
     for k, node in enumerate(nodes):
         p = node.parent
         a, m = len(node.marks & AWAY) + (node.tag in AWAY_TAGS), len(node.marks & MAIN) + (node.tag in MAIN_TAGS)
         away[k], main[k] = a + (away[p] if p >= 0 else 0), m + (main[p] if p >= 0 else 0)
         sign[k], near[k] = ((-1 if a >= m else 1), 0) if a or m else (sign[p], near[p] + 1) if p >= 0 else (0, 0)
+        before[k] = seen
         if p >= 0:
             children[p].append(k)
         if node.tag == TEXT:
-            own[k] = len(node.text)
+            own[k] = longest[k] = len(node.text)
+            runs[k] = 1
             stops[k] = node.text.count(".") + node.text.count(",")
+            seen += own[k]
+            flowing[k] = own[k] if p >= 0 and nodes[p].tag in FLOWING else 0
+        anchors[k], controls[k], heads[k] = node.tag == "a", node.tag in CONTROLS, node.tag in HEADINGS
     for k in range(n - 1, -1, -1):
         node = nodes[k]
         if node.tag == "a":
             links[k] = own[k]
         if node.parent >= 0:
             p = node.parent
-            own[p] += own[k]
-            links[p] += links[k]
-            tags[p] += tags[k]
-            stops[p] += stops[k]
+            for part in (own, links, tags, stops, runs, anchors, controls, flowing, heads):
+                part[p] += part[k]
+            longest[p] = max(longest[p], longest[k])
     whole = sum(own[k] for k in range(n) if nodes[k].parent < 0) or 1
+    most = max(longest, default=0) or 1
     x = np.zeros((n, WIDTH), np.float32)
     place = [0] * n
     for group in children:
@@ -67,12 +82,19 @@ def features(nodes: list[Node]) -> np.ndarray:
         p = node.parent
         if node.tag in _KIND:
             x[k, _KIND[node.tag]] = 1
+        if p >= 0 and nodes[p].tag in _KIND:
+            x[k, len(_KINDS) + _KIND[nodes[p].tag]] = 1
         a, m = len(node.marks & AWAY) + (node.tag in AWAY_TAGS), len(node.marks & MAIN) + (node.tag in MAIN_TAGS)
         size, siblings = own[k], len(children[p]) if p >= 0 else 1
         beside = (own[p] - size) / max(1, siblings - 1) if p >= 0 else 0
-        rows.append((node.depth, a, m, sign[k], near[k], away[k] - a, main[k] - m, math.log1p(size), size / whole, links[k] / max(1, size), tags[k] / (size + 1), len(children[k]), place[k] / max(1, siblings - 1), siblings, math.log1p(beside), stops[k] / (size + 1), links[p] / max(1, own[p]) if p >= 0 else 0, own[p] / whole if p >= 0 else 1, sign[p] if p >= 0 else 0, tags[k]))
+        rows.append((
+            node.depth, a, m, sign[k], near[k], away[k] - a, main[k] - m, math.log1p(size), size / whole, links[k] / max(1, size), tags[k] / (size + 1), len(children[k]), place[k] / max(1, siblings - 1), siblings, math.log1p(beside),
+            stops[k] / (size + 1), links[p] / max(1, own[p]) if p >= 0 else 0, own[p] / whole if p >= 0 else 1, sign[p] if p >= 0 else 0, tags[k],
+            math.log1p(longest[k]), longest[k] / most, size / max(1, runs[k]), anchors[k], controls[k], flowing[k] / max(1, size), heads[k], (before[k] + size / 2) / whole,
+            *(math.log1p(longest[children[p][j]]) if p >= 0 and 0 <= j < siblings else 0.0 for j in (place[k] - 1, place[k] + 1)),
+        ))
     if rows:
-        x[:, len(_KINDS) :] = rows
+        x[:, 2 * len(_KINDS) :] = rows
     return x
 
 
@@ -82,7 +104,7 @@ def model() -> boosting.Trees:
     from millrace.llm.html_pages import page
 
     drawn = [page(seed) for seed in range(PAGES)]
-    return boosting.fit(np.concatenate([features(nodes) for nodes, _ in drawn]), np.concatenate([np.array(y, np.float64) for _, y in drawn]))
+    return boosting.fit(np.concatenate([features(nodes) for nodes, _ in drawn]), np.concatenate([np.array(y, np.float64) for _, y in drawn]), TREES, DEPTH, share=0.4)
 
 
 def decode(nodes: list[Node], odds: list[float]) -> list[bool]:
@@ -134,8 +156,9 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
+            sizes = pc.fill_null(pc.binary_length(batch.column(html)), 0).to_numpy()
+            for at, to in chunks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), ROUND):
+                part = batch.slice(at, to - at)
                 found = texts(part.column(html).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*kept, "text", "n_chars"])
 

@@ -9,7 +9,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that end a block of text where they begin and where they end.
 BLOCKS = frozenset("address article aside blockquote body br button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe input label legend li main menu nav noscript object ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul video audio".split())
 #: Elements whose text is never shown as text of the page.
-SILENT = frozenset("head script style template noscript title svg math iframe object select option textarea canvas".split())
+SILENT = frozenset("head script style template title".split())
 #: An element that begins closes an open one of these, up to the nearest of the elements named last.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _P_CLOSERS = BLOCKS - {"br", "body", "html", "button", "label", "input", "option", "select", "textarea", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "iframe", "object", "noscript", "video", "audio"}
@@ -22,7 +22,7 @@ class Node:
     tag: str
     parent: int
     depth: int
-    #: Tokens of class, id, role and itemprop, and names of data attributes; the attributes as written, for the drawn pages.
+    #: Tokens of class, id, role and itemprop; the attributes as written, for the drawn pages.
     marks: frozenset[str] = frozenset()
     written: str = ""
     text: str = ""
@@ -54,7 +54,7 @@ class _Builder(HTMLParser):
             self.page.flow.append(-1)
         if tag == "body":  # what an unclosed head holds stays silent, the body doesn't
             self._close({"head"}, frozenset())
-        marks = frozenset(t for k, v in attrs for t in (_tokens(v or "") if k in ("class", "id", "role", "itemprop") else [k] if k == "data-main" else ()))
+        marks = frozenset(t for k, v in attrs for t in (_tokens(v or "") if k in ("class", "id", "role", "itemprop") else ()))
         written = " ".join(f'{k}="{v}"' for k, v in attrs)
         self.page.nodes.append(Node(tag, self.open[-1] if self.open else -1, len(self.open), marks, written))
         if tag not in VOID:
