@@ -6,7 +6,7 @@ Each bucket first compares its nodes with its least one. Where that leaves a buc
 nodes of different components are compared: pair by pair in small buckets, and in blocks of nodes by one product of
 incidence matrices in large ones, so that no pair is passed over for a bucket's size.
 
-Null text and text without words has an empty set and links with nothing. Copies, repeated rows and ties fall into one
+A very long text is hashed in slices; its set is one row. Null text and text without words has an empty set and links with nothing. Copies, repeated rows and ties fall into one
 component; the least non-null doc_id names it (null if there is none). Extra columns are ignored; an empty table gives an
 empty result.
 """
@@ -24,8 +24,9 @@ from millrace.llm.text import buffers, chunks, mix, shingles, word_hashes
 from millrace.session import ship, stored
 
 WIDTH, PERCENT = 5, 75
-#: Nodes of a bucket up to which its pairs are compared singly; nodes of a block beyond that.
-SINGLY, BLOCK = 64, 256
+#: Nodes of a bucket up to which its pairs are compared singly, by joins; beyond that by blocks of about so many nodes and
+#: elements at most. Both compare all pairs.
+SINGLY, BLOCK, BLOCK_ELEMENTS = 64, 256, 1 << 20
 #: Columns of an incidence matrix that are multiplied at once.
 COLUMNS = 8192
 
@@ -42,10 +43,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs[new], np.bincount(owner[new], minlength=len(per))
 
 
-def _nodes(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set."""
-    sums = np.add.reduceat(np.append(mix(elements + np.uint64(11)), np.uint64(0)), np.cumsum(sizes) - sizes)
-    return mix(np.where(sizes > 0, sums, 0).astype(np.uint64) + sizes.astype(np.uint64)).view(np.int64)
+def _nodes(elements: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A 128-bit name of each set."""
+    starts, halves = np.cumsum(sizes) - sizes, []
+    for salt in (11, 0x5DEECE66D):
+        sums = np.add.reduceat(np.append(mix(elements + np.uint64(salt)), np.uint64(0)), starts)
+        halves.append(mix(np.where(sizes > 0, sums, 0).astype(np.uint64) + sizes.astype(np.uint64)))
+    names = np.stack(halves, 1).tobytes()
+    return pa.array([names[k : k + 16] for k in range(0, len(names), 16)], pa.binary())
 
 
 def _rows(docs: DataFrame, with_sets: bool) -> DataFrame:
@@ -62,7 +67,7 @@ def _rows(docs: DataFrame, with_sets: bool) -> DataFrame:
                 sketches = np.zeros((b - a, setsketch.REGISTERS), np.uint16)
                 if some.any():
                     sketches[some] = setsketch.registers(elements, starts[some])
-                out = [batch.column("doc_id").slice(a, b - a), batch.column("row_key").slice(a, b - a), pa.array(_nodes(elements, sizes)), pa.array(sizes.astype(np.int64))]
+                out = [batch.column("doc_id").slice(a, b - a), batch.column("row_key").slice(a, b - a), _nodes(elements, sizes), pa.array(sizes.astype(np.int64))]
                 names = ["doc_id", "row_key", "node", "n"]
                 if with_sets:
                     out += [pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array([elements[s : s + k].tobytes() for s, k in zip(starts, sizes, strict=True)], pa.binary())]
@@ -74,7 +79,7 @@ def _rows(docs: DataFrame, with_sets: bool) -> DataFrame:
                     names.append("bands")
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(run, f"doc_id long, row_key long, node long, n long, {extra}")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(run, f"doc_id long, row_key long, node binary, n long, {extra}")
 
 
 def _u16(cells: pa.Array) -> np.ndarray:
@@ -92,7 +97,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([p.column("a").filter(pa.array(keep)), p.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     side = lambda s: sketches.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     side = lambda s: sets.select(F.col("node").alias(s), F.col("elements").alias(f"e{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
 def block_links(first: list, second: list) -> list[tuple[int, int]]:
@@ -151,9 +156,14 @@ def block_links(first: list, second: list) -> list[tuple[int, int]]:
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members (bucket, node, component, k) of large buckets of k nodes."""
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets.select("node", "elements"), "node")
+    """Links between members (bucket, node, component, k) of large buckets of k nodes. Of buckets that hold the same nodes,
+    as those of a group that agrees in several bands, one is compared."""
+    alike = members.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.max("k").alias("size"))
+    chosen = alike.groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rows = members.join(chosen, "bucket", "left_semi").join(sets.select("node", "n", "elements"), "node")
+    weight = members.join(sets.select("node", "n"), "node").groupBy("bucket").agg(F.sum("n").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("weight") / BLOCK_ELEMENTS)).cast("int")
+    rows = rows.join(weight, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     packed = rows.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "elements")).alias("rows"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     sent = packed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("leads"), "rows")
@@ -165,9 +175,9 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
                 first = batch.column("rows")[n].as_py()
                 second = batch.column("more")[n].as_py() if batch.column("x")[n].as_py() != batch.column("y")[n].as_py() else first
                 found = block_links(first, second) if second else []
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return pairs.select("x", "y", "rows", "more").mapInArrow(run, "a long, b long")
+    return pairs.select("x", "y", "rows", "more").mapInArrow(run, "a binary, b binary")
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -223,5 +233,9 @@ def survivors(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
     chosen = named.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = docs.where(worded).withColumn("_key", F.xxhash64("doc_id", "text")).join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = "key"
+    while key in {c.lower() for c in docs.columns}:
+        key = "_" + key
+    stay = docs.where(worded).withColumn(key, F.xxhash64("doc_id", "text")).join(chosen.withColumnRenamed("_key", key), key, "left_semi")
+    stay = stay.dropDuplicates([key, "doc_id"]).drop(key)  # rows of the same doc_id and text are one
     return stay.unionByName(docs.where(~worded))

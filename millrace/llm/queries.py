@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import audio, bpe, html_extract, language, near_dedup, packing, quality, token_files, topk, url_filter
-from millrace.session import shared_dir, table
+from millrace.session import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +27,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digests(spark, path)
 

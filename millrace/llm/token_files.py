@@ -3,7 +3,7 @@
 The ids stand as integers, which ORC stores run-length encoded; each stripe has row indexes, and Bloom filters on doc_id,
 so that a reader of some documents skips files, stripes and row groups, and tasks read stripes in parallel.
 Null text counts as empty and gives the end id alone. Rows of null doc_id come first. Rows of the same doc_id follow one
-another, each with its own start. Extra columns are ignored; an empty table gives an empty result.
+another, each with its own start. A very long text is one row. Extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from millrace.session import ship
 
 #: Rows that one entry of the row index and of the Bloom filter covers; bytes of a stripe.
 ROW_GROUP, STRIPE = 1_000, 16 << 20
+#: Ranges of doc_id for each partition that the input is read in, which is a fixed number of bytes of files.
+RANGES = 2
 #: Files whose token counts are broadcast, at some 20 bytes each; more of them are joined.
 MAX_FILES = 50_000
 FILE_SCHEMA = "doc_id long, start_in_file long, n_tokens long, ids array<int>"
@@ -30,12 +32,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     """Encodes docs (doc_id, text) and writes the files. Texts are dealt out by ranges of doc_id, then encoded."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    ordered = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
+    ranges = max(RANGES * docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(ranges, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
 
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc, total = tokens.encoder(vocabulary, bpe.long_piece), 0
+        enc, total = tokens.encoder(vocabulary), 0
         for batch in batches:
             for a, b, texts in bpe.slices(batch.column("text")):
                 encoded = [x + tail for x in enc.ids(texts)]

@@ -1,15 +1,18 @@
 import hashlib
 import random
+import shutil
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, packing, token_files
-from millrace.llm.tokens import Encoder
+from millrace.llm.tokens import Encoder, library
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a  b", "a   b", " a b ", "a \n b", "x<|endoftext|> y <|endoftext|>", "don't I'll 'S É é ́x  İstanbul ΣΑΣ ß", "\x1c a \x1d b", "日本 語 　 x", "\r\n a", "🙂 🙂x", "A ̀B", "a_b a^ ſt ŉ"]
@@ -26,17 +29,36 @@ def test_encoder_equals_library(path):
     draw, alphabet = random.Random(3), " \n\tab'sé́.1 Σ🙂<\x1cÉŸ,_`^~"
     texts = ODD + ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
     library = Tokenizer.from_file(path)
-    for text, got in zip(texts, Encoder(path, bpe.long_piece).ids(texts), strict=True):
+    for text, got in zip(texts, Encoder(path).ids(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("leaf", [2, 7, 1024])
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_tree_concatenation_equals_library(path):
-    draw, library = random.Random(5), Tokenizer.from_file(path)
-    for alphabet in ("a", "ab", "theandofing", "é日a", "=-", "abc.1\n"):
-        for n in (1025, 5000, 20001):
-            text = "".join(draw.choice(alphabet) for _ in range(n)) + draw.choice(["", "<|endoftext|>x"])
-            assert bpe.long_piece(library, text) == library.encode(text, add_special_tokens=False).ids
+def test_tree_concatenation_equals_library(path, leaf, monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    draw, own = random.Random(5), library(path)
+    for alphabet in ("a", "ab", "theandofing", "é日a", "=-", "abc.1\n", " ", " \n\ta", "'sla ", "e\u0301\u0323x ", "🙂‍ 漢字1", "Σİß "):
+        for n in (0, 1, 30, 1025, 3001):
+            text = "".join(draw.choice(alphabet) for _ in range(n)) + draw.choice(["", "<|endoftext|>x", "<|endoftext|><|endoftext|>", "<|endof"])
+            assert bpe.tree_concat(path, [text])[0].tolist() == own.encode(text, add_special_tokens=False).ids, repr(text[:50])
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_tree_concatenation_joins_documents(path, monkeypatch):
+    joined, join = [], bpe.join
+    monkeypatch.setattr(bpe, "join", lambda *a: joined.append(a[2].end) or join(*a))
+    texts = [r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    own = library(path)
+    for text, got in zip(texts, bpe.tree_concat(path, texts), strict=True):
+        assert got.tolist() == own.encode(text, add_special_tokens=False).ids
+    assert len(joined) > sum(len(t) for t in texts) / (2 * bpe.LEAF) / 2
+
+
+def test_kind_of_vocabulary_stands_in_its_file(tmp_path):
+    for k, path in enumerate((WORD, BYTE)):
+        shutil.copy(path, tmp_path / f"v{k}.json")
+        assert Encoder(str(tmp_path / f"v{k}.json")).drops_white == (path == WORD)
 
 
 def test_bpe_query_rows(spark):
@@ -102,17 +124,28 @@ def test_packing_of_documents(spark, sf):
     assert used <= least + 1
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_search_keeps_pieces_and_saves_bins(seed):
-    draw = random.Random(seed)
-    counts = {draw.randint(1, 100): draw.randint(1, 30) for _ in range(draw.randint(1, 60))}
-    first = packing.best_fit(counts, 100)
-    last = packing.search(first, 100)
-    for bins in (first, last):
-        total = defaultdict(int)
-        for p, c in bins.items():
-            assert sum(p) <= 100
-            for n in p:
-                total[n] += c
-        assert total == counts
-    assert sum(last.values()) <= sum(first.values())
+def test_files_skip_row_groups(spark, tmp_path):
+    """A filter on doc_id reaches the reader, which then reads far fewer rows than there are."""
+    docs = spark.range(40_000).selectExpr("id * 7 % 40000 AS doc_id", "concat('text ', id) AS text")
+    token_files.write(docs, f"file://{tmp_path}/t", WORD)
+    rows = token_files.rows_of(spark, f"file://{tmp_path}/t").where("doc_id = 7777")
+    assert rows.count() == 1
+    plan = rows.select("doc_id", "ids")
+    assert "EqualTo(doc_id,7777)" in plan._jdf.queryExecution().toString()
+    plan.collect()
+    scan = plan._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert 0 < scan.metrics().apply("numOutputRows").value() <= 4 * token_files.ROW_GROUP
+    data = b"".join(p.read_bytes() for p in (tmp_path / "t").glob("*.orc"))
+    assert b"doc_id" in data
+    metadata = [orc.ORCFile(p) for p in (tmp_path / "t").glob("*.orc")]
+    assert sum(f.nrows for f in metadata) == 40_000 and all(f.row_index_stride == token_files.ROW_GROUP for f in metadata)
+
+
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    rows = [(1, "a b", 5, "x", 1), (1, "a b", 6, "y", 2), (None, "c", 7, "z", 3), (None, None, 8, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, n_tokens string, length int")
+    token_files.write(docs, f"file://{tmp_path}/c", WORD)
+    assert sorted(r["n_tokens"] for r in token_files.digests(spark, f"file://{tmp_path}/c").collect()) == [1, 2, 3, 3]
+    packed = packing.pack(docs, WORD).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packed) == [(0, 1), (0, 2), (1, 3), (1, 3)]
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == 4
