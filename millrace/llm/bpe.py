@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,75 +22,73 @@ from millrace.llm import tokens
 from millrace.llm.text import buffers, chunks
 from millrace.session import ship
 
-#: Bytes of text that a worker encodes at once, the most characters of a leaf, and units at its ends that a span knows.
+#: Bytes of text that a worker takes at once, the most characters of a leaf, and pieces at its ends that a span knows.
 BATCH, LEAF, KNOWN = 1 << 20, 1024, 4
 
-#: A unit of the vocabulary's own splitting: its first place in the text, the place after its last, its number of tokens.
+#: A piece of a text, encoded by itself: its first place in the text, the place after its last, its number of tokens.
 Unit = tuple[int, int, int]
 
 
 class Span(NamedTuple):
-    """A stretch of a text, encoded: its ids, its first and last units, and whether these are all of its units (then head
-    and tail are the same)."""
+    """A stretch of a text, encoded: its ids (little-endian), its first and last pieces, and whether these are all of its
+    pieces (then head and tail are the same)."""
 
     begin: int
     end: int
-    ids: np.ndarray
+    ids: bytes
     head: list[Unit]
     tail: list[Unit]
     whole: bool
 
 
-def _units(encoding, begin: int, n: int, step: int) -> tuple[list[Unit], bool]:
-    """At most KNOWN units from one end, in that order, and whether there are no others."""
-    out, at = [], 0 if step > 0 else n - 1
-    while 0 <= at < n and len(out) < KNOWN:
-        word = encoding.token_to_word(at)
-        first, last = encoding.word_to_tokens(word)
-        low, high = encoding.word_to_chars(word)
-        out.append((begin + low, begin + high, last - first))
-        at = last if step > 0 else first - 1
-    return out, not 0 <= at < n
-
-
-def _span(encoding, begin: int, end: int) -> Span:
-    ids = np.array(encoding.ids, np.uint32)
-    head, whole = _units(encoding, begin, len(ids), 1)
-    return Span(begin, end, ids, head, head if whole else _units(encoding, begin, len(ids), -1)[0][::-1], whole)
-
-
-def cuts(begin: int, end: int) -> list[int]:
-    """Where a stretch is halved, and its halves, until no part has more than LEAF characters; its ends included."""
+def span(enc: tokens.Encoder, text: str, begin: int, end: int) -> Span:
+    """text[begin:end] as if it stood alone."""
+    pieces = enc.pieces(text[begin:end])
+    ids = [enc.known[p] for p in pieces]
+    gap, whole, head, tail = int(enc.drops_white), len(pieces) <= KNOWN, [], []
+    at = begin
+    for p, x in zip(pieces[:KNOWN], ids, strict=False):
+        head.append((at, at + len(p), len(x) // 4))
+        at += len(p) + gap
+    at = end
+    for p, x in zip(pieces[: -KNOWN - 1 : -1], ids[: -KNOWN - 1 : -1], strict=True):
+        tail.append((at - len(p), at, len(x) // 4))
+        at -= len(p) + gap
+    return Span(begin, end, b"".join(ids), head, head if whole else tail[::-1], whole)
+
+
+def cuts(n: int) -> list[int]:
+    """Where a text of n characters is halved, and its halves, until no part has more than LEAF; its ends included."""
     parts = 1
-    while parts * LEAF < end - begin:
+    while parts * LEAF < n:
         parts *= 2
-    return [begin + (end - begin) * k // parts for k in range(parts + 1)]
+    return [n * k // parts for k in range(parts + 1)]
 
 
-def _agreed(tokenizer, text: str, left: Span, right: Span) -> tuple[Span, int, int]:
+def _agreed(enc: tokens.Encoder, text: str, left: Span, right: Span) -> tuple[Span, int, int]:
     """The window around the join of two spans, and how many tokens of the left's end and the right's beginning it
-    replaces. The window grows on a side until its outermost unit there ends (or begins) where that side's own unit does,
-    or the side is used up. Splitting goes from left to right and looks no further than the next character, so that what
-    lies beyond agreeing units is right as it stands. Beyond the units that a span knows, the window takes all of it."""
+    replaces. The window grows on a side until its outermost piece there is that side's own, or the side is used up: where
+    pieces end depends on the characters beside that place only, so what lies beyond agreeing pieces is right as it
+    stands. Beyond the pieces that a span knows, the window takes all of it."""
     a = b = 1
     while True:
         from_left = a <= len(left.tail) - left.whole
         from_right = b <= len(right.head) - right.whole
         low = left.tail[-a][0] if from_left else left.begin
         high = right.head[b - 1][1] if from_right else right.end
-        window = _span(tokenizer.encode(text[low:high], add_special_tokens=False), low, high)
-        left_agrees = not from_left or (window.head and window.head[0][:2] == left.tail[-a][:2])
-        right_agrees = not from_right or (window.tail and window.tail[-1][:2] == right.head[b - 1][:2])
+        window = span(enc, text, low, high)
+        left_agrees = not from_left or window.head[0][:2] == left.tail[-a][:2]
+        right_agrees = not from_right or window.tail[-1][:2] == right.head[b - 1][:2]
         if left_agrees and right_agrees:
-            dropped = sum(u[2] for u in left.tail[-a:]) if from_left else len(left.ids)
-            passed = sum(u[2] for u in right.head[:b]) if from_right else len(right.ids)
+            dropped = 4 * sum(u[2] for u in left.tail[-a:]) if from_left else len(left.ids)
+            passed = 4 * sum(u[2] for u in right.head[:b]) if from_right else len(right.ids)
             return window, dropped, passed
         a, b = a if left_agrees else 2 * a, b if right_agrees else 2 * b
 
 
-def join(tokenizer, text: str, left: Span, right: Span) -> Span:
+def join(enc: tokens.Encoder, text: str, left: Span, right: Span) -> Span:
     """Two encoded neighbours as one."""
-    window, dropped, passed = _agreed(tokenizer, text, left, right)
+    window, dropped, passed = _agreed(enc, text, left, right)
     before = [u for u in left.head if u[1] <= window.begin]
     after = [u for u in right.tail if u[0] >= window.end]
     beside_left, beside_right = left.whole or len(before) < len(left.head), right.whole or len(after) < len(right.tail)
@@ -100,48 +97,18 @@ def join(tokenizer, text: str, left: Span, right: Span) -> Span:
         head = before + window.head + ([u for u in right.head if u[0] >= window.end] if window.whole else [])
     if beside_right:
         tail = ([u for u in left.tail if u[1] <= window.begin] if window.whole else []) + window.tail + after
-    ids = np.concatenate([left.ids[: len(left.ids) - dropped], window.ids, right.ids[passed:]])
+    ids = b"".join((left.ids[: len(left.ids) - dropped], window.ids, right.ids[passed:]))
     whole = left.whole and window.whole and right.whole and len(head) <= KNOWN
     return Span(left.begin, right.end, ids, head[:KNOWN], head if whole else tail[-KNOWN:], whole)
 
 
-def tree_concat(vocabulary: str, texts: list[str]) -> list[np.ndarray]:
-    """The ids of whole texts. The library cuts special tokens out of a text first; each stretch between them is normalized
-    and halved down to leaves, the leaves of all texts are encoded in one call, which may spread them over threads, and
-    neighbours are joined in pairs, then pairs of those, up to the whole stretch."""
-    normalizer, tokenizer = tokens.library(vocabulary).normalizer, tokens.library(vocabulary, False)
-    special = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
-    pattern = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-    plans: list[list[int | tuple[str, list[int]]]] = []  # of each text: ids of special tokens, stretches and their cuts
-    for text in texts:
-        plan, at = [], 0
-        for found in [*pattern.finditer(text), None] if pattern else [None]:
-            stretch = text[at : found.start() if found else len(text)]
-            stretch = normalizer.normalize_str(stretch) if normalizer else stretch
-            plan.append((stretch, cuts(0, len(stretch))))
-            if found:
-                plan.append(special[found.group()])
-                at = found.end()
-        plans.append(plan)
-    leaves = [part[0][a:b] for plan in plans for part in plan if not isinstance(part, int) for a, b in itertools.pairwise(part[1])]
-    encodings = iter(tokenizer.encode_batch(leaves, add_special_tokens=False))
-    out = []
-    for plan in plans:
-        ids = []
-        for part in plan:
-            if isinstance(part, int):
-                ids.append(np.array([part], np.uint32))
-                continue
-            stretch, edges = part
-            if len(edges) == 2:
-                ids.append(np.array(next(encodings).ids, np.uint32))
-                continue
-            level = [_span(next(encodings), a, b) for a, b in itertools.pairwise(edges)]
-            while len(level) > 1:
-                level = [join(tokenizer, stretch, level[k], level[k + 1]) for k in range(0, len(level), 2)]
-            ids.append(level[0].ids)
-        out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
-    return out
+def tree_concat(enc: tokens.Encoder, text: str) -> bytes:
+    """The ids of a whole text: its leaves are encoded independently of each other, then neighbours are joined in pairs, then
+    pairs of those, up to the whole text."""
+    level = [span(enc, text, a, b) for a, b in itertools.pairwise(cuts(len(text)))]
+    while len(level) > 1:
+        level = [join(enc, text, level[k], level[k + 1]) for k in range(0, len(level), 2)]
+    return level[0].ids
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
@@ -150,13 +117,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
         yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
 
 
-def ids_array(encoded: list[bytes] | list[np.ndarray], arrow: pa.DataType) -> pa.Array:
+def ids_array(encoded: list[bytes], arrow: pa.DataType) -> pa.Array:
     """A list column of ids, given as little-endian 32-bit numbers."""
-    cells = [memoryview(x).cast("B") for x in encoded]
     ends = [0]
-    for x in cells:
+    for x in encoded:
         ends.append(ends[-1] + len(x) // 4)
-    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(cells))])
+    values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(encoded))])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values).cast(arrow)
 
 
@@ -166,12 +132,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c != ids]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    tail = np.array([] if end_id is None else [end_id], np.uint32)
+    tail = b"" if end_id is None else end_id.to_bytes(4, "little")
 
     def run(batches):
+        enc = tokens.encoder(vocabulary)
         for batch in batches:
             for a, b, texts in slices(batch.column(text)):
-                found = ids_array([np.concatenate([x, tail]) for x in tree_concat(vocabulary, texts)], pa.list_(pa.int32()))
+                found = ids_array([tree_concat(enc, t) + tail for t in texts], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), found], names=[*kept, ids])
 
     return docs.select(*kept, *([] if text in kept else [text])).mapInArrow(run, schema)
@@ -206,13 +173,14 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        spelling = _spellings(tokens.library(vocabulary))
+        enc = tokens.encoder(vocabulary)
+        spelling = _spellings(enc.tokenizer)
         decimal = [str(k).encode() for k in range(len(spelling))]
         for batch in batches:
             for a, b, texts in slices(batch.column("text")):
                 out = []
-                for encoded in tree_concat(vocabulary, texts):
-                    ids = encoded.tolist()
+                for whole in texts:
+                    ids = np.frombuffer(tree_concat(enc, whole), "<u4").tolist()
                     text = b"".join([spelling[k] for k in ids]).decode("utf-8", "replace")
                     out.append((len(ids), hashlib.sha256(b",".join([decimal[k] for k in ids])).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]

@@ -7,7 +7,6 @@ a text are those of its pieces in order. Workers keep the ids of short pieces th
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 import sys
@@ -50,13 +49,11 @@ class _Kept(dict):
 
 
 @functools.cache
-def library(path: str, normalizes: bool = True):
-    """This worker's tokenizer of a vocabulary file, without truncation and padding, and without its normalizer if asked."""
+def library(path: str):
+    """This worker's tokenizer of a vocabulary file, without truncation and padding."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    if not normalizes and tokenizer.normalizer:
-        tokenizer = Tokenizer.from_str(json.dumps(json.loads(tokenizer.to_str()) | {"normalizer": None}))
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
