@@ -41,7 +41,7 @@ class Filters:
     role_include: tuple[str, ...] = (r"\bjava\b", "engineer", "developer", "programmer", r"\bsre\b", "devops", "software", "backend", r"back[\s-]end", "fullstack", r"full[\s-]stack", "platform", "infrastructure", r"\bcloud\b", r"\bml\b", r"machine\s+learning", r"site\s+reliability", r"\bai\b", "entwickler")
     role_exclude: tuple[str, ...] = ("manager", "architect", "analyst", "director", "lead", "principal", "recruiter", "designer", "marketing", "intern", "sales", "finance", "hr", "frontend", r"front[\s-]end", "qa", "test", "support", "consultant")
     remote: tuple[str, ...] = (r"^(remote|remote\s*-\s*(eu|europe|emea|global|worldwide|dach|ger(many)?))$", r"remote\s*-\s*(eu|europe|emea)", "remote.*europe", "europe.*remote")
-    target_countries: tuple[str, ...] = ("de", "nl", "at", "ch", "se", "es")
+    target_countries: tuple[str, ...] = ("de", "nl", "at", "ch", "ie", "se", "dk", "fi", "es")
     visa_exempt: tuple[str, ...] = ("de",)
     unknown_location_kept: bool = False
     language_exclude: tuple[str, ...] = (r"german\s+c[12]", r"deutsch\s+c[12]", r"flie[ßs]end\s+deutsch", r"fluent\s+german", "muttersprache", r"native\s+german", "verhandlungssicher", r"dutch\s+c[12]", r"\bnederlands\b", r"spanish\s+c[12]", "castellano", r"french\s+c[12]", r"langue\s+maternelle")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.dialect import BOUNDARY
+from millrace.functions.dialect import jvm
 from millrace.functions.text import is_blank, trim_control
 
 #: Country names and their codes.
@@ -43,11 +43,11 @@ def resolve(location: Column, cities: dict[str, tuple[str, ...]] | None = None)
     """Country names (longest first), a bare code, an upper-case code among the words, then cities by segment: whole, in
     parts between dashes, by the leading word. The dictionary is a literal map."""
     low, trimmed = F.lower(location), trim_control(location)
-    names = None
-    for name in sorted(COUNTRY_NAMES, key=lambda n: (-len(n), n)):
-        quoted = name.replace(".", r"\.")
-        found = low.rlike(f"{BOUNDARY}{quoted}{BOUNDARY}")
-        names = F.when(found, COUNTRY_NAMES[name]) if names is None else names.when(found, COUNTRY_NAMES[name])
+    by_length = sorted(COUNTRY_NAMES, key=lambda n: (-len(n), n))
+    named = F.regexp_extract_all(low, F.lit("(" + "|".join(jvm(rf"\b{n.replace('.', chr(92) + '.')}\b", False) for n in by_length) + ")"), 1)
+    longest = F.array_min(F.transform(named, lambda n: F.struct((-F.length(n)).alias("n"), n.alias("name"))))["name"]
+    codes = F.create_map(*[F.lit(x) for pair in COUNTRY_NAMES.items() for x in pair])
+    names = F.try_element_at(codes, longest)
     bare = F.when(F.length(trimmed) == 2, _code(trimmed))
     words = F.filter(F.split(location, r"[,\s]+"), lambda w: w.rlike("^[A-Z]{2}$") & _code(w).isNotNull())
     token = F.transform(words, _code)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ COUNTRY_WORDS = {
     "fr": ("france", "paris", "lyon", "marseille", "toulouse", "nice", ", fr ", ", fr,", "(fr)"),
     "gb": ("united kingdom", "england", "london", "manchester", "birmingham", "leeds", "glasgow", "edinburgh", ", gb ", ", gb,", "(gb)", "(uk)"),
 }
+#: First segments that are no cities, and legal forms and what may stand beside them in company names.
 NOT_CITIES = ("remote", "germany", "netherlands", "sweden", "austria", "france", "spain")
 LEGAL_WORDS = r"\b(gmbh|inc|ltd|ag|llc|bv|sa|sas|srl|ug|kg|co|corp|plc|se|nv|as)\b(\s*[&+]\s*\w+\.?)?"
 LEGAL_SUFFIX = r"\s+(gmbh|se|ag|inc\.?|ltd\.?|corp\.?|llc|bv|nv|sa|sas|pty|limited|co\.?)\s*$"
@@ -34,7 +35,7 @@ def country(location: Column) -> Column:
     low = F.lower(location)
     out = None
     for iso, words in COUNTRY_WORDS.items():
-        found = reduce(Column.__or__, [low.contains(w) for w in words])
+        found = low.rlike("|".join(re.sub(r"([().])", r"\\\1", w) for w in words))
         out = F.when(found, iso) if out is None else out.when(found, iso)
     return out
 

@@ -10,15 +10,16 @@ from millrace.functions.dialect import jvm
 
 def trim_control(c: Column) -> Column:
     """Trims all characters up to U+0020 at both ends."""
-    return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(c, F.lit("".join(map(chr, range(33)))))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(trim_control(c) != "", c)
+    return F.when(~is_blank(c), c)
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(trim_control(c) == "", F.lit(True))
+    """Null, or nothing but characters up to U+0020; a text is read up to its first other one only."""
+    return F.coalesce(~c.rlike(r"[^\x00-\x20]"), F.lit(True))
 
 
 def collapse(c: Column) -> Column:

@@ -29,6 +29,24 @@ def system_from_url(url: Column) -> Column:
     return out
 
 
+#: Fixed values: (system, pattern that is looked for anywhere in a URL), in order; then parameters of its query.
+FIND_PATTERNS = (
+    ("GREENHOUSE", r"https?://boards(?:-api)?\.greenhouse\.io/(?:v1/boards/)?[A-Za-z0-9_-]+"), ("LEVER_EU", r"https?://jobs\.eu\.lever\.co/[A-Za-z0-9_-]+"), ("LEVER", r"https?://jobs\.lever\.co/[A-Za-z0-9_-]+"), ("ASHBY", r"https?://jobs\.ashbyhq\.com/[A-Za-z0-9_-]+"),
+    ("WORKDAY", r"https?://[A-Za-z0-9_-]+\.wd[0-9]+\.myworkdayjobs\.com"), ("SMARTRECRUITERS", r"https?://[A-Za-z0-9_-]+\.smartrecruiters\.com"), ("WORKABLE", r"https?://[A-Za-z0-9_-]+\.workable\.com"), ("PERSONIO", r"https?://[A-Za-z0-9_-]+\.personio\.de"),
+    ("RECRUITEE", r"https?://[A-Za-z0-9_-]+\.recruitee\.com"), ("JOIN", r"https?://[A-Za-z0-9_-]+\.join\.com"), ("BREEZY", r"https?://[A-Za-z0-9_-]+\.breezy\.hr"), ("BAMBOOHR", r"https?://[A-Za-z0-9_-]+\.bamboohr\.com"), ("TEAMTAILOR", r"https?://[A-Za-z0-9_-]+\.teamtailor\.com"),
+    ("STEPSTONE", r"https?://www\.stepstone\.(?:de|at|nl|be)/"), ("ICIMS", r"https?://[A-Za-z0-9_-]+\.icims\.com"), ("PINPOINT", r"https?://[A-Za-z0-9_-]+\.pinpointhq\.com"), ("GREENHOUSE", r"https?://(?!boards)[A-Za-z0-9_-]+\.greenhouse\.io"),
+    ("GREENHOUSE", r"[?&]gh_jid="), ("LEVER", r"[?&]lever_source="),
+)
+
+
+def system_anywhere(url: Column) -> Column:
+    """The system of the first pattern that is found in a URL, then of a parameter that companies' own domains carry."""
+    out = None
+    for ats, pattern in FIND_PATTERNS:
+        out = F.when(url.rlike(pattern), ats) if out is None else out.when(url.rlike(pattern), ats)
+    return out
+
+
 def host(url: Column) -> Column:
     """The host without `www.`."""
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import half_up
+from millrace.functions.text import half_up, is_blank, trim_control
 
 
 def rate(part: Column, whole: Column, digits: int = 3) -> Column:
@@ -76,3 +76,18 @@ def hiring_velocity(companies: DataFrame, jobs: DataFrame, as_of: Column, days:
 def source_quality(companies: DataFrame) -> DataFrame:
     out = companies.groupBy("discovered_via").agg(F.sum("total_applications").alias("applications"), F.sum("total_interviews").alias("interviews"))
     return out.withColumn("quality", rate(F.col("interviews"), F.col("applications")))
+
+
+def blockers(applications: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """How often rejected applications' outcomes of rejection name each reason (lower-cased, trimmed; blank ones don't count)."""
+    rejected = applications.where(F.col("status") == "REJECTED").select("application_id")
+    named = outcomes.where((F.col("stage") == "REJECTED") & ~is_blank(F.col("notes"))).join(rejected, "application_id", "left_semi")
+    return frequencies(named, F.lower(trim_control(F.col("notes"))), "reason")
+
+
+def daily_digest(jobs: DataFrame, scores: DataFrame, day: Column) -> DataFrame:
+    """How many active postings a day brought, and the id and score of the best of them; a score of 0 never wins, ties go to
+    the smaller id. scores has id and score."""
+    rows = jobs.where(F.col("is_active") & (F.col("discovered_date") == day)).select("id").join(scores.select("id", "score"), "id", "left")
+    best = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("id")).alias("neg"))))
+    return rows.agg(F.count_distinct("id").alias("fresh"), best.alias("best")).select("fresh", (-F.col("best.neg")).alias("top_id"), F.coalesce("best.score", F.lit(0).cast("long")).alias("top_score"))

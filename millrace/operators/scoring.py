@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.config import Scoring
-from millrace.functions.dialect import any_of, jvm
+from millrace.functions.dialect import any_in_lowered
 from millrace.functions.text import clamp, half_up, is_blank
 
+#: Countries of the location factor, the name of the bonus, words of a hiring surge.
 EU = ("germany", "france", "netherlands", "spain", "italy", "austria", "belgium", "ireland", "sweden", "denmark", "finland", "poland", "portugal", "czech republic", "romania", "luxembourg")
 BONUS_NAME = "AI/ML"
 SURGE_WORDS = ("growing team", "rapid growth", "scaling", "hiring", "series b", "series c", "expansion", "new office")
@@ -26,15 +27,15 @@ def with_match(df: DataFrame, rules: Scoring, title: str = "title", description:
     c = F.col
     low = F.lower(F.coalesce(c(title), F.lit("")))
     out = df.withColumns({"_text": F.lower(F.concat(F.coalesce(c(title), F.lit("")), F.lit(" "), F.coalesce(c(description), F.lit("")))), "_low": low})
-    named = [F.struct(F.lit(s.name).alias("name"), F.lit(s.weight).alias("weight"), (c("_text").rlike(jvm(any_of(s.variants))) if s.variants else c("_text").contains(s.name.lower())).alias("hit")) for s in rules.skills]
-    bonus = c("_text").rlike(jvm(any_of([p if r"\b" in p else rf"\b{p}\b" for p in rules.bonus_signals])))
+    named = [F.struct(F.lit(s.name).alias("name"), F.lit(s.weight).alias("weight"), (any_in_lowered(c("_text"), s.variants) if s.variants else c("_text").contains(s.name.lower())).alias("hit")) for s in rules.skills]
+    bonus = any_in_lowered(c("_text"), [p if r"\b" in p else rf"\b{p}\b" for p in rules.bonus_signals])
     out = out.withColumns({"_hits": F.array(*named), "_bonus": bonus})
     names = lambda wanted: F.transform(F.filter("_hits", lambda h: h["hit"] == wanted), lambda h: h["name"])
     extra = F.when(c("_bonus"), F.array(F.lit(BONUS_NAME))).otherwise(F.array().cast("array<string>"))
     earned = F.aggregate("_hits", F.lit(0.0), lambda a, h: a + F.when(h["hit"], h["weight"]).otherwise(0.0)) + F.when(c("_bonus"), rules.bonus_weight).otherwise(0.0)
     out = out.withColumns({"_matched": F.concat(names(True), extra), "_missing": names(False), "_score": clamp(half_up(earned / rules.benchmark_weight * 100)).cast("int")})
     primary = F.exists("_matched", lambda n: F.lower(n).isin(*[p.lower() for p in rules.primary_skills]))
-    cap = F.least(F.when(c("_low").rlike(jvm(any_of(rules.competing))), F.lit(rules.competing_cap)).otherwise(100), F.when(primary, F.lit(100)).otherwise(rules.primary_cap))
+    cap = F.least(F.when(any_in_lowered(c("_low"), rules.competing), F.lit(rules.competing_cap)).otherwise(100), F.when(primary, F.lit(100)).otherwise(rules.primary_cap))
     out = out.withColumn("_score", F.least("_score", cap))
     out = out.withColumn("_score", F.when(_title_has(c("_low"), rules.senior_words), half_up(c("_score") * F.lit(rules.senior_multiplier)).cast("int")).otherwise(c("_score")))
     n = F.size("_matched")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import geo, urls
 from millrace.functions.dialect import re2, sql_literal
-from millrace.operators import people, search, state
+from millrace.operators import analytics, people, search, state
 from millrace.plans import bindings as b
 from millrace.session import table
 
@@ -83,10 +83,9 @@ def join09_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg16_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The day's new visible postings and the best paid of them, ties to the smaller id."""
-    rows = b.jobs(spark, sf_dir).where(search.visible() & (F.col("discovered_date") == F.lit("2024-02-01").cast("date")))
-    best = F.max(F.when(F.col("salary_max").isNotNull(), F.struct("salary_max", (-F.col("id")).alias("neg"))))
-    return rows.agg(F.count("*").alias("fresh"), best.alias("best")).select("fresh", (-F.col("best.neg")).alias("top_id"), F.col("best.salary_max").alias("top_salary"))
+    """The day's new active postings and the best scored of them; some have no score or 0."""
+    scores = table(spark, sf_dir, "documents").where("doc_id % 6 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 37 - 1).alias("score"))
+    return analytics.daily_digest(b.jobs(spark, sf_dir), scores, F.lit("2024-02-01").cast("date"))
 
 
 def agg15_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +128,7 @@ UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'REVIVE', CAST(o_orderdate AS TIME
 v AS (SELECT *, w - date_diff('second', date_trunc('second', t), TIMESTAMP '2024-01-31') / 86400.0 AS left_ FROM u)
 SELECT entity_id, action, round(CAST(i AS DOUBLE) * CASE WHEN left_ < 0 THEN 1.2 ELSE greatest(0.0, least(1.5, 1 - CAST(left_ AS DOUBLE) / w)) END, 6) AS score FROM v ORDER BY i * CASE WHEN left_ < 0 THEN 1.2 ELSE greatest(0.0, least(1.5, 1 - CAST(left_ AS DOUBLE) / w)) END DESC, action, entity_id LIMIT 50""",
     "join09_align": "WITH r AS (SELECT l_orderkey AS page, l_linenumber AS position, 'Senior Position ' || l_linenumber % 3 AS title, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber) AS n FROM lineitem), t AS (SELECT l_orderkey AS page, 'Senior Position ' || l_linenumber % 3 AS title, 'C' || l_linenumber AS company, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber DESC) AS n FROM lineitem WHERE l_linenumber <= 4) SELECT r.page, position, r.title, company FROM r LEFT JOIN t USING (page, title, n)",
-    "agg16_digest": f"WITH {b.JOBS}, v AS (SELECT * FROM jobs WHERE is_active AND NOT applied AND NOT hidden AND decision = 'KEEP' AND discovered_date = DATE '2024-02-01') SELECT count(*) AS fresh, (SELECT id FROM v WHERE salary_max IS NOT NULL ORDER BY salary_max DESC, id LIMIT 1) AS top_id, max(salary_max) AS top_salary FROM v",
+    "agg16_digest": f"WITH {b.JOBS}, v AS (SELECT id, CASE WHEN id % 6 <> 0 THEN id % 37 - 1 END AS score FROM jobs WHERE is_active AND discovered_date = DATE '2024-02-01') SELECT count(*) AS fresh, (SELECT id FROM v WHERE score > 0 ORDER BY score DESC, id LIMIT 1) AS top_id, coalesce(max(score) FILTER (score > 0), 0) AS top_score FROM v",
     "agg15_health": "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT count(*) AS endpoints, count(*) FILTER (event_type = 'error') AS failing, count(*) FILTER (event_type = 'signup') AS empty FROM l",
     "srt08_page": "SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN c_acctbal END AS balance FROM customer ORDER BY 2 DESC NULLS LAST, 1 LIMIT 25 OFFSET 50",
     "prj05_companies": f"WITH {b.JOBS}, {b.SQL_COMPANIES} SELECT c.company_id, c.name, count(j.id) AS jobs, max(j.discovered_date) AS latest FROM companies c LEFT JOIN jobs j ON j.company_id = c.company_id AND j.is_active GROUP BY 1, 2",

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import decisions, feeds, more, network, reports, scalars
+from millrace.plans import decisions, feeds, more, network, reports, scalars, screens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return scalars.QUERIES | decisions.QUERIES | reports.QUERIES | feeds.QUERIES | network.QUERIES | more.QUERIES
+    return scalars.QUERIES | decisions.QUERIES | reports.QUERIES | feeds.QUERIES | network.QUERIES | more.QUERIES | screens.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalars.SQL | decisions.SQL | reports.sql() | feeds.SQL | network.SQL | more.SQL
+    return scalars.SQL | decisions.SQL | reports.sql() | feeds.SQL | network.SQL | more.SQL | screens.SQL

@@ -70,8 +70,11 @@ SCORES = """SELECT floor(avg(n_chars % 101) FILTER (quality = 1) * 1000 + 0.5) /
 
 
 def agg06_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = b.outcomes(spark, sf_dir)
-    return analytics.frequencies(o, F.lower(F.trim("notes")), "reason")
+    """Notes of lines, every second of which is a rejection; some notes are blank."""
+    n = F.col("l_linenumber")
+    notes = F.when(n % 4 == 0, F.lit(" ")).when(F.col("l_returnflag") != "A", F.concat(F.lit(" Reason "), F.col("l_linestatus"), F.col("l_returnflag")))
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("application_id"), F.when(n % 2 == 0, "REJECTED").otherwise("SCREEN").alias("stage"), notes.alias("notes"))
+    return analytics.blockers(b.applications(spark, sf_dir), o)
 
 
 def agg07_skill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +207,7 @@ def sql() -> dict[str, str]:
         "agg02_gaps": GAPS,
         "agg04_status_funnel": _STATUS,
         "agg05_scores": SCORES,
-        "agg06_blockers": f"WITH {b.OUTCOMES} SELECT lower(trim(notes)) AS reason, count(*) AS n FROM outcomes WHERE notes IS NOT NULL GROUP BY 1",
+        "agg06_blockers": f"WITH {b.APPLICATIONS} SELECT lower('Reason ' || l_linestatus || l_returnflag) AS reason, count(*) AS n FROM lineitem JOIN applications ON application_id = l_orderkey WHERE status = 'REJECTED' AND l_linenumber % 4 = 2 AND l_returnflag <> 'A' GROUP BY 1",
         "agg07_skill_gaps": f"WITH {b.JOBS}, {MATCHES} SELECT lower(s) AS skill, count(*) AS n FROM (SELECT unnest(missing) AS s FROM matches) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
         "agg09_counts": f"WITH {b.JOBS} SELECT coalesce(company, 'UNKNOWN') AS company, coalesce(remote, 'UNKNOWN') AS remote, count(*) AS n FROM jobs GROUP BY 1, 2",
         "agg10_templates": _effect_sql("coalesce(template_used, 'no_template')", "template"),
