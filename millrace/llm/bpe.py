@@ -23,7 +23,7 @@ from millrace.llm.text import buffers, chunks
 from millrace.session import ship
 
 #: Bytes of text that a worker takes at once, the most characters of a leaf, and pieces at its ends that a span knows.
-BATCH, LEAF, KNOWN = 1 << 20, 1024, 4
+BATCH, LEAF, KNOWN = 1 << 20, 4096, 4
 
 #: A piece of a text, encoded by itself: its first place in the text, the place after its last, its number of tokens.
 Unit = tuple[int, int, int]

@@ -52,7 +52,7 @@ def test_tree_concatenation_joins_documents(path, monkeypatch):
     own, enc = library(path), Encoder(path)
     for text in texts:
         assert np.frombuffer(bpe.tree_concat(enc, text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
-    assert len(joined) > sum(len(t) for t in texts) / (2 * bpe.LEAF) / 2
+    assert len(joined) >= sum(len(t) > bpe.LEAF for t in texts) > 0
 
 
 def test_kind_of_vocabulary_stands_in_its_file(tmp_path):
