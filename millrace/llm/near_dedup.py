@@ -27,6 +27,8 @@ WIDTH, PERCENT = 5, 75
 #: Nodes of a bucket up to which its pairs are compared singly, by joins; beyond that by blocks of about so many nodes and
 #: elements at most. Both compare all pairs.
 SINGLY, BLOCK, BLOCK_ELEMENTS = 64, 256, 1 << 20
+#: A set or component that holds more than one row in so many is joined by broadcast; fewer than so many can.
+HOT = 1024
 #: Columns of an incidence matrix that are multiplied at once.
 COLUMNS = 8192
 
@@ -180,6 +182,15 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("x", "y", "rows", "more").mapInArrow(run, "a binary, b binary")
 
 
+def join_hot(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows, read from a stored table, with the columns of values, which has one row for each key and its number of rows in
+    `copies`. The keys that hold more than one row in HOT are fewer than HOT, so they are broadcast and their rows stay
+    where they are; the others are joined by a shuffle."""
+    hot = F.broadcast(values.where(F.col("copies") * HOT > rows.count()))
+    spread = rows.join(hot.select(key), key, "left_anti").join(values, key)
+    return rows.join(hot, key).unionByName(spread).drop("copies")
+
+
 def _key(docs: DataFrame) -> DataFrame:
     """docs with row_key, which tells rows of the same doc_id apart by their texts."""
     return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
@@ -197,7 +208,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     shared = stored(spark, spread.join(buckets, "bucket"), "buckets")
 
     # sets and sketches of one row of each node that shares a bucket
-    needed = rows.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key")
+    needed = rows.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key")).join(shared.select("node").distinct(), "node", "left_semi").select("row_key")
     sets = stored(spark, _rows(keyed.join(needed, "row_key", "left_semi"), True).select("node", "n", "sketch", "elements").dropDuplicates(["node"]), "sets")
 
     stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -215,15 +226,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     more = _confirmed(_plausible(pairs, sets), sets).union(_in_blocks(unclear.where(F.col("k") > SINGLY), sets))
     found = stored(spark, components(stored(spark, links.union(more), "links")), "components")
 
-    return rows.select("doc_id", "row_key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.groupBy("node").agg(F.count("*").alias("copies")).join(found, "node", "left").select("node", "copies", F.coalesce("component", "node").alias("component"))
+    return join_hot(rows.select("doc_id", "row_key", "node", "n"), named, "node")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     named = stored(docs.sparkSession, _grouped(docs), "grouped")
-    least = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return join_hot(named, least, "component").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def survivors(docs: DataFrame) -> DataFrame:
@@ -231,11 +243,12 @@ def survivors(docs: DataFrame) -> DataFrame:
     without words."""
     named = _grouped(docs).where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
-    chosen = named.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    chosen = named.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("key"), F.col("first.id").alias("id"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     key = "key"
     while key in {c.lower() for c in docs.columns}:
         key = "_" + key
-    stay = docs.where(worded).withColumn(key, F.xxhash64("doc_id", "text")).join(chosen.withColumnRenamed("_key", key), key, "left_semi")
+    keyed = docs.where(worded).withColumn(key, F.xxhash64("doc_id", "text"))
+    stay = keyed.join(chosen, (keyed[key] == chosen["key"]) & keyed["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
     stay = stay.dropDuplicates([key, "doc_id"]).drop(key)  # rows of the same doc_id and text are one
     return stay.unionByName(docs.where(~worded))
