@@ -159,13 +159,14 @@ def block_links(first: list, second: list) -> list[tuple[int, int]]:
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members (bucket, node, component, k) of large buckets of k nodes. Of buckets that hold the same nodes,
-    as those of a group that agrees in several bands, one is compared."""
+    as those of a group that agrees in several bands, one is compared. Nodes are dealt to blocks before their sets join them,
+    so that the sets of a bucket never meet in one task."""
     alike = members.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.max("k").alias("size"))
     chosen = alike.groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rows = members.join(chosen, "bucket", "left_semi").join(sets.select("node", "n", "elements"), "node")
-    weight = members.join(sets.select("node", "n"), "node").groupBy("bucket").agg(F.sum("n").alias("weight"))
+    weight = members.join(sets.select("node", "n"), "node").groupBy("bucket").agg(F.sum("n").alias("weight"), F.count("*").alias("copies"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("weight") / BLOCK_ELEMENTS)).cast("int")
-    rows = rows.join(weight, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = join_hot(members, weight.join(chosen, "bucket"), "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = dealt.select("bucket", "block", "blocks", "node", "component").join(sets.select("node", "elements"), "node")
     packed = rows.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "elements")).alias("rows"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     sent = packed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("leads"), "rows")
