@@ -90,6 +90,19 @@ def json_slice(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)[\[{].*[\]}]", 0), F.lit(""))
 
 
+def string_hash(c: Column) -> Column:
+    """The 31-based 32-bit hash of a text's characters (of the basic plane), in lower-case hexadecimal digits."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.lower(F.hex(F.aggregate(chars, F.lit(0).cast("long"), lambda h, x: (h * 31 + F.ascii(x)).bitwiseAND(F.lit(0xFFFFFFFF)))))
+
+
+def keywords(c: Column, groups: dict[str, list[str]]) -> Column:
+    """For each group of a keyword dictionary the distinct words found, lower-cased, in order; patterns count as whole words."""
+    low = F.lower(c)
+    words = lambda patterns: jvm(rf"(?i)(?<![A-Za-z0-9_])({'|'.join(patterns)})(?![A-Za-z0-9_])")
+    return F.struct(*[F.array_distinct(F.regexp_extract_all(low, F.lit(words(p)), 1)).alias(name) for name, p in groups.items()])
+
+
 #: Skill aliases.
 SKILL_ALIASES = {
     "k8s": "Kubernetes", "kube": "Kubernetes", "kubernetes": "Kubernetes", "postgres": "PostgreSQL", "postgresql": "PostgreSQL", "mongo": "MongoDB", "mongodb": "MongoDB",

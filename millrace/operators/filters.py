@@ -148,14 +148,21 @@ def cascade(jobs: DataFrame, rules: Filters, duplicates: bool = True, columns: l
 
 
 def refilter_described(jobs: DataFrame, rules: Filters) -> DataFrame:
-    """Judges kept jobs anew whose description came later: language, experience, and visa where it was pending."""
+    """Judges kept jobs anew whose description came later: language, then experience, then visa where it was pending and the
+    country (country_iso, where there is such a column) isn't exempt. A stage that refuses ends it: what later stages would
+    find stays as it was. Jobs that still have no description stay as they are."""
     c = F.col
-    pending = c("visa") == "PENDING"
-    found = visa(c("description"), F.lit(False), F.lit(False), rules)
-    asked = years(c("description"))
-    reason = F.coalesce(language(c("title"), c("description"), c("lang"), rules)["reason"], experience(asked, rules)["reason"], F.when(pending, found["reason"]))
-    kept = c("decision") == "KEEP"
-    return jobs.withColumns({"reason": F.when(kept, reason).otherwise(c("reason")), "decision": F.when(kept & reason.isNotNull(), "SKIP").otherwise(c("decision")), "visa": F.when(kept & pending, found["status"]).otherwise(c("visa")), "yoe": F.when(kept, asked).otherwise(c("yoe"))})
+    place = c("country_iso") if "country_iso" in jobs.columns else F.lit(None).cast("string")
+    exempt = F.coalesce(place.isin(*[x.upper() for x in rules.visa_exempt]), F.lit(False))
+    staged = _once(jobs, {"_language": language(c("title"), c("description"), c("lang"), rules)["reason"], "_asked": years(c("description")), "_status": visa_status(c("description"), F.lit(False), exempt, rules)})
+    judged = (c("decision") == "KEEP") & c("description").isNotNull()
+    read = judged & c("_language").isNull()
+    unasked = experience(c("_asked"), rules)["reason"]
+    looked = read & unasked.isNull() & (c("visa") == "PENDING")
+    reason = F.coalesce(c("_language"), unasked, F.when(looked, visa_verdict(c("_status"), exempt, rules)["reason"]))
+    refused = judged & reason.isNotNull()
+    made = {"reason": F.when(refused, reason).otherwise(c("reason")), "decision": F.when(refused, "SKIP").otherwise(c("decision")), "visa": F.when(looked, c("_status")).otherwise(c("visa")), "yoe": F.when(read, c("_asked")).otherwise(c("yoe"))}
+    return staged.select(*[made[x].alias(x) if x in made else x for x in jobs.columns])
 
 
 def duplicate_of_system(jobs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import blank_to_null, iso_date, rfc1123_date, strip_html, trim_control
+from millrace.functions.text import blank_to_null, iso_date, rfc1123_date, salary, strip_html, trim_control
 from millrace.sources.json_feeds import either, at
 
 RSS_SCHEMA = "channel struct<item: array<struct<guid: string, link: string, title: string, description: string, pubDate: string, remoteStatus: string, locations: struct<location: array<struct<name: string, city: string, country: string>>>>>>"
@@ -30,6 +30,17 @@ def sitemap(payloads: DataFrame, wanted: str, known: DataFrame | None = None) ->
     return rows.join(known.select("url"), "url", "left_anti") if known is not None else rows
 
 
+def sitemap_index(payloads: DataFrame) -> DataFrame:
+    """The addresses of the sitemaps that an index names."""
+    entries = F.from_xml("payload", "sitemap array<struct<loc: string>>")["sitemap"]
+    return payloads.select(F.explode(entries).alias("e")).select(F.trim("e.loc").alias("url"))
+
+
+def sitemap_postings(payloads: DataFrame, pages: DataFrame, wanted: str, known: DataFrame) -> DataFrame:
+    """Postings of the fetched pages (url, html) that a sitemap names, that match the pattern and that aren't known."""
+    return posting_page(sitemap(payloads, wanted, known).dropDuplicates(["url"]).join(pages.select("url", "html"), "url")).drop("html")
+
+
 def json_ld(html: Column) -> Column:
     """The first JSON-LD block of a page that is a job posting, as a variant."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
@@ -77,11 +88,12 @@ def csv_lines(payloads: DataFrame, schema: str) -> DataFrame:
     return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
 
 
-def zipped(payloads: DataFrame, patterns: dict[str, str]) -> DataFrame:
+def zipped(payloads: DataFrame, patterns: dict[str, str], amounts: tuple[str, ...] = ()) -> DataFrame:
     """Postings that a page holds as parallel runs of values: the first group of each pattern, matched by position; what a
-    shorter run lacks is null."""
+    shorter run lacks is null. Amounts become decimals; 0 is null."""
     runs = [F.regexp_extract_all("payload", F.lit(p), 1).alias(name) for name, p in patterns.items()]
-    return payloads.select(*runs).select(F.explode(F.arrays_zip(*patterns)).alias("z")).select("z.*")
+    rows = payloads.select(*runs).select(F.explode(F.arrays_zip(*patterns)).alias("z")).select("z.*")
+    return rows.withColumns({a: F.nullif(salary(F.col(a)), F.lit(0).cast("decimal(12,2)")) for a in amounts}) if amounts else rows
 
 
 #: A row of a job table: link with a numeric id and title, then further cells; and a bare link.
