@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, html_extract, language, near_dedup, packing, quality, token_files, topk, url_filter
+from millrace.llm import audio, bpe, collocations, filter_audit, html_extract, language, near_dedup, packing, personal_data, quality, token_files, topk, url_filter
 from millrace.session import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +57,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op9_html_extract, op10_bpe)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_audio_features, op3_exact_top_k, op4_token_files, op5_quality_resampling, op6_language_id, op7_best_fit_packing, op8_url_filter, op9_html_extract, op10_bpe, op11_personal_data, op12_filter_audit, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": url_filter.oracle()}
+    return {"op8_url_filter": url_filter.oracle(), "op12_filter_audit": filter_audit.oracle(), "op13_collocations": collocations.oracle()}
