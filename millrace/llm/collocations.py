@@ -89,8 +89,9 @@ def rounds(column: pa.Array) -> Iterator[Words]:
         while done < high:
             done = min(high, done + ROUND)
             while done < high and _CLASS[data[done]] == 0:  # to the end of the word
-                gap = np.flatnonzero(_CLASS[data[done : done + ROUND]])
-                done += int(gap[0]) if len(gap) else min(ROUND, high - done)
+                ahead = _CLASS[data[done : min(high, done + ROUND)]]
+                gap = np.flatnonzero(ahead)
+                done += int(gap[0]) if len(gap) else len(ahead)
             found, starts = _words(data[begin:done], np.array([0, done - begin]), before)
             yield found
             before = min(WORDS - 1, len(starts))

@@ -27,8 +27,8 @@ from millrace.session import ship
 
 FILTERS = "ABCDE"
 ORDERS = tuple("".join(p) for p in itertools.permutations(FILTERS))
-#: Bytes of text that a task holds before it sends on what it has.
-HELD = 32 << 20
+#: Bytes of text that a task holds before it sends on what it has, and that a partition of the routing has on average.
+HELD, ROUTED = 32 << 20, 32 << 20
 _COPY = 1 << FILTERS.index("E")
 _MASKS = 1 << len(FILTERS)
 _CAPITALS, _MARKS = bytes(range(65, 91)), b"#$%&*|"
@@ -115,14 +115,15 @@ def _decided(rows: Iterator[tuple[int, tuple[Row, bytes | None]]]) -> Iterator[R
             yield from _rows(least)
 
 
-def masks(docs: DataFrame, part: str = "lang", partitions: int | None = None) -> DataFrame:
-    """doc_id, part, mask of failed filters (bit 0: A) and n, the number of such rows. partitions: of the routing; by default as many as the
-    session's shuffles have, or as the input where it has more."""
+def masks(docs: DataFrame, part: str = "lang") -> DataFrame:
+    """doc_id, part, mask of failed filters (bit 0: A) and n, the number of such rows. The routing has as many partitions as
+    the session's shuffles, or more where the texts, whose bytes are summed first, need them."""
     spark = docs.sparkSession
     ship(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = docs.select("doc_id", text, F.coalesce(part, F.lit("")).alias("part")).withColumn("fingerprint", F.xxhash64("text")).rdd
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
     routed = rows.mapPartitions(_settled).repartitionAndSortWithinPartitions(n, lambda fingerprint: fingerprint)
     return spark.createDataFrame(routed.mapPartitions(_decided), "doc_id long, part string, mask int, n long", verifySchema=False)
 
