@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from millrace.llm.text import MULTIPLIER, buffers, chunks, mix
 from millrace.session import ship, stored
 
-#: Buckets of a pass, and the parts in which their counts travel.
-BUCKETS, SLOTS = 1 << 22, 256
-#: Bytes of text of a round.
-ROUND = 1 << 22
+#: Buckets of a pass, and those of a slot, in which their counts travel.
+BUCKETS, SLOT = 1 << 25, 1 << 16
+#: Bytes of text of a round, and rows of counts that a task holds.
+ROUND, HELD = 1 << 22, 1 << 20
 #: Least frequency, most words of a phrase, phrases returned for a language, percent of a longer phrase that absorbs a shorter.
 LEAST, WORDS, TOP, ABSORBS = 10, 3, 2000, 50
 #: Groups in which the first phrases of a language are sought before they meet.
@@ -69,8 +69,9 @@ def _words(data: np.ndarray, offsets: np.ndarray, before: int = 0) -> tuple[Word
     edges = offsets[:-1][offsets[:-1] < len(data)]
     first[edges] = word[edges]
     starts = np.flatnonzero(first)
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + np.searchsorted(offsets, starts, "right")
-    at = np.concatenate([np.cumsum(word, dtype=np.int64)[starts] - 1, [word.sum()]]) if len(starts) else np.zeros(1, np.int64)
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts) + np.searchsorted(offsets, starts, "right")
+    gaps = np.flatnonzero(~word)
+    at = np.concatenate([starts - np.searchsorted(gaps, starts), [len(data) - len(gaps)]])
     column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[data[word]])])
     coded = column.dictionary_encode()
     return Words(coded.indices.to_numpy().astype(np.int64), np.diff(piece, prepend=-1) != 0, coded.dictionary, before), starts
@@ -115,6 +116,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
+def _has(bits: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Whether the packed bits of the buckets are set."""
+    return (bits[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _passing(words: Words, lang: str, n: int, frequent: np.ndarray | None, enough: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Where phrases of n words end that are to be counted, and the buckets of the phrases of n + 1 words to be hashed."""
     one = _hashes(words.known.to_pylist(), lang)[words.codes]
@@ -129,10 +135,10 @@ def _passing(words: Words, lang: str, n: int, frequent: np.ndarray | None, enoug
     passed = inside[n - 1]
     if n > 1:
         parts = inside[n - 2].copy()
-        parts[parts] = frequent[_bucket(hashes[n - 2][parts])]
+        parts[parts] = _has(frequent, _bucket(hashes[n - 2][parts]))
         passed = passed & parts
         passed[1:] &= parts[:-1]
-        passed[passed] = enough[_bucket(hashes[n - 1][passed])]
+        passed[passed] = _has(enough, _bucket(hashes[n - 1][passed]))
     further = inside[n] & passed
     further[1:] &= passed[:-1]
     passed, further = passed.copy(), further.copy()
@@ -156,10 +162,25 @@ def _phrases(words: Words, ends: np.ndarray, n: int) -> tuple[pa.Array, np.ndarr
 
 
 def _parts(counts: np.ndarray) -> pa.RecordBatch:
-    """Counts of buckets as rows, without the slots that hold none."""
-    rows = counts.reshape(SLOTS, -1)
-    some = np.flatnonzero(rows.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([zlib.compress(rows[k].tobytes(), 1) for k in some], pa.binary())], names=["slot", "counts"])
+    """Counts of buckets as rows of a slot: all of them, or places and counts of those above zero where that is shorter."""
+    some = np.flatnonzero(counts)
+    edges = np.searchsorted(some, np.arange(0, len(counts) + 1, SLOT))
+    rows, full = [], SLOT * counts.itemsize
+    slots = np.flatnonzero(np.diff(edges))
+    for k in slots:
+        own = some[edges[k] : edges[k + 1]]
+        sparse = (own - k * SLOT).astype(np.uint16).tobytes() + counts[own].tobytes()
+        rows.append(sparse if len(sparse) < full else counts[k * SLOT : (k + 1) * SLOT].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(rows, pa.binary())], names=["slot", "counts"])
+
+
+def _add(total: np.ndarray, part: bytes, kind: np.dtype) -> None:
+    """Adds a row of _parts."""
+    if len(part) == len(total) * kind.itemsize:
+        total += np.frombuffer(part, kind)
+    else:
+        n = len(part) // (2 + kind.itemsize)
+        total[np.frombuffer(part, np.uint16, n)] += np.frombuffer(part, kind, n, 2 * n)
 
 
 def _bitmap(parts: DataFrame, least: int) -> np.ndarray:
@@ -170,14 +191,13 @@ def _bitmap(parts: DataFrame, least: int) -> np.ndarray:
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for slot, counts in zip(batch.column("slot").to_pylist(), batch.column("counts"), strict=True):
-                own = total.setdefault(slot, np.zeros(BUCKETS // SLOTS, np.int64))
-                own += np.frombuffer(zlib.decompress(counts.as_buffer()), kind)
-                np.minimum(own, least, out=own)
+            for slot, counts in zip(batch.column("slot").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = total.setdefault(slot, np.zeros(SLOT, np.int64))
+                _add(own, counts, kind)
         bits = [np.packbits(x >= least).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], names=["slot", "counts"])
 
-    out = np.zeros((SLOTS, BUCKETS // SLOTS // 8), np.uint8)
+    out = np.zeros((BUCKETS // SLOT, SLOT // 8), np.uint8)
     for r in parts.select("slot", "counts").repartition("slot").mapInArrow(run, _PARTS).collect():
         out[r["slot"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
@@ -198,15 +218,43 @@ def _marks(phrases: DataFrame, least: int) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, _PARTS)
 
 
+class _Heap:
+    """Counts of phrases of a task, those of one phrase together as long as HELD rows hold them."""
+
+    def __init__(self) -> None:
+        self.parts, self.rows = [], 0
+
+    def add(self, lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string())
+        self.parts.append(pa.table([langs, phrases, pa.array(counts, pa.int64())], names=["lang", "phrase", "n"]))
+        self.rows += len(phrases)
+        if self.rows > HELD:
+            self._meet()
+            if self.rows > HELD // 2:
+                yield from self.out()
+
+    def _meet(self) -> None:
+        whole = pa.concat_tables(self.parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        self.parts, self.rows = [whole.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])], len(whole)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._meet()
+            for batch in self.parts[0].to_batches():
+                nothing = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *nothing], names=["lang", "phrase", "n", "slot", "counts"])
+        self.parts, self.rows = [], 0
+
+
 def _counted(texts: DataFrame, n: int, least: int, further: bool, maps: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """One pass over texts (text, lang): phrases of n words with counts of a round, and parts of the counts of longer ones'
-    buckets if they are asked for."""
+    """One pass over texts (text, lang): phrases of n words with their counts in a task, or in a part of it, and parts of the
+    counts of longer ones' buckets if they are asked for."""
     kind = np.min_scalar_type(least)
     sent = texts.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
-        frequent, enough = (np.unpackbits(x).astype(bool) for x in sent.value) if sent.value else (None, None)
-        buckets = np.zeros(BUCKETS, kind)
+        frequent, enough = sent.value or (None, None)
+        buckets, heap = np.zeros(BUCKETS if further else 0, kind), _Heap()
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             for code, lang in enumerate(langs.dictionary.to_pylist()):
@@ -214,12 +262,11 @@ def _counted(texts: DataFrame, n: int, least: int, further: bool, maps: tuple[np
                     if not len(words.codes):
                         continue
                     ends, longer = _passing(words, lang, n, frequent, enough)
-                    if further and len(longer):
-                        found = np.bincount(longer, minlength=BUCKETS)
-                        buckets = np.minimum(found + buckets, least).astype(kind)
-                    phrases, counts = _phrases(words, ends, n)
-                    nothing = [pa.nulls(len(phrases), t) for t in (pa.int32(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int8))), phrases, pa.array(counts), *nothing], names=["lang", "phrase", "n", "slot", "counts"])
+                    if further:
+                        place, found = np.unique(longer, return_counts=True)
+                        buckets[place] = np.minimum(buckets[place] + found, least)
+                    yield from heap.add(lang, *_phrases(words, ends, n))
+        yield from heap.out()
         if further:
             parts = _parts(buckets)
             nothing = [pa.nulls(len(parts), t) for t in (pa.string(), pa.string(), pa.int64())]
