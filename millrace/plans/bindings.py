@@ -140,3 +140,23 @@ SQL_COMPANIES = f"""companies AS (
          s_suppkey % 9 AS total_applications, s_suppkey % 4 AS total_interviews,
          CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 2 = 0 END AS has_sponsored_before, s_suppkey % 3 = 0 AS english_speaking, s_suppkey % 2 = 0 AS international_workforce
   FROM supplier)"""
+
+
+#: Events of users stand an hour for a day in the log of their relationships, so that some stay silent.
+MACHINE_EVENTS = {"click": "MESSAGE_SENT", "purchase": "REPLIED", "error": "STATUS_OVERRIDE"}
+_DAY_ZERO = 1_704_067_200_000_000
+
+
+def machine_events(events: DataFrame) -> DataFrame:
+    """events as messages, replies and overrides of the relationship with a user; the others lead to no status."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in MACHINE_EVENTS.items() for x in pair]), F.col("event_type"))
+    at = F.timestamp_micros(_DAY_ZERO + 24 * (F.unix_micros(F.col("ts").cast("timestamp")) - _DAY_ZERO))
+    override = F.when(kind == "STATUS_OVERRIDE", _pick(("CONTACTED", "ENGAGED", None), F.col("event_id")))
+    return events.select(F.col("user_id").alias("relationship_id"), "event_id", F.coalesce(kind, F.lit("NOTE")).alias("event_type"), at.alias("occurred_at"), override.alias("override"))
+
+
+SQL_MACHINE_EVENTS = f"""machine_events AS (
+  SELECT user_id AS relationship_id, event_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in MACHINE_EVENTS.items())} ELSE 'NOTE' END AS event_type,
+         make_timestamp({_DAY_ZERO} + 24 * (epoch_us(ts) - {_DAY_ZERO})) AS occurred_at,
+         CASE WHEN event_type = 'error' THEN {_pick_sql(('CONTACTED', 'ENGAGED', None), 'event_id')} END AS override
+  FROM events)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import analytics, search, state
 from millrace.plans import bindings as b
 from millrace.session import shared_dir, table
-from millrace.streaming import relationships
+from millrace.streaming import machine, relationships
 
 _R = "CASE WHEN {w} > 0 THEN floor(CAST({p} AS DOUBLE) / {w} * 1000 + 0.5) / 1000 ELSE 0.0 END"
 
@@ -195,7 +195,38 @@ def stm02_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (stm02_stream_once, stm03_stream_status, agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
+def stm03_stream_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of relationships from a stream of their events, with the ghosts that its timers emit, run to the end of what is
+    there."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    log = machine.settled(b.machine_events(events), "0 seconds")
+    relationships.run_available(log, f"{base}/out", f"{base}/log").awaitTermination()
+    return spark.read.schema(log.schema).parquet(f"{base}/out").withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+def stm04_ghosted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log in one batch."""
+    events = b.machine_events(table(spark, sf_dir, "events"))
+    end = events.where(state.transition(F.col("event_type"), F.col("override")).isNotNull()).agg(F.max("occurred_at").alias("t")).first()["t"]
+    out = state.ghosted_log(events, F.date_trunc("millisecond", F.lit(end).cast("timestamp")))
+    return out.withColumn("occurred_at", F.col("occurred_at").cast("timestamp_ntz"))
+
+
+_LED = "CASE event_type WHEN 'MESSAGE_SENT' THEN 'CONTACTED' WHEN 'REPLIED' THEN 'REPLIED' WHEN 'STATUS_OVERRIDE' THEN override END"
+GHOSTED = f"""WITH {b.SQL_MACHINE_EVENTS}, led AS (SELECT *, {_LED} AS status FROM machine_events WHERE {_LED} IS NOT NULL),
+seen AS (SELECT *, max(occurred_at) FILTER (event_type = 'MESSAGE_SENT') OVER o AS m, max(occurred_at) FILTER (event_type = 'REPLIED') OVER o AS r,
+    lead(occurred_at) OVER (PARTITION BY relationship_id ORDER BY occurred_at, event_id) AS after FROM led
+  WINDOW o AS (PARTITION BY relationship_id ORDER BY occurred_at, event_id ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT *, greatest(occurred_at, m + INTERVAL 14 DAY) AS silent_until FROM seen)
+SELECT relationship_id, event_id, event_type, occurred_at, status FROM led
+UNION ALL SELECT relationship_id, NULL, 'GHOSTED_AUTO', silent_until, 'GHOSTED' FROM ends
+WHERE status = 'CONTACTED' AND m IS NOT NULL AND (r IS NULL OR r < m) AND (after IS NULL OR silent_until < after)
+  AND date_trunc('milliseconds', silent_until) <= (SELECT date_trunc('milliseconds', max(occurred_at)) FROM led)"""
+
+
+QUERIES = {f.__name__: f for f in (stm02_stream_once, stm03_stream_machine, stm04_ghosted_log, stm03_stream_status, agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
 
 
 def sql() -> dict[str, str]:
@@ -221,6 +252,8 @@ def sql() -> dict[str, str]:
         "join15_orphans": "SELECT (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS lines, (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS orders",
         "stm02_stream_once": "SELECT event_type, count(DISTINCT (user_id, CAST(ts AS DATE))) AS n FROM events GROUP BY 1",
         "stm03_stream_status": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT relationship_id, status, events FROM replayed",
+        "stm03_stream_machine": GHOSTED,
+        "stm04_ghosted_log": GHOSTED,
         "win05_streaks": STREAKS,
         "win07_replay": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT * FROM replayed",
         "stm04_ghosts": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT relationship_id, last_contact_at FROM replayed WHERE status = 'CONTACTED' AND last_contact_at < TIMESTAMP '2024-01-25' - INTERVAL 14 DAY AND (last_reply_at IS NULL OR last_reply_at < last_contact_at)",
