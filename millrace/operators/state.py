@@ -64,8 +64,10 @@ def error_streaks(crawls: DataFrame, most: int = 10, bucket: str = "day") -> Dat
 
     A segmented running count: each bucket of an endpoint's time counts for itself; what it ends with is carried over the
     buckets, of which an endpoint has as many as its history has days however many crawls it has; a bucket's rows before its first
-    success add what was carried in. So no task has to hold more of an endpoint than a bucket."""
-    at, within = F.date_trunc(bucket, "crawled_at"), ["endpoint_id", "_bucket"]
+    success add what was carried in. So no task has to hold more of an endpoint than a bucket. Whole numbers are seconds, in
+    buckets of a day."""
+    seconds = crawls.schema["crawled_at"].dataType.simpleString() in ("int", "bigint")
+    at, within = F.floor(F.col("crawled_at") / 86_400) if seconds else F.date_trunc(bucket, "crawled_at"), ["endpoint_id", "_bucket"]
     so_far = W.partitionBy(*within).orderBy("crawled_at", "crawl_id").rowsBetween(W.unboundedPreceding, 0)
     run = W.partitionBy(*within, "_island").orderBy("crawled_at", "crawl_id").rowsBetween(W.unboundedPreceding, 0)
     inner = crawls.withColumn("_bucket", at).withColumn("_island", F.count_if(F.col("status") == "SUCCESS").over(so_far)).withColumn("_own", F.count_if(F.col("status") == "ERROR").over(run))
