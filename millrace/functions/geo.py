@@ -39,9 +39,17 @@ def _code(c: Column) -> Column:
     return F.when(upper == "UK", "GB").when(upper.isin(*CODES), upper)
 
 
-def resolve(location: Column, cities: dict[str, tuple[str, ...]] | None = None) -> Column:
-    """Country names (longest first), a bare code, an upper-case code among the words, then cities by segment: whole, in
-    parts between dashes, by the leading word. The dictionary is a literal map."""
+def best_code(codes: Column) -> Column:
+    """best_of as an expression over an array of codes."""
+    wanted = F.filter(codes, lambda c: c.isin(*TARGETS))
+    first = F.try_element_at(F.filter(wanted, lambda c: c != EXEMPT), F.lit(1))
+    prominent = F.try_element_at(F.filter(F.array(*map(F.lit, PRIORITY)), lambda p: F.array_contains(codes, p)), F.lit(1))
+    return F.when(F.size(wanted) > 0, F.coalesce(first, wanted[0])).otherwise(F.coalesce(prominent, codes[0]))
+
+
+def explicit(location: Column, home: tuple[str, ...] = ()) -> Column:
+    """The country that a location names itself: by a profile's own patterns of the home country, by its name (the longest),
+    by a bare code, by an upper-case code among the words."""
     low, trimmed = F.lower(location), trim_control(location)
     by_length = sorted(COUNTRY_NAMES, key=lambda n: (-len(n), n))
     named = F.regexp_extract_all(low, F.lit("(" + "|".join(jvm(rf"\b{n.replace('.', chr(92) + '.')}\b", False) for n in by_length) + ")"), 1)
@@ -50,14 +58,28 @@ def resolve(location: Column, cities: dict[str, tuple[str, ...]] | None = None)
     names = F.try_element_at(codes, longest)
     bare = F.when(F.length(trimmed) == 2, _code(trimmed))
     words = F.filter(F.split(location, r"[,\s]+"), lambda w: w.rlike("^[A-Z]{2}$") & _code(w).isNotNull())
-    token = F.transform(words, _code)
-    index = F.create_map(*[F.lit(x) for city, codes in (cities or CITIES).items() for x in (city, best_of(codes))])
-    known = lambda c: F.try_element_at(index, c)
+    found = F.coalesce(names, bare, F.try_element_at(F.transform(words, _code), F.lit(1)))
+    own = F.lit(False)
+    for pattern in home:
+        own = own | low.rlike(jvm(pattern))
+    return F.when(own, EXEMPT).otherwise(found) if home else found
+
+
+def city_candidates(location: Column) -> Column:
+    """What may be a city in a location, in the order of trial: each segment whole, in parts between dashes, by its leading
+    word; lower-cased."""
     lead = lambda s: F.when(s.rlike(r"^\S{3,}\s"), F.regexp_extract(s, r"^(\S+)", 1))
     tried = lambda s: F.concat(F.array(s), F.when(s.contains("-"), F.filter(F.split(s, r"\s*-\s*"), lambda p: F.length(p) >= 3)).otherwise(F.array().cast("array<string>")), F.array(lead(s)))
-    segments = F.transform(F.split(low, r"[,\n]"), lambda s: F.trim(s))
-    cities_found = F.filter(F.transform(F.flatten(F.transform(segments, tried)), known), lambda x: x.isNotNull())
-    return F.when(is_blank(location), None).otherwise(F.coalesce(names, bare, F.try_element_at(token, F.lit(1)), F.try_element_at(cities_found, F.lit(1))))
+    segments = F.transform(F.split(F.lower(location), r"[,\n]"), lambda s: F.trim(s))
+    return F.filter(F.flatten(F.transform(segments, tried)), lambda c: c.isNotNull() & (c != ""))
+
+
+def resolve(location: Column, cities: dict[str, tuple[str, ...]] | None = None, home: tuple[str, ...] = ()) -> Column:
+    """The country a location names itself, else that of the first city found in a small dictionary, which is a literal map.
+    operators.places has the same over a table of cities."""
+    index = F.create_map(*[F.lit(x) for city, codes in (cities or CITIES).items() for x in (city, best_of(codes))])
+    found = F.filter(F.transform(city_candidates(location), lambda c: F.try_element_at(index, c)), lambda x: x.isNotNull())
+    return F.when(is_blank(location), None).otherwise(F.coalesce(explicit(location, home), F.try_element_at(found, F.lit(1))))
 
 
 def is_target(iso: Column) -> Column:
