@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import blank_to_null, iso_date, rfc1123_date, salary, strip_html, trim_control
-from millrace.sources.json_feeds import either, at
+from millrace.sources.json_feeds import at
 
 RSS_SCHEMA = "channel struct<item: array<struct<guid: string, link: string, title: string, description: string, pubDate: string, remoteStatus: string, locations: struct<location: array<struct<name: string, city: string, country: string>>>>>>"
 
@@ -41,6 +41,10 @@ def sitemap_postings(payloads: DataFrame, pages: DataFrame, wanted: str, known:
     return posting_page(sitemap(payloads, wanted, known).dropDuplicates(["url"]).join(pages.select("url", "html"), "url")).drop("html")
 
 
+#: Fixed value: a range of whole euros.
+EURO_RANGE = "(\\d{1,3},\\d{3})\\s*[-\u2013]\\s*(\\d{1,3},\\d{3})\\s*\u20ac"
+
+
 def json_ld(html: Column) -> Column:
     """The first JSON-LD block of a page that is a job posting, as a variant."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
@@ -49,17 +53,21 @@ def json_ld(html: Column) -> Column:
 
 
 def posting_page(pages: DataFrame, html: str = "html") -> DataFrame:
-    """title, company_name, location, description and posted_date of pages: JSON-LD first, then the heading and `at`."""
+    """title, company_name, location, description, posted_date and a salary range of pages: JSON-LD first, then the heading and
+    the last `at` of the page's title. Several places are joined by commas; the range is the first in euros on the page."""
     ld = F.col("_ld")
     heading = strip_html(F.nullif(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")))
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     parts = F.split(title, " at ")
+    cities = F.transform(F.try_variant_get(ld, "$.jobLocation", "array<variant>"), lambda v: blank_to_null(F.try_variant_get(v, "$.address.addressLocality", "string")))
     return pages.withColumn("_ld", json_ld(F.col(html))).withColumns({
         "title": F.coalesce(at("$.title")(ld), heading, trim_control(parts[0])),
-        "company_name": F.coalesce(at("$.hiringOrganization.name")(ld), F.when(F.size(parts) > 1, trim_control(parts[1]))),
-        "location": either(at("$.jobLocation.address.addressLocality"), at("$.jobLocation[0].address.addressLocality"))(ld),
+        "company_name": F.coalesce(at("$.hiringOrganization.name")(ld), F.when(F.size(parts) > 1, blank_to_null(trim_control(F.element_at(parts, -1))))),
+        "location": F.coalesce(at("$.jobLocation.address.addressLocality")(ld), blank_to_null(F.array_join(F.filter(cities, lambda c: c.isNotNull()), ", "))),
         "description": strip_html(at("$.description")(ld)),
         "posted_date": iso_date(at("$.datePosted")(ld)),
+        "salary_min": salary(F.nullif(F.regexp_extract(html, EURO_RANGE, 1), F.lit(""))),
+        "salary_max": salary(F.nullif(F.regexp_extract(html, EURO_RANGE, 2), F.lit(""))),
     }).drop("_ld")
 
 
@@ -82,10 +90,20 @@ def piped(payloads: DataFrame) -> DataFrame:
     return rows.select(trim_control(parts[0]).alias("company_name"), trim_control(parts[1]).alias("title"), trim_control(parts[2]).alias("apply_url"))
 
 
+def csv_records(payload: Column) -> Column:
+    """The records of quoted CSV text as an array: a line break parts records only outside of quotes, that is where an even
+    number of quotes stands before it. Doubled quotes count twice. The mark of a break is one that the text can't have, as its
+    own marks are escaped first."""
+    pieces = F.split(F.replace(payload, F.lit("\x1e"), F.lit("\x1e.")), '"')
+    outside = F.transform(pieces, lambda p, k: F.when(k % 2 == 0, F.regexp_replace(p, "\r?\n", "\x1e,")).otherwise(p))
+    records = F.split(F.array_join(outside, '"'), "\x1e,")
+    return F.transform(records, lambda r: F.replace(r, F.lit("\x1e."), F.lit("\x1e")))
+
+
 def csv_lines(payloads: DataFrame, schema: str) -> DataFrame:
-    """Rows of quoted CSV text without its header line."""
-    lines = payloads.select(F.posexplode(F.split("payload", "\r?\n")).alias("n", "line")).where("n > 0 AND trim(line) <> ''")
-    return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
+    """Rows of quoted CSV text without its header line. Fields in quotes may hold line breaks, and doubled quotes for quotes."""
+    records = payloads.select(F.posexplode(csv_records(F.col("payload"))).alias("n", "record")).where("n > 0 AND trim(record) <> ''")
+    return records.select(F.from_csv("record", schema, {"multiLine": "true", "escape": '"'}).alias("r")).select("r.*")
 
 
 def zipped(payloads: DataFrame, patterns: dict[str, str], amounts: tuple[str, ...] = ()) -> DataFrame:
