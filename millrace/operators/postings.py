@@ -50,6 +50,31 @@ def supersede(jobs: DataFrame) -> DataFrame:
     return marked.withColumns({"reason": F.when(F.col("_loses"), "superseded by endpoint").otherwise(F.col("reason")), "decision": F.when(F.col("_loses"), "SKIP").otherwise(F.col("decision"))}).drop("_loses", "_owned")
 
 
+def merged(old: Column, new: Column) -> Column:
+    """Two maps as one; where both have a key, the new value stays. Null counts as empty."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.map_zip_with(F.coalesce(old, empty), F.coalesce(new, empty), lambda k, a, b: F.coalesce(b, a))
+
+
+def supersede_with_links(jobs: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """supersede(), after which the own posting holds the links of the rows it superseded and those have no scores.
+
+    jobs (id, fingerprint, source, decision, reason, is_aggregator, apply_url, external_links, created_at) and scores (id, ...)
+    give both anew. The first kept own posting of a fingerprint, by (created_at, id), gets the links: for each source the last
+    one's address, by the same order, merged into the links it has. Links are pre-aggregated by fingerprint and source, so that a
+    fingerprint may stand for any number of rows; a fingerprint has as many links as there are sources."""
+    order = F.struct("created_at", "id")
+    refused = supersede(jobs)
+    lost = (F.col("reason") == "superseded by endpoint") & F.col("is_aggregator") & (F.col("decision") == "SKIP")
+    before = jobs.where("is_aggregator AND decision = 'KEEP'").select("id")
+    losers = refused.where(lost).join(before, "id", "left_semi")
+    last = losers.where("apply_url IS NOT NULL").groupBy("fingerprint", "source").agg(F.max_by("apply_url", order).alias("url"))
+    links = last.groupBy("fingerprint").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "url")))).alias("_links"))
+    winner = jobs.where("decision = 'KEEP' AND NOT is_aggregator").groupBy("fingerprint").agg(F.min(order).alias("_first")).join(links, "fingerprint").select(F.col("_first.id").alias("id"), "_links")
+    linked = refused.join(winner, "id", "left").withColumn("external_links", F.when(F.col("_links").isNotNull(), merged(F.col("external_links"), F.col("_links"))).otherwise(F.col("external_links"))).drop("_links")
+    return linked, scores.join(losers.select("id"), "id", "left_anti")
+
+
 def deactivate_missing(jobs: DataFrame, seen: DataFrame) -> DataFrame:
     """Active, unapplied rows of an endpoint that its crawl no longer shows become inactive; an endpoint without any seen
     row keeps all of its rows."""

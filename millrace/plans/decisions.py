@@ -158,12 +158,13 @@ def scn03_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings whose fingerprint has a coarse title, so that sources meet."""
+    """Postings whose company is their language and that stand nowhere, so that copies in several sources meet by their whole
+    titles."""
     j = jobs(spark, sf_dir)
-    return j.withColumn("fingerprint", keys.fingerprint(F.left("title", F.lit(2)), F.col("company"), F.col("location"))).withColumn("created_at", F.col("discovered_date"))
+    return j.withColumn("fingerprint", keys.fingerprint(F.col("title"), F.col("lang"), F.lit(None).cast("string"))).withColumn("created_at", F.col("discovered_date"))
 
 
-_FP = f"fp AS (SELECT * EXCLUDE (title), {FINGERPRINT.replace('coalesce(title', 'coalesce(left(title, 2)')} AS fingerprint FROM jobs)"
+_FP = f"fp AS (SELECT * EXCLUDE (title), {FINGERPRINT} AS fingerprint FROM (SELECT * REPLACE (lang AS company, CAST(NULL AS VARCHAR) AS location) FROM jobs) r)"
 
 
 def ded02_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +182,17 @@ def ded04_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.supersede(rows).groupBy("source", "decision", "reason").agg(F.count("*").alias("n"))
 
 
+def ded04_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superseding row by row: decisions, links in order of their sources, and the scores that stay."""
+    url = F.when(F.col("id") % 6 != 0, F.concat(F.lit("https://x/"), F.col("id")))
+    had = F.when(F.col("id") % 4 == 0, F.create_map(F.lit("src0"), F.lit("old"), F.lit("zz"), F.lit("kept")))
+    rows = _fingerprinted(spark, sf_dir).withColumns({"reason": F.lit(None).cast("string"), "apply_url": url, "external_links": had})
+    scores = jobs(spark, sf_dir).where("id % 3 > 0").select("id", (F.col("id") % 101).alias("score"))
+    done, left = postings.supersede_with_links(rows, scores)
+    links = F.array_join(F.transform(F.array_sort(F.map_entries("external_links")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return done.join(left, "id", "left").select("id", "decision", "reason", links.alias("links"), "score")
+
+
 def ded08_deactivate(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = jobs(spark, sf_dir).select("id", F.col("source").alias("endpoint_id"), F.col("id").cast("string").alias("external_id"), "is_active", "applied")
     seen = j.where("id % 3 <> 0 AND endpoint_id <> 'src1'").select("endpoint_id", "external_id")
@@ -197,14 +209,15 @@ def ded01_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snk01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal")
-    new = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.upper("c_name")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    old = c.select("c_custkey", "c_name", "c_acctbal")
+    shifted = (F.col("c_custkey") * 2).alias("c_custkey")  # even keys; half of them are new
+    new = c.select(shifted, F.when(F.col("c_custkey") % 5 != 0, F.upper("c_name")).alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return postings.upsert(old, new, ["c_custkey"])
 
 
 def snk03_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return postings.insert_ignore(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_name", F.lit("new")), ["c_custkey"])
+    return postings.insert_ignore(c, c.select((F.col("c_custkey") * 2).alias("c_custkey"), F.concat(F.lit("new "), F.col("c_name")).alias("c_name")), ["c_custkey"])
 
 
 def snk05_delete_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +239,7 @@ def sco10_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.urgency(total.cast("double"), (k % 31 - 5).cast("double")).alias("urgency"), scoring.contact_priority((k % 101).cast("double"), (k % 77).cast("double")).cast("long").alias("priority"), scoring.next_follow_up(F.to_date("o_orderdate"), k % 5).alias("next_day"))
 
 
-QUERIES = {f.__name__: f for f in (top_apply_jobs, flt01_cascade, flt13_reasons, flt10_years, sco01_match, sco02_opportunity, srt01_search_page, prd05_recent, prd04_short, scn03_prefix, ded01_ingest, ded02_duplicates, ded03_enrich, ded04_supersede, ded08_deactivate, snk01_upsert, snk03_insert_ignore, snk05_delete_purge, sco13_visa_signals, sco10_actions)}
+QUERIES = {f.__name__: f for f in (top_apply_jobs, flt01_cascade, flt13_reasons, flt10_years, sco01_match, sco02_opportunity, srt01_search_page, prd05_recent, prd04_short, scn03_prefix, ded01_ingest, ded02_duplicates, ded03_enrich, ded04_supersede, ded04_links, ded08_deactivate, snk01_upsert, snk03_insert_ignore, snk05_delete_purge, sco13_visa_signals, sco10_actions)}
 SQL = {
     "flt01_cascade": CASCADE,
     "flt13_reasons": f"SELECT coalesce(reason, 'KEEP') AS reason, count(*) AS n FROM ({CASCADE}) GROUP BY 1",
@@ -249,9 +262,16 @@ SELECT n.id, string_agg(l.source, ',' ORDER BY l.source) AS sources, string_agg(
     "ded04_supersede": f"""WITH {JOBS}, {_FP}, o AS (SELECT DISTINCT fingerprint FROM fp WHERE decision = 'KEEP' AND NOT is_aggregator), m AS (SELECT source, decision, decision = 'KEEP' AND is_aggregator AND fingerprint IN (SELECT fingerprint FROM o) AS loses FROM fp)
 SELECT source, CASE WHEN loses THEN 'SKIP' ELSE decision END AS decision, CASE WHEN loses THEN 'superseded by endpoint' END AS reason, count(*) AS n FROM m GROUP BY 1, 2, 3""",
     "ded08_deactivate": f"WITH {JOBS} SELECT id, is_active AND NOT (NOT applied AND source <> 'src1' AND id % 3 = 0) AS is_active FROM jobs",
-    "snk01_upsert": """WITH o AS (SELECT * FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN upper(c_name) END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
-SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""",
-    "snk03_insert_ignore": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS c_name FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0",
+    "ded04_links": f"""WITH {JOBS}, {_FP}, o AS (SELECT fingerprint, min(ROW(discovered_date, id)) AS first FROM fp WHERE decision = 'KEEP' AND NOT is_aggregator GROUP BY 1),
+m AS (SELECT fp.id, fp.source, fp.discovered_date, fp.decision, fp.fingerprint, CASE WHEN fp.id % 6 <> 0 THEN 'https://x/' || fp.id END AS url, o.first, coalesce(fp.decision = 'KEEP' AND fp.is_aggregator AND o.first IS NOT NULL, false) AS loses FROM fp LEFT JOIN o ON o.fingerprint = fp.fingerprint),
+l AS (SELECT fingerprint, source, arg_max(url, (discovered_date, id)) AS url FROM m WHERE loses AND url IS NOT NULL GROUP BY ALL),
+h AS (SELECT id, 'src0' AS source, 'old' AS url, 0 AS new FROM fp WHERE id % 4 = 0 UNION ALL SELECT id, 'zz', 'kept', 0 FROM fp WHERE id % 4 = 0
+  UNION ALL SELECT m.id, l.source, l.url, 1 FROM m JOIN l ON l.fingerprint = m.fingerprint WHERE m.first = ROW(m.discovered_date, m.id) AND m.decision = 'KEEP'),
+g AS (SELECT id, string_agg(source || '=' || url, ',' ORDER BY source) AS links FROM (SELECT id, source, arg_max(url, new) AS url FROM h GROUP BY ALL) x GROUP BY id)
+SELECT m.id, CASE WHEN loses THEN 'SKIP' ELSE decision END AS decision, CASE WHEN loses THEN 'superseded by endpoint' END AS reason, g.links, CASE WHEN m.id % 3 > 0 AND NOT loses THEN m.id % 101 END AS score FROM m LEFT JOIN g ON g.id = m.id""",
+    "snk01_upsert": """WITH n AS (SELECT c_custkey * 2 AS c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN upper(c_name) END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer)
+SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.c_acctbal, o.c_acctbal) AS c_acctbal FROM customer o FULL JOIN n ON n.c_custkey = o.c_custkey""",
+    "snk03_insert_ignore": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey * 2, 'new ' || c_name FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)",
     "snk05_delete_purge": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND (CAST(o_orderdate AS DATE) >= DATE '1998-01-01' - 730 OR o_orderstatus = 'P')",
     "sco13_visa_signals": f"WITH {SQL_COMPANIES} SELECT company_id, CASE WHEN has_sponsored_before IS NULL THEN 'UNKNOWN' ELSE (['LOW', 'MEDIUM', 'MEDIUM', 'HIGH'])[CAST(has_sponsored_before AS INTEGER) + CAST(english_speaking AS INTEGER) + CAST(international_workforce AS INTEGER) + 1] END AS friendliness FROM companies",
     "sco10_actions": """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 20 AS t, o_orderkey % 31 - 5 AS r, CAST(o_orderdate AS DATE) AS d FROM orders)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import contacts, filters, people, search
+from millrace.operators import contacts, filters, nesting, people, search
 from millrace.plans import bindings as b
 from millrace.session import table
 
@@ -136,10 +136,31 @@ def agg19_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.jobs(spark, sf_dir).agg(F.count_if(_c("decision") == "KEEP").alias("apply"), F.countDistinct("company").alias("companies"), F.max("salary_max").alias("highest"))
 
 
-QUERIES = {f.__name__: f for f in (prj07_contacts, srt06_contacts, join12_linked_jobs, join06_no_endpoints, join14_no_active_endpoints, srt07_crawl_order, join13_searches, set04_keywords, stm06_recruiters, stm07_profiles, stm11_unscored, flt11_refilter, join10_companies, str04_name_parts, str14_snake, str17_slices, agg19_digest)}
+def _written(name: str, *fields: str) -> Column:
+    """An array of structs in writing, its parts in their order."""
+    part = lambda p: F.concat_ws("|", *[F.coalesce(p[f].cast("string"), F.lit("-")) for f in fields])
+    return F.array_join(F.transform(name, part), ",").alias(name)
+
+
+def prj05_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies with their endpoints as nested rows and their active postings counted."""
+    found = nesting.company_details(_companies(spark, sf_dir), _endpoints(spark, sf_dir), b.jobs(spark, sf_dir))
+    summaries = nesting.company_summaries(_companies(spark, sf_dir).select("company_id"), _endpoints(spark, sf_dir))
+    return found.join(summaries, "company_id").select("company_id", "name", _written("endpoints", "endpoint_id", "is_active", "last_crawled_at"), "active_jobs", "endpoint_count")
+
+
+def prj06_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications with their job and their outcomes as nested rows."""
+    found = nesting.application_details(b.applications(spark, sf_dir), b.jobs(spark, sf_dir), b.outcomes(spark, sf_dir))
+    return found.select("application_id", "status", F.md5("title").alias("title"), "company_name", _written("outcomes", "stage", "occurred_at", "notes"), F.size("outcomes").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (prj05_details, prj06_details, prj07_contacts, srt06_contacts, join12_linked_jobs, join06_no_endpoints, join14_no_active_endpoints, srt07_crawl_order, join13_searches, set04_keywords, stm06_recruiters, stm07_profiles, stm11_unscored, flt11_refilter, join10_companies, str04_name_parts, str14_snake, str17_slices, agg19_digest)}
 _ORDERS = {"priority": "priority DESC NULLS LAST", "warmth": "warmth DESC NULLS LAST", "name": "name", "created_at": "created_at DESC"}
 _SOURCES = "s AS (SELECT n_name AS source, n_nationkey AS rank, n_nationkey % 5 <> 0 AS enabled, ['k' || (n_nationkey % 4), 'java', 'k' || (n_nationkey % 3)] AS keywords, ['Wien', 'L' || n_nationkey] AS locations FROM nation)"
 SQL = {
+    "prj05_details": f"WITH {_ENDPOINTS}, {b.JOBS}, e AS (SELECT company_id, string_agg(endpoint_id || '|' || is_active || '|' || coalesce(CAST(last_crawled_at AS VARCHAR), '-'), ',' ORDER BY endpoint_id) AS endpoints, count(*) AS n FROM endpoints GROUP BY 1), j AS (SELECT company_id, count(*) AS n FROM jobs WHERE is_active GROUP BY 1) SELECT s_suppkey AS company_id, s_name AS name, coalesce(endpoints, '') AS endpoints, coalesce(j.n, 0) AS active_jobs, coalesce(e.n, 0) AS endpoint_count FROM supplier LEFT JOIN e ON e.company_id = s_suppkey LEFT JOIN j ON j.company_id = s_suppkey",
+    "prj06_details": f"WITH {b.APPLICATIONS}, {b.OUTCOMES}, {b.JOBS}, o AS (SELECT application_id, string_agg(stage || '|' || occurred_at || '|' || coalesce(notes, '-'), ',' ORDER BY occurred_at, stage, notes NULLS FIRST) AS o, count(*) AS n FROM outcomes GROUP BY 1) SELECT a.application_id, a.status, md5(title) AS title, company AS company_name, coalesce(o, '') AS outcomes, CAST(coalesce(n, 0) AS INTEGER) AS n FROM applications a LEFT JOIN o ON o.application_id = a.application_id LEFT JOIN jobs ON jobs.id = a.job_id",
     "prj07_contacts": f"WITH {_CONTACTS} SELECT contact_id, c.name, company_id, coalesce(warmth, 0) AS warmth, coalesce(priority, 0) AS priority, created_at, s_name AS company_name, CASE WHEN contact_id % 4 = 0 THEN 'REPLIED' WHEN contact_id % 2 = 0 THEN 'CONTACTED' END AS status, CASE WHEN contact_id % 2 = 0 THEN DATE '2024-01-01' + CAST(contact_id % 20 AS INTEGER) END AS last_contact_at FROM contacts c LEFT JOIN supplier ON s_suppkey = company_id",
     "srt06_contacts": f"WITH {_CONTACTS} " + " UNION ALL ".join(f"(SELECT contact_id, '{n}' AS sort FROM contacts ORDER BY {o}, contact_id LIMIT 20)" for n, o in _ORDERS.items()),
     "join12_linked_jobs": f"WITH {_CONTACTS} SELECT DISTINCT o_orderkey % 1000 AS job_id, o_custkey AS contact_id, priority, source FROM orders JOIN contacts ON contact_id = o_custkey JOIN documents ON doc_id = o_orderkey % 1000",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.operators import analytics, search, state
 from millrace.plans import bindings as b
 from millrace.session import shared_dir, table
-from millrace.streaming import machine, relationships
+from millrace.streaming import machine, relationships, snapshots
 
 _R = "CASE WHEN {w} > 0 THEN floor(CAST({p} AS DOUBLE) / {w} * 1000 + 0.5) / 1000 ELSE 0.0 END"
 
@@ -182,7 +182,7 @@ def stm03_stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = relationships.run_available(relationships.latest_status(b.relationship_events(events)), f"{base}/out", f"{base}/log", "complete")
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return snapshots.read(spark, f"{base}/out")
 
 
 def stm02_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +226,32 @@ WHERE status = 'CONTACTED' AND m IS NOT NULL AND (r IS NULL OR r < m) AND (after
   AND date_trunc('milliseconds', silent_until) <= (SELECT date_trunc('milliseconds', max(occurred_at)) FROM led)"""
 
 
-QUERIES = {f.__name__: f for f in (stm02_stream_once, stm03_stream_machine, stm04_ghosted_log, stm03_stream_status, agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
+def stm01_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the events as they come, one at a time: the second finds nothing new and publishes nothing. Statuses with
+    the number of the version that readers see."""
+    schema = table(spark, sf_dir, "events").schema
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in range(2):
+        with snapshots.single_flight(spark, f"{base}/out"):
+            events = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet")
+            snapshots.run(relationships.latest_status(b.relationship_events(events)), f"{base}/out", f"{base}/log").awaitTermination()
+    seen = snapshots.current(spark, f"{base}/out")
+    return snapshots.read(spark, f"{base}/out").groupBy("status").agg(F.count("*").alias("n"), F.sum("events").alias("events")).withColumn("version", F.lit(seen))
+
+
+def snk02_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of two runs over all postings by the name of their source: the second knows the active ones only, and one
+    source not at all; repeated, it changes nothing."""
+    base = f"{shared_dir(spark)}/stats-{uuid.uuid4().hex}"
+    stats = lambda rows: rows.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("rows"), F.sum(F.length("description")).alias("chars"))
+    j = b.jobs(spark, sf_dir)
+    second = stats(j.where("is_active AND source <> 'src1'")).withColumn("chars", F.when(F.col("name") != "src2", F.col("chars")))
+    for batch, rows in ((1, stats(j)), (2, second), (2, stats(j))):
+        snapshots.record_run(rows, base, batch)
+    return snapshots.read(spark, base)
+
+
+QUERIES = {f.__name__: f for f in (stm01_incremental, snk02_run_stats, stm02_stream_once, stm03_stream_machine, stm04_ghosted_log, stm03_stream_status, agg01_funnel, agg02_gaps, agg03_funnel_by_source, agg04_status_funnel, agg05_scores, agg06_blockers, agg07_skill_gaps, agg09_counts, agg10_templates, agg10_channels, agg11_source_quality, agg13_velocity, agg18_company_names, prj01_top_skills, prj03_tech_stack, join02_without_score, join15_orphans, win05_streaks, win07_replay, stm04_ghosts, stm08_overdue)}
 
 
 def sql() -> dict[str, str]:
@@ -252,6 +277,8 @@ def sql() -> dict[str, str]:
         "join15_orphans": "SELECT (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) AS lines, (SELECT count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)) AS orders",
         "stm02_stream_once": "SELECT event_type, count(DISTINCT (user_id, CAST(ts AS DATE))) AS n FROM events GROUP BY 1",
         "stm03_stream_status": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT relationship_id, status, events FROM replayed",
+        "stm01_incremental": f"WITH {b.RELATIONSHIP_EVENTS}, {REPLAY} SELECT status, count(*) AS n, CAST(sum(events) AS BIGINT) AS events, 0 AS version FROM replayed GROUP BY 1",
+        "snk02_run_stats": f"WITH {b.JOBS}, o AS (SELECT source AS name, count(*) AS rows, sum(length(description)) AS chars FROM jobs GROUP BY 1), n AS (SELECT source AS name, count(*) AS rows, sum(length(description)) AS chars FROM jobs WHERE is_active AND source <> 'src1' GROUP BY 1) SELECT o.name, CAST(coalesce(n.rows, o.rows) AS BIGINT) AS rows, CAST(CASE WHEN o.name = 'src2' OR n.chars IS NULL THEN o.chars ELSE n.chars END AS BIGINT) AS chars FROM o LEFT JOIN n ON n.name = o.name",
         "stm03_stream_machine": GHOSTED,
         "stm04_ghosted_log": GHOSTED,
         "win05_streaks": STREAKS,

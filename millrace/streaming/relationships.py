@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators.state import FIRST_STATUS, transition
+from millrace.streaming import snapshots
 
 
 def latest_status(events: DataFrame, key: str = "relationship_id") -> DataFrame:
@@ -23,11 +24,9 @@ def once_per_key(rows: DataFrame, keys: list[str], time: str, delay: str) -> Dat
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Processes what is there into Parquet files, exactly once, then ends."""
-    if mode == "append":
-        return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Processes what is there, exactly once, then ends: into Parquet files, or, where the result is complete each time, into a
+    versioned table that snapshots.read reads."""
+    if mode != "complete":
+        return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return df.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    return snapshots.run(df, path, checkpoint)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import analytics, postings, state
 from millrace.plans.bindings import STAGES, relationship_events
-from millrace.streaming import relationships
+from millrace.streaming import relationships, snapshots
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -12,7 +12,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     out = relationships.latest_status(relationship_events(stream))
     query = relationships.run_available(out, f"{tmp_path}/out", f"{tmp_path}/cp", "complete")
     assert query.awaitTermination(120)
-    got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("relationship_id", "status", "events").collect()}
+    got = {tuple(r) for r in snapshots.read(spark, f"{tmp_path}/out").select("relationship_id", "status", "events").collect()}
     assert got == {tuple(r) for r in state.replay(relationship_events(batch)).select("relationship_id", "status", "events").collect()}
 
 
