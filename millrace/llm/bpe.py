@@ -1,6 +1,7 @@
 """Byte-pair encoding and decoding of whole texts.
 
-A long text is encoded by tree concatenation: its halves, down to leaves, for themselves, then windows around each join.
+A long text is encoded by tree concatenation: its halves, down to leaves, for themselves, then windows around each join: of
+pieces where the text is split, of tokens inside a piece that isn't (unsplit.py).
 A text of any length goes that way; memory is some tens of bytes for each of its tokens, and a slice of rows takes BATCH bytes
 of text or one text. Null text counts as empty: no ids, and the decoded text is empty. A repeated row gives a repeated row. Extra columns stay;
 a column that already has the name of a result is replaced. An empty table gives an empty result.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +27,8 @@ from millrace.session import ship
 #: Bytes of text that a worker takes at once, the most characters of a leaf, and pieces at its ends that a span knows.
 BATCH, LEAF, KNOWN = 1 << 20, 4096, 4
 
+#: Where the text is split for certain.
+_NEAR = re.compile(r"\S \S")
 #: A piece of a text, encoded by itself: its first place in the text, the place after its last, its number of tokens.
 Unit = tuple[int, int, int]
 
@@ -57,12 +61,15 @@ def span(enc: tokens.Encoder, text: str, begin: int, end: int) -> Span:
     return Span(begin, end, b"".join(ids), head, head if whole else tail[::-1], whole)
 
 
-def cuts(n: int) -> list[int]:
-    """Where a text of n characters is halved, and its halves, until no part has more than LEAF; its ends included."""
-    parts = 1
+def cuts(text: str) -> list[int]:
+    """Where a text is halved, and its halves, until no part has more than LEAF; its ends included. A cut that no split of
+    the text is near to, LEAF characters on either side, is left out: what stands there is a piece of its own, which
+    unsplit.Unsplit halves into tokens."""
+    n, parts = len(text), 1
     while parts * LEAF < n:
         parts *= 2
-    return [n * k // parts for k in range(parts + 1)]
+    nominal = [n * k // parts for k in range(1, parts)]
+    return [0, *[c for c in nominal if _NEAR.search(text, max(0, c - LEAF), c) and _NEAR.search(text, c, c + LEAF)], n]
 
 
 def _agreed(enc: tokens.Encoder, text: str, left: Span, right: Span) -> tuple[Span, int, int]:
@@ -105,9 +112,9 @@ def join(enc: tokens.Encoder, text: str, left: Span, right: Span) -> Span:
 def tree_concat(enc: tokens.Encoder, text: str) -> bytes:
     """The ids of a whole text: its leaves are encoded independently of each other, then neighbours are joined in pairs, then
     pairs of those, up to the whole text."""
-    level = [span(enc, text, a, b) for a, b in itertools.pairwise(cuts(len(text)))]
+    level = [span(enc, text, a, b) for a, b in itertools.pairwise(cuts(text))]
     while len(level) > 1:
-        level = [join(enc, text, level[k], level[k + 1]) for k in range(0, len(level), 2)]
+        level = [join(enc, text, *level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
     return level[0].ids
 
 

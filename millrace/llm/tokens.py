@@ -15,9 +15,13 @@ from collections.abc import Callable
 
 import numpy as np
 
+from millrace.llm.unsplit import Unsplit
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pieces and runs of punctuation that a worker keeps, twice, and the longest piece that it keeps.
 MAX_KEPT, MAX_MARKS, MAX_PIECE = 150_000, 20_000, 64
+#: Pieces of more characters are encoded by halves; the ids of the last few are remembered.
+LONG, REMEMBERED = 4096, 4
 #: Latin letters that are their own normal form, then ASCII punctuation but for the apostrophe: two units of the splitting.
 _LATIN, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e]", r"[!-&(-/:-@\[-`{-~]"
 _WORD, _SPACED_WORD = re.compile(f"({_LATIN}+)({_MARKS}*)"), re.compile(f"( ?{_LATIN}+)({_MARKS}*)")
@@ -67,6 +71,7 @@ class Encoder:
         #: Words carry their end, and white space goes, if the vocabulary's model has a suffix for ends of words.
         self.drops_white = bool(self.tokenizer.model.end_of_word_suffix)
         self.simple = (_WORD if self.drops_white else _SPACED_WORD).fullmatch
+        self.halves, self.long = None, {}
         self.known, self.marks = _Kept(MAX_KEPT, self._piece), _Kept(MAX_MARKS, self._run)
 
     def pieces(self, text: str) -> list[str]:
@@ -85,8 +90,19 @@ class Encoder:
             if marks:
                 return self.known[letters] + self.marks[marks]
             return self._run(letters) if letters == piece else self.known[letters]
+        if len(piece) > LONG:
+            return self._long(piece)
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _long(self, piece: str) -> bytes:
+        """The ids of a long piece, by halves."""
+        if piece not in self.long:
+            self.halves = self.halves or Unsplit(self.tokenizer)
+            while len(self.long) >= REMEMBERED:
+                del self.long[next(iter(self.long))]
+            self.long[piece] = self.halves.piece(piece)
+        return self.long[piece]
+
     def _run(self, run: str) -> bytes:
         """The ids of one unit of the vocabulary's own splitting: Latin letters (after a space), or ASCII punctuation."""
         if run.isascii():  # only its first character can be a space
