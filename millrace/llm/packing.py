@@ -12,6 +12,7 @@ their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import zlib
 from collections import Counter
@@ -84,6 +85,37 @@ def loose_bins(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
     return bins
 
 
+def best_fit_bins(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """Best fit decreasing on the histogram: lengths from the longest on, each piece into the fullest bin that holds it. A bin that
+    is the fullest one for a length stays so while the length fits, so bins of a kind take their pieces at once."""
+    open_: dict[int, Counter[Pattern]] = {}
+    rooms: list[int] = []
+
+    def put(kind: Pattern, room: int, times: int) -> None:
+        if room not in open_:
+            open_[room] = Counter()
+            bisect.insort(rooms, room)
+        open_[room][kind] += times
+
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            at = bisect.bisect_left(rooms, n)
+            room = rooms[at] if at < len(rooms) else capacity
+            kind, bins = next(iter(open_[room].items())) if at < len(rooms) else ((), left)
+            each = min(room // n, left)
+            times = min(bins, left // each)
+            if at < len(rooms):
+                open_[room][kind] -= times
+                if not open_[room][kind]:
+                    del open_[room][kind]
+                if not open_[room]:
+                    del open_[room], rooms[at]
+            put((*kind, *[n] * each), room - n * each, times)
+            left -= times * each
+    return sum(open_.values(), Counter())
+
+
 def _sorted(pieces: Iterable[int]) -> Pattern:
     return tuple(sorted(pieces, reverse=True))
 
@@ -184,8 +216,8 @@ def search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     return +bins
 
 
-def bins_of(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
-    """Kinds of bins for all pieces. The search begins with portions of equal pieces, as large as leave at most SEARCHED of
+def portioned(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """Kinds of bins for all pieces, from the loose start. The search begins with portions of equal pieces, as large as leave at most SEARCHED of
     them, and goes on with portions a quarter of the size, down to single pieces. Of what larger portions give, only full
     bins are used, and not every MIXED-th of them: the pieces in the others are searched again among what is left over, so
     that every search has lengths of all kinds. The steps grow with the lengths and the logarithm of the pieces only."""
@@ -206,6 +238,30 @@ def bins_of(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
     return +bins
 
 
+def refilled(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """The bins, with the pieces of the underfull ones assigned anew by best fit and searched again, as long as that saves
+    bins: where no exchange helps any more, a new start for what is left over often does."""
+    while True:
+        full = Counter({p: c for p, c in bins.items() if sum(p) == capacity})
+        loose = Counter()
+        for kind, times in bins.items():
+            if kind not in full:
+                for n in kind:
+                    loose[n] += times
+        again = full + search(best_fit_bins(loose, capacity), capacity)
+        if sum(again.values()) >= sum(bins.values()):
+            return bins
+        bins = again
+
+
+def bins_of(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
+    """Kinds of bins for all pieces: the search from the loose start, refilled, or the search from best fit decreasing where
+    that ends with fewer bins. So there are never more than best fit decreasing has, however many pieces there are."""
+    found = refilled(portioned(counts, capacity), capacity)
+    other = search(best_fit_bins(counts, capacity), capacity)
+    return found if sum(found.values()) <= sum(other.values()) else other
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, np.ndarray]:
     """For each length, rows (first rank, pieces in a bin, first sequence, offset of the first piece) in order of rank."""
     rows: dict[int, list] = {n: [] for n in counts}

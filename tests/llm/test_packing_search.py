@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import random
 from collections import Counter
@@ -106,3 +107,42 @@ def test_portions(monkeypatch):
     assert pieces(bins) == counts and all(sum(p) <= 2048 for p in bins)
     direct = packing.search(packing.loose_bins(counts, 2048), 2048)
     assert sum(bins.values()) <= 1.01 * sum(direct.values())
+
+
+def best_fit_decreasing(sizes, capacity):
+    rooms, bins = [], 0
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bins += room == capacity and at == len(rooms)
+        bisect.insort(rooms, room - n)
+    return bins
+
+
+def families():
+    draw = random.Random(4)
+    few = [draw.randint(400, 1025) for _ in range(8)]
+    return {
+        "eight lengths": draw.choices(few, k=2000),
+        "uniform": [draw.randint(1, 2048) for _ in range(2000)],
+        "halves": [draw.randint(600, 1100) for _ in range(2000)],
+        "thirds": [draw.randint(500, 800) for _ in range(2000)],
+        "short": [draw.randint(1, 60) for _ in range(9000)],
+        "documents": [min(2048, 1 + int(draw.expovariate(1 / 600))) for _ in range(3000)],
+        "simple parts": draw.choices([683, 1024, 1025, 342], k=2000),
+        "primes": draw.choices([701, 509, 307, 1201, 89], k=2500),
+        "short and long": [draw.randint(1, 50) if draw.random() < 0.5 else draw.randint(900, 1100) for _ in range(2500)],
+        "many": [min(2048, 1 + int(draw.expovariate(1 / 600))) for _ in range(40_000)],
+        "one length": [700] * 1001,
+        "none": [],
+    }
+
+
+@pytest.mark.parametrize("name", families())
+def test_never_more_bins_than_best_fit_decreasing(name):
+    sizes = families()[name]
+    counts, plain = Counter(sizes), best_fit_decreasing(sizes, 2048)
+    quick = packing.best_fit_bins(counts, 2048)
+    assert pieces(quick) == counts and sum(quick.values()) == plain
+    bins = packing.bins_of(counts, 2048)
+    assert pieces(bins) == counts and all(sum(p) <= 2048 for p in bins) and sum(bins.values()) <= plain
