@@ -19,7 +19,7 @@ from millrace.llm.unsplit import Unsplit
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pieces and runs of punctuation that a worker keeps, twice, and the longest piece that it keeps.
-MAX_KEPT, MAX_MARKS, MAX_PIECE = 400_000, 20_000, 64
+MAX_KEPT, MAX_MARKS, MAX_PIECE = 700_000, 20_000, 64
 #: Pieces of more characters are encoded by halves; the ids of the last few are remembered.
 LONG, REMEMBERED = 4096, 4
 #: Latin letters that are their own normal form, then ASCII punctuation but for the apostrophe: two units of the splitting.
