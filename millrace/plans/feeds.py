@@ -14,24 +14,22 @@ EACH = 1000
 PAYLOAD_BYTES = 2_000_000
 
 
-def _payloads(rows: DataFrame, item: Column, array: str | None) -> DataFrame:
-    """One JSON payload for every EACH ids."""
-    grouped = rows.groupBy(F.floor(F.col("id") / EACH).alias("chunk")).agg(F.collect_list(item).alias("items"))
-    whole = F.to_json("items") if array is None else F.to_json(F.struct(F.col("items").alias(array)))
-    return grouped.select("chunk", whole.alias("payload"))
+def _whole_payloads(rows: DataFrame, item: Column, array: str | None, most: int = PAYLOAD_BYTES) -> DataFrame:
+    """JSON payloads of whole titles and descriptions."""
+    grouped = _grouped(rows, item, most)
+    return grouped.select((F.to_json("items") if array is None else F.to_json(F.struct(F.col("items").alias(array)))).alias("payload"))
 
 
-def _whole_payloads(rows: DataFrame, item: Column, array: str | None, most: int = PAYLOAD_BYTES) -> DataFrame:
-    """JSON payloads of whole titles and descriptions, cut by bytes within every EACH ids: most, and one text more."""
+def _grouped(rows: DataFrame, item: Column, most: int = PAYLOAD_BYTES) -> DataFrame:
+    """Items, cut by bytes of title and description within every EACH ids: most, and one text more."""
     texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("title", "description")]
     before = W.partitionBy("_each").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
     sized = rows.withColumn("_each", F.floor(F.col("id") / EACH)).withColumn("_part", F.floor(F.sum(texts[0] + texts[1]).over(before) / most))
-    grouped = sized.groupBy("_each", "_part").agg(F.collect_list(item).alias("items"))
-    return grouped.select((F.to_json("items") if array is None else F.to_json(F.struct(F.col("items").alias(array)))).alias("payload"))
+    return sized.groupBy("_each", "_part").agg(F.collect_list(item).alias("items"))
 
 
-def _rows(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return jobs(spark, sf_dir).withColumns({"title": F.concat(F.lit("T "), F.col("title") if whole else F.left("title", F.lit(60))), "stamp": F.unix_timestamp(F.col("discovered_date").cast("timestamp")), "day": F.col("discovered_date").cast("string")})
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs(spark, sf_dir).withColumns({"title": F.concat(F.lit("T "), F.col("title")), "stamp": F.unix_timestamp(F.col("discovered_date").cast("timestamp")), "day": F.col("discovered_date").cast("string")})
 
 
 def _greenhouse(text: Column) -> Column:
@@ -43,31 +41,18 @@ def _lever(text: Column) -> Column:
 
 
 def src10_greenhouse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), _greenhouse(F.left("description", F.lit(80))), "jobs"), "GREENHOUSE"))
-
-
-def src11_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(json_feeds.parse(_payloads(_rows(spark, sf_dir), _lever(F.left("description", F.lit(80))), None), "LEVER"))
-
-
-def src10_greenhouse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole titles and descriptions through the payload, the parser and strip_html."""
-    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir, whole=True), _greenhouse(F.col("description")), "jobs"), "GREENHOUSE"))
+    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir), _greenhouse(F.col("description")), "jobs"), "GREENHOUSE"))
 
 
-def src11_lever_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def src11_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole titles and descriptions; the feed itself keeps 500 characters of a title."""
-    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir, whole=True), _lever(F.col("description")), None), "LEVER"))
+    return _shown(json_feeds.parse(_whole_payloads(_rows(spark, sf_dir), _lever(F.col("description")), None), "LEVER"))
 
 
 def src32_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same postings under two keywords; the first of each id stays."""
-    return _builtin(_payloads(_rows(spark, sf_dir), _builtin_item(), "results"))
-
-
-def src32_builtin_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole titles, under two keywords as well."""
-    return _builtin(_whole_payloads(_rows(spark, sf_dir, whole=True), _builtin_item(), "results"))
+    """The same postings, with whole titles, under two keywords; the first of each id stays."""
+    return _builtin(_whole_payloads(_rows(spark, sf_dir), _builtin_item(), "results"))
 
 
 def _builtin_item() -> Column:
@@ -84,23 +69,29 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select("external_id", "title", "location", F.md5("description").alias("description"), "apply_url", "posted_date")
 
 
-_BASE = f"WITH {JOBS}, r AS (SELECT id, 'T ' || left(title, 60) AS title, location, company, lang, description, discovered_date FROM jobs)"
+_BASE = f"WITH {JOBS}, r AS (SELECT id, 'T ' || title AS title, location, company, lang, description, discovered_date FROM jobs)"
 _SHOWN = "CAST(id AS VARCHAR) AS external_id, title, location, md5({}) AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date"
-_STRIPPED = r"trim(regexp_replace(regexp_replace('<p>' || left(description, 80) || '</p>', '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _escaped(c: Column) -> Column:
+    """Text as XML holds it; control characters, which XML can't hold, go."""
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
 
 
 def src23_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One RSS document for every EACH postings."""
+    """RSS documents of many postings, with whole titles and whole descriptions, cut by bytes."""
     day = F.date_format("discovered_date", "EEE, dd MMM yyyy")
-    item = F.concat(F.lit("<item><guid>g"), F.col("id").cast("string"), F.lit("</guid><title>"), F.concat(F.lit("T"), F.col("id").cast("string")), F.lit("</title><link>https://x/jobs/"), F.col("id").cast("string"), F.lit("</link><pubDate>"), day, F.lit(" 10:00:00 +0000</pubDate><remoteStatus>none</remoteStatus><tt:locations><tt:location><tt:city>C"), (F.col("id") % 7).cast("string"), F.lit("</tt:city><tt:country>Y</tt:country></tt:location><tt:location><tt:city>D</tt:city></tt:location></tt:locations><description>d</description></item>"))
-    docs = jobs(spark, sf_dir).groupBy(F.floor(F.col("id") / EACH)).agg(F.array_join(F.collect_list(item), "").alias("items"))
-    whole = F.concat(F.lit('<rss xmlns:tt="t"><channel>'), F.col("items"), F.lit("</channel></rss>"))
-    return documents.rss(docs.select(whole.alias("payload"))).select("external_id", "title", "location", "posted_date")
+    item = F.concat(F.lit("<item><guid>g"), F.col("id").cast("string"), F.lit("</guid><title>T "), _escaped(F.col("title")), F.lit("</title><link>https://x/jobs/"), F.col("id").cast("string"), F.lit("</link><pubDate>"), day, F.lit(" 10:00:00 +0000</pubDate><remoteStatus>none</remoteStatus><tt:locations><tt:location><tt:city>C"), (F.col("id") % 7).cast("string"), F.lit("</tt:city><tt:country>Y</tt:country></tt:location><tt:location><tt:city>D</tt:city></tt:location></tt:locations><description>&lt;b&gt;d&lt;/b&gt; "), _escaped(F.col("description")), F.lit("</description></item>"))
+    whole = F.concat(F.lit('<rss xmlns:tt="t"><channel>'), F.array_join("items", ""), F.lit("</channel></rss>"))
+    docs = _grouped(jobs(spark, sf_dir), item).select(whole.alias("payload"))
+    return documents.rss(docs).select("external_id", F.md5("title").alias("title"), "location", F.md5("description").alias("description"), "posted_date")
 
 
 def src38_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text listing for each posting."""
-    text = F.concat_ws("\n", F.lit("Results"), F.concat(F.lit("Role "), F.col("id")), F.concat(F.lit("Firm "), F.col("id") % 5), F.lit("Berlin (Hybrid)"), F.lit("Promoted"), F.concat(F.col("id") % 9 + 1, F.lit(" days ago")))
+    """A text listing for each posting, in which the whole text stands before and after the posting's lines."""
+    text = F.concat_ws("\n", F.lit("Results"), F.col("description"), F.concat(F.lit("Role "), F.col("id")), F.concat(F.lit("Firm "), F.col("id") % 5), F.lit("Berlin (Hybrid)"), F.lit("Promoted"), F.concat(F.col("id") % 9 + 1, F.lit(" days ago")), F.col("description"))
     return documents.listing_lines(jobs(spark, sf_dir).select("id", text.alias("payload")), "id").drop("n")
 
 
@@ -112,19 +103,19 @@ def src36_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.md5("title").alias("title"), "location")
 
 
-QUERIES = {f.__name__: f for f in (src10_greenhouse, src10_greenhouse_whole, src11_lever, src11_lever_whole, src32_builtin, src32_builtin_whole, src23_rss, src38_lines, src36_pages)}
-_WHOLE = _BASE.replace("left(title, 60)", "title")
+#: The names that the queries of whole texts had beside cut ones.
+src10_greenhouse_whole, src11_lever_whole, src32_builtin_whole = src10_greenhouse, src11_lever, src32_builtin
+QUERIES = {f.__name__: f for f in (src10_greenhouse, src11_lever, src32_builtin, src23_rss, src38_lines, src36_pages)}
+QUERIES |= {f"{f.__name__}_whole": f for f in (src10_greenhouse, src11_lever, src32_builtin)}
 
 _HEADING = r"trim(regexp_replace(" + "replace(" * 7 + r"regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"
 _H1, _PARAGRAPH = r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)", "'<p>' || description || '</p>'"
 SQL = {
-    "src10_greenhouse": f"{_BASE} SELECT {_SHOWN.format(_STRIPPED)} FROM r",
-    "src11_lever": f"{_BASE} SELECT {_SHOWN.format('left(description, 80)')} FROM r",
+    "src10_greenhouse": f"{_BASE} SELECT {_SHOWN.format(_HEADING.replace(_H1, _PARAGRAPH))} FROM r",
+    "src11_lever": f"{_BASE.replace("'T ' || title", "left('T ' || title, 500)")} SELECT {_SHOWN.format("CASE WHEN regexp_matches(description, '[^\\x00-\\x20]') THEN description END")} FROM r",
     "src32_builtin": f"{_BASE} SELECT CAST(id AS VARCHAR) AS external_id, title, company AS company_name, location, 'Go, ' || lang AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date FROM r",
-    "src10_greenhouse_whole": f"{_WHOLE} SELECT {_SHOWN.format(_HEADING.replace(_H1, _PARAGRAPH))} FROM r",
-    "src11_lever_whole": f"{_WHOLE.replace("'T ' || title", "left('T ' || title, 500)")} SELECT {_SHOWN.format("CASE WHEN regexp_matches(description, '[^\\x00-\\x20]') THEN description END")} FROM r",
-    "src32_builtin_whole": f"{_WHOLE} SELECT CAST(id AS VARCHAR) AS external_id, title, company AS company_name, location, 'Go, ' || lang AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date FROM r",
-    "src23_rss": f"{_BASE} SELECT 'g' || id AS external_id, 'T' || id AS title, 'C' || id % 7 || ', Y; D' AS location, discovered_date AS posted_date FROM r",
+    "src23_rss": f"{_BASE} SELECT 'g' || id AS external_id, md5('T ' || substr(title, 3)) AS title, 'C' || id % 7 || ', Y; D' AS location, md5({_HEADING.replace(_H1, "'<b>d</b> ' || description")}) AS description, discovered_date AS posted_date FROM r",
     "src38_lines": f"{_BASE} SELECT id, 'Role ' || id AS title, 'Firm ' || id % 5 AS company_name, 'Berlin (Hybrid)' AS location, (id % 9 + 1) || ' days ago' AS posted FROM r",
     "src36_pages": f"SELECT page_id, md5({_HEADING}) AS title, CAST(NULL AS VARCHAR) AS location FROM pages",
 }
+SQL |= {f"{n}_whole": SQL[n] for n in ("src10_greenhouse", "src11_lever", "src32_builtin")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.plans.bindings import JOBS, jobs
-from millrace.plans.feeds import _WHOLE, _rows, _whole_payloads
+from millrace.plans.feeds import _BASE, _rows, _whole_payloads
 from millrace.session import table
 from millrace.sources import documents, json_feeds, profiles
 
@@ -81,7 +81,7 @@ _FEEDS: dict[str, tuple[str | Callable, str | None, Callable[[], Column]]] = {
 
 def _feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     feed, array, item = _FEEDS[name]
-    payloads = _whole_payloads(_rows(spark, sf_dir, whole=True), item(), array).withColumn("slug", F.lit("acme"))
+    payloads = _whole_payloads(_rows(spark, sf_dir), item(), array).withColumn("slug", F.lit("acme"))
     rows = json_feeds.parse(payloads, feed if isinstance(feed, str) else feed())
     pay = [_c(c).cast("double").alias(c) for c in ("salary_min", "salary_max")]
     return rows.select("external_id", F.md5("title").alias("title"), "company_name", "location", F.md5("description").alias("description"), "apply_url", "posted_date", *pay)
@@ -161,7 +161,7 @@ _BOTH = "CASE WHEN {0} IS NULL THEN '{1}' ELSE {0} || '{2}{1}' END"
 
 
 def _sql(external_id="CAST(id AS VARCHAR)", title="title", company="NULL", location="location", description="NULL", apply_url="'https://x/' || id", posted="discovered_date", low="NULL", high="NULL", where="true") -> str:
-    return f"{_WHOLE} SELECT {external_id} AS external_id, md5({title}) AS title, CAST({company} AS VARCHAR) AS company_name, {location} AS location, md5({description}) AS description, {apply_url} AS apply_url, CAST({posted} AS DATE) AS posted_date, CAST({low} AS DOUBLE) AS salary_min, CAST({high} AS DOUBLE) AS salary_max FROM r WHERE {where}"
+    return f"{_BASE} SELECT {external_id} AS external_id, md5({title}) AS title, CAST({company} AS VARCHAR) AS company_name, {location} AS location, md5({description}) AS description, {apply_url} AS apply_url, CAST({posted} AS DATE) AS posted_date, CAST({low} AS DOUBLE) AS salary_min, CAST({high} AS DOUBLE) AS salary_max FROM r WHERE {where}"
 
 
 SQL = {
