@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A token of a rule or url: a run of these, lower-cased.
 TOKEN = "[a-z0-9]+"
 #: Rules up to here go into the plan as one map literal; more of them are joined as tables.
-MAX_LITERAL_RULES = 5_000
+MAX_LITERAL_RULES = 1_000
 
 
 class HostRule(NamedTuple):
@@ -105,8 +105,9 @@ def token_counts(urls: DataFrame, tokens: list[str], url: str = "url") -> dict[s
     """In how many urls each of these tokens stands; at most one row for each token reaches the driver."""
     if not tokens:
         return {}
-    found = F.array_intersect(F.regexp_extract_all(lower_ascii(F.col(url)), F.lit(f"({TOKEN})"), 1), F.array(*map(F.lit, tokens)))
-    return {r["token"]: r["n"] for r in urls.select(F.explode(found).alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    own = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col(url)), F.lit(f"({TOKEN})"), 1))
+    found = urls.select(F.explode(own).alias("token")).where(F.col("token").isin(*tokens))  # a hash set
+    return {r["token"]: r["n"] for r in found.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
 def rarest(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[str, list[str]]:
@@ -133,11 +134,13 @@ def _rule_name(hosts: tuple[HostRule, ...], host: Column, path: Column) -> Colum
 
 
 def _blocked(index: dict[str, list[str]], low: Column, tokens: Column) -> Column:
-    """Whether any pattern fits. The url's own tokens fetch the patterns, so the work doesn't grow with the rules."""
+    """Whether any pattern fits. The url's own tokens fetch the patterns: a hash set says which of them are keys of the index,
+    and only those are looked up in its map, whose lookup walks the keys. Keys are the rarest tokens, so few urls hold any."""
     if not index:
         return F.lit(False)
     table = F.create_map(*[x for t, found in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, found)))])
-    fetched = F.transform(F.array_distinct(tokens), lambda t: F.exists(F.try_element_at(table, t), lambda p: F.rlike(low, p)))
+    keys = F.array_distinct(F.filter(tokens, lambda t: t.isin(*index)))
+    fetched = F.transform(keys, lambda t: F.exists(F.try_element_at(table, t), lambda p: F.rlike(low, p)))
     return F.coalesce(F.exists(fetched, lambda hit: F.coalesce(hit, F.lit(False))), F.lit(False))
 
 
