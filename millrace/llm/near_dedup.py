@@ -202,9 +202,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = _key(docs.select("doc_id", "text"))
     rows = stored(spark, _rows(keyed, False), "shingled")
-    nodes = rows.where("n > 0").select("node", "row_key", "bands").dropDuplicates(["node"])
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    spread = stored(spark, spread, "bands")
+    nodes = stored(spark, rows.where("n > 0").select("node", "bands").dropDuplicates(["node"]), "nodes")
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))  # 40 times the rows: made at each use, never stored
     buckets = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1")
     shared = stored(spark, spread.join(buckets, "bucket"), "buckets")
 
