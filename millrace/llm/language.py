@@ -22,8 +22,9 @@ from millrace.session import ship
 #: Buckets of the hashed n-grams, their lengths, and what is added to each count.
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 UNDETERMINED = "und"
-#: Languages that are learned at most: of more values the most frequent, ties by name.
-MAX_LANGUAGES = 256
+#: Languages whose counts one pass gathers, and whose likelihoods are summed at once. There may be any number of such blocks;
+#: the model, which every worker holds, has 256 KB for each language.
+BLOCK = 256
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -83,11 +84,18 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learns from all rows of docs (text, lang) that have a language."""
+    """Learns from all rows of docs (text, lang) that have a language; languages are counted a block at a time."""
     docs = docs.select("text", "lang").where(F.col("lang").isNotNull())
-    frequent = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in frequent.collect())
-    docs = docs.where(F.col("lang").isin(languages))
+    languages = sorted(r["lang"] for r in docs.select("lang").distinct().collect())
+    blocks = [languages[k : k + BLOCK] for k in range(0, len(languages), BLOCK)]
+    counts = np.concatenate([_counts(docs if len(blocks) == 1 else docs.where(F.col("lang").isin(block)), block) for block in blocks or [[]]])
+    smooth = counts[:, :BUCKETS] + SMOOTHING
+    prior = counts[:, BUCKETS] + SMOOTHING
+    return Model(languages, np.ascontiguousarray((np.log(smooth) - np.log(smooth.sum(1, keepdims=True))).T), np.log(prior / prior.sum()))
+
+
+def _counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
+    """How often each bucket, and in the last column each language, stands in the rows of these languages."""
     place = {x: k for k, x in enumerate(languages)}
 
     def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
@@ -97,10 +105,7 @@ def fit(docs: DataFrame) -> Model:
             slot = np.repeat(own[a:b], np.diff(begins))
             total[:, :BUCKETS] += np.bincount(slot * BUCKETS + grams, minlength=len(languages) * BUCKETS).reshape(-1, BUCKETS)
 
-    counts = count_vectors(docs, (max(1, len(languages)), BUCKETS + 1), add)
-    smooth = counts[:, :BUCKETS] + SMOOTHING
-    prior = counts[:, BUCKETS] + SMOOTHING
-    return Model(languages, np.ascontiguousarray((np.log(smooth) - np.log(smooth.sum(1, keepdims=True))).T), np.log(prior / prior.sum()))
+    return count_vectors(docs, (max(1, len(languages)), BUCKETS + 1), add)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -118,7 +123,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             if len(names) > 1:
                 logs = np.tile(prior, (len(texts), 1))
                 for a, b, grams, begins in parts(texts):
-                    logs[a:b] += np.add.reduceat(likelihood[grams], begins[:-1], axis=0)
+                    for k in range(0, len(prior), BLOCK):
+                        logs[a:b, k : k + BLOCK] += np.add.reduceat(likelihood[grams, k : k + BLOCK], begins[:-1], axis=0)
                 chance = np.exp(logs - logs.max(1, keepdims=True))
                 chance /= chance.sum(1, keepdims=True)
                 known = np.array([has_letter(t) for t in texts])

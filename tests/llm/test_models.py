@@ -79,12 +79,6 @@ def test_no_letter_is_undetermined(spark, sf):
     assert [r["lang_pred"] == "und" for r in sorted(rows)] == [True, True, False, False]
 
 
-def test_most_frequent_languages_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
-    docs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "text string, lang string")
-    assert language.fit(docs).languages == ["x", "y"]
-
-
 def test_quality_of_documents_that_nothing_was_learned_from(spark, sf):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = quality.resample(docs, labels.where("doc_id % 4 <> 1")).join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
@@ -288,3 +282,19 @@ def test_pairs_of_blocks_and_partial_sums(spark, monkeypatch):
     search.add(np.array([[9, 0, 0, 0], [0, 9, 0, 0]] + [[1, 1, 0, 0]] * 62, np.int64), np.arange(10, 74))
     assert search.rows().to_pylist() == [{"query_id": 1, "vec_id": 10, "score": 27}, {"query_id": 2, "vec_id": 11, "score": 18}]
     assert sum(counted) < 2 * 64
+
+
+def test_languages_in_blocks_equal_one_block(spark, sf, monkeypatch):
+    """Blocks of three languages learn and say what one block does; every language counts, however many there are."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 2).cast("string")).alias("lang"))
+    whole = language.fit(docs)
+    assert len(whole.languages) == 8
+    monkeypatch.setattr(language, "BLOCK", 3)
+    parts = language.fit(docs)
+    assert parts.languages == whole.languages and np.array_equal(parts.likelihood, whole.likelihood) and np.array_equal(parts.prior, whole.prior)
+    many = spark.range(600).select("id", F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("l"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("lang"))
+    monkeypatch.setattr(language, "BLOCK", 256)
+    model = language.fit(many)
+    assert len(model.languages) == 600 and model.likelihood.shape == (language.BUCKETS, 600)
+    found = language.predict(many.select(F.col("id").alias("doc_id"), "text"), model).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id']:03}" for r in found]) > 0.9
