@@ -91,3 +91,8 @@ def daily_digest(jobs: DataFrame, scores: DataFrame, day: Column) -> DataFrame:
     rows = jobs.where(F.col("is_active") & (F.col("discovered_date") == day)).select("id").join(scores.select("id", "score"), "id", "left")
     best = F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("id")).alias("neg"))))
     return rows.agg(F.count_distinct("id").alias("fresh"), best.alias("best")).select("fresh", (-F.col("best.neg")).alias("top_id"), F.coalesce("best.score", F.lit(0).cast("long")).alias("top_score"))
+
+
+def counts_by(jobs: DataFrame, column: str) -> DataFrame:
+    """Rows by a column's values, nulls as UNKNOWN."""
+    return jobs.groupBy(F.coalesce(column, F.lit("UNKNOWN")).alias(column)).agg(F.count("*").alias("n"))

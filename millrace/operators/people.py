@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.dialect import jvm
 from millrace.functions.text import is_blank, name_parts
 from millrace.operators.scoring import jaccard_points, urgency
+from millrace.operators.views import expires_in
 from millrace.session import ship
 
 #: Fixed values: (seniority, pattern) of posters' titles, and (seniority, words) of contacts' titles, each in its order.
@@ -99,3 +100,12 @@ def containing_company(rows: DataFrame, wanted: str) -> DataFrame:
     """Rows whose company holds the wanted name or is held by it."""
     low = F.lower("company")
     return rows.where(low.contains(wanted.lower()) | F.contains(F.lit(wanted.lower()), low))
+
+
+def display_rows(actions: DataFrame, contacts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Scored actions (entity_id, action, score, urgency, contact_id, job_id) as rows for display: ids as text, a label, when the
+    action expires, the contact's name (contact_id, contact_name, company_name), and the posting's title (job_id, title, company). The
+    company is the contact's, else the posting's."""
+    named = actions.join(contacts.select("contact_id", "contact_name", "company_name"), "contact_id", "left").join(jobs.select("job_id", F.col("title").alias("job_title"), "company"), "job_id", "left")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return named.select(text("entity_id"), "action", "score", "urgency", F.lower(F.replace(F.col("action"), F.lit("_"), F.lit(" "))).alias("label"), expires_in(F.col("urgency")).alias("expires_in"), text("contact_id"), text("job_id"), "contact_name", F.coalesce("company_name", "company").alias("company_name"), "job_title")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.session import stored
+
 
 def visible() -> Column:
     """Active, not applied to, not hidden, kept."""
@@ -55,6 +57,23 @@ def due_for_crawl(cutoff: Column) -> Column:
     return (F.col("ats_type") != "CUSTOM") & (F.col("last_crawled_at").isNull() | (F.col("last_crawled_at") < cutoff))
 
 
+def by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the keys, each once however often the key is asked for."""
+    return df.join(keys.select(key), key, "left_semi")
+
+
+def ranked_by_name(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds place (from 1) in the order of the lower-cased names, then of the names, then of the key; nulls last. Rows are sorted
+    by ranges, which are stored so that both uses see the same ones, and a place is the rows in the ranges before and the place in
+    its own; no task sees all rows."""
+    order = [F.asc_nulls_last("_low"), F.asc_nulls_last(name), F.asc(key)]
+    dealt = stored(df.sparkSession, df.withColumn("_low", F.lower(name)).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = dealt.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(*order)))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))  # a row for each range
+    return own.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn("place", F.col("_own") + F.col("_before")).drop("_low", "_range", "_own", "_before")
+
+
 def by_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """The first row in order whose key, as text, begins so."""
     return df.where(F.col(key).cast("string").startswith(prefix)).orderBy(key).limit(1)
