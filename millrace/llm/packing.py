@@ -30,6 +30,8 @@ from millrace.llm.bpe import slices
 from millrace.session import ship, stored
 
 CAPACITY, END_ID = 2048, 0
+#: Pieces of text that an encoder keeps here, beside what other stages hold.
+KEPT = 250_000
 #: Pieces, or portions of equal pieces, up to which the local search takes all at once.
 SEARCHED = 16_384
 #: Of so many full bins of larger portions, one is searched again.
@@ -46,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc, chunk, seen = tokens.encoder(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, chunk, seen = tokens.encoder(vocabulary, KEPT), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for a, b, texts in slices(batch.column("text")):

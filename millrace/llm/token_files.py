@@ -21,6 +21,8 @@ from millrace.session import ship
 
 #: Rows that one entry of the row index and of the Bloom filter covers; bytes of a stripe.
 ROW_GROUP, STRIPE = 1_000, 16 << 20
+#: Pieces of text that an encoder keeps here.
+KEPT = 700_000
 #: Ranges of doc_id for each partition that the input is read in, which is a fixed number of bytes of files.
 RANGES = 2
 #: Files whose token counts are broadcast, at some 20 bytes each; more of them are joined.
@@ -38,7 +40,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1) -> None:
     tail = end_id.to_bytes(4, "little")
 
     def run(batches):
-        enc, total = tokens.encoder(vocabulary), 0
+        enc, total = tokens.encoder(vocabulary, KEPT), 0
         for batch in batches:
             for a, b, texts in bpe.slices(batch.column("text")):
                 encoded = [x + tail for x in enc.ids(texts)]

@@ -18,8 +18,8 @@ import numpy as np
 from millrace.llm.unsplit import Unsplit
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Pieces and runs of punctuation that a worker keeps, twice, and the longest piece that it keeps.
-MAX_KEPT, MAX_MARKS, MAX_PIECE = 700_000, 20_000, 64
+#: Pieces and runs of punctuation that a worker keeps, twice, at some 160 bytes each, and the longest piece that it keeps.
+MAX_KEPT, MAX_MARKS, MAX_PIECE = 400_000, 20_000, 64
 #: Pieces of more characters are encoded by halves; the ids of the last few are remembered.
 LONG, REMEMBERED = 4096, 4
 #: Latin letters that are their own normal form, then ASCII punctuation but for the apostrophe: two units of the splitting.
@@ -66,13 +66,13 @@ def library(path: str):
 class Encoder:
     """ids(texts) gives the ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MAX_KEPT):
         self.tokenizer = library(path)
         #: Words carry their end, and white space goes, if the vocabulary's model has a suffix for ends of words.
         self.drops_white = bool(self.tokenizer.model.end_of_word_suffix)
         self.simple = (_WORD if self.drops_white else _SPACED_WORD).fullmatch
         self.halves, self.long = None, {}
-        self.known, self.marks = _Kept(MAX_KEPT, self._piece), _Kept(MAX_MARKS, self._run)
+        self.known, self.marks = _Kept(most, self._piece), _Kept(MAX_MARKS, self._run)
 
     def pieces(self, text: str) -> list[str]:
         if self.drops_white:
@@ -125,6 +125,6 @@ def _odd_white(text: str) -> bool:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
-    return Encoder(path)
+def encoder(path: str, most: int = MAX_KEPT) -> Encoder:
+    """This worker's encoder for a vocabulary file, which keeps so many pieces, twice."""
+    return Encoder(path, most)
