@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from millrace.llm import setsketch
 from millrace.llm.components import components
 from millrace.llm.text import buffers, chunks, mix, shingles, word_hashes
-from millrace.session import ship, stored
+from millrace.session import settled, ship, stored
 
 WIDTH, PERCENT = 5, 75
 #: Nodes of a bucket up to which its pairs are compared singly, by joins; beyond that by blocks of about so many nodes and
@@ -232,7 +232,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
-    named = stored(docs.sparkSession, _grouped(docs), "grouped")
+    named = settled(docs.sparkSession, lambda: _grouped(docs), "grouped")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return join_hot(named, least, "component").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -241,7 +241,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """docs without near duplicates, all columns: one row of each component, of the least doc_id (null last), and every row
     without words."""
-    named = _grouped(docs).where("n > 0")
+    named = settled(docs.sparkSession, lambda: _grouped(docs).where("n > 0"), "grouped")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_key").alias("key")))
     chosen = named.groupBy("component").agg(first.alias("first")).select(F.col("first.key").alias("key"), F.col("first.id").alias("id"))
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
