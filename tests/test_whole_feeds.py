@@ -34,6 +34,6 @@ def test_whole_texts(spark, tmp_path):
 
 
 def test_payloads_are_cut_by_bytes(spark, tmp_path):
-    rows = feeds._rows(spark, documents(spark, tmp_path), whole=True)
+    rows = feeds._rows(spark, documents(spark, tmp_path))
     payloads = feeds._whole_payloads(rows, feeds._lever(F.col("description")), None, most=20_000)
     assert payloads.count() > 5 and json_feeds.parse(payloads, "LEVER").count() == len(TEXTS) - 1
