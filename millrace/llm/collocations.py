@@ -34,7 +34,7 @@ from millrace.session import ship, stored
 #: Buckets of a pass, and those of a slot, in which their counts travel.
 BUCKETS, SLOT = 1 << 25, 1 << 16
 #: Bytes of text of a round, and rows of counts that a task holds.
-ROUND, HELD = 1 << 21, 1 << 20
+ROUND, HELD = 1 << 21, 1 << 19
 #: Least frequency, most words of a phrase, phrases returned for a language, percent of a longer phrase that absorbs a shorter.
 LEAST, WORDS, TOP, ABSORBS = 10, 3, 2000, 50
 #: Groups in which the first phrases of a language are sought before they meet.
@@ -236,6 +236,7 @@ class _Heap:
     def _meet(self) -> None:
         whole = pa.concat_tables(self.parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
         self.parts, self.rows = [whole.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])], len(whole)
+        pa.default_memory_pool().release_unused()
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
