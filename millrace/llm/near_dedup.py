@@ -249,6 +249,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     while key in {c.lower() for c in docs.columns}:
         key = "_" + key
     keyed = docs.where(worded).withColumn(key, F.xxhash64("doc_id", "text"))
-    stay = keyed.join(chosen, (keyed[key] == chosen["key"]) & keyed["doc_id"].eqNullSafe(chosen["id"]), "left_semi")
+    # ids are compared as a range, so that rows are dealt out by the key alone and stay there when repeated ones become one
+    same = keyed["doc_id"].between(chosen["id"], chosen["id"]) | (keyed["doc_id"].isNull() & chosen["id"].isNull())
+    stay = keyed.join(chosen, (keyed[key] == chosen["key"]) & same, "left_semi")
     stay = stay.dropDuplicates([key, "doc_id"]).drop(key)  # rows of the same doc_id and text are one
     return stay.unionByName(docs.where(~worded))
