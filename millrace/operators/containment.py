@@ -6,41 +6,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import is_blank, trim_control
+from millrace.session import stored
 
 #: Characters of a run.
 RUN = 3
+#: Bytes of asking names up to which they are broadcast.
+MOST_SENT = 1 << 24
 
 
 def _runs(name: Column, n: int) -> Column:
-    """The distinct runs of n characters of a name; none if it is shorter."""
-    starts = F.sequence(F.lit(1), F.length(name) - n + 1)
-    return F.when(F.length(name) >= n, F.array_distinct(F.transform(starts, lambda k: F.substring(name, k, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n characters of a name, read in one pass; none if it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(name, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
-def containing_names(left: DataFrame, right: DataFrame, left_name: str, right_name: str, run: int = RUN) -> DataFrame:
+def _distinct(df: DataFrame, name: str) -> DataFrame:
+    return df.where(~is_blank(F.col(name))).select(F.lower(trim_control(F.col(name))).alias("name")).distinct()
+
+
+def _id(name: str) -> Column:
+    return F.unhex(F.md5(name)).alias("id")
+
+
+def _inside(inner: DataFrame, outer: DataFrame, run: int, most_sent: int) -> DataFrame:
+    """The pairs (inner, outer) of distinct names of which the second holds the first."""
+    spark, name = outer.sparkSession, F.col("name")
+    whole = _runs(name, run)
+    pieces = F.concat(whole, *[_runs(name, n) for n in range(1, run)])
+    counts = outer.select(F.explode(pieces).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    fitting = inner.where(F.length("name") <= outer.agg(F.max(F.length("name"))).scalar())
+    asks = fitting.select(_id("name"), F.explode(F.when(F.length("name") >= run, whole).otherwise(F.array("name"))).alias("run"))
+    rarest = asks.join(counts, "run", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("least")).where("least.n > 0")
+    asked = stored(spark, fitting.select(_id("name"), name.alias("inner")).join(rarest, "id").select("id", "inner", F.col("least.run").alias("run")), "asked")
+    if (asked.agg(F.sum(F.octet_length("inner") + 100)).first()[0] or 0) <= most_sent:
+        found = outer.select("name", F.explode(pieces).alias("run")).join(F.broadcast(asked), "run")
+    else:  # names are long and runs many: only ids meet by runs
+        index = outer.select(_id("name").alias("outer_id"), F.explode(pieces).alias("run"))
+        met = index.join(asked.select("id", "run"), "run").select("id", "outer_id")
+        found = met.join(asked.select("id", "inner"), "id").join(outer.select(_id("name").alias("outer_id"), "name"), "outer_id")
+    return found.where(F.contains(name, F.col("inner"))).select("inner", name.alias("outer"))
+
+
+def containing_names(left: DataFrame, right: DataFrame, left_name: str, right_name: str, run: int = RUN, most_sent: int = MOST_SENT) -> DataFrame:
     """The pairs (left_name, right_name) of distinct names, lower-cased and trimmed, of which one holds the other.
 
-    What a name holds has all of the name's runs. So each name asks for its rarest run only, and a join on that run fetches
-    the names to look at; a name shorter than a run is its own run. Names are made distinct before, so that one that stands in
-    a third of the rows is looked at once. Null and blank names hold nothing; equal names hold each other."""
-    side = lambda df, c, is_left: df.where(~is_blank(F.col(c))).select(F.lower(trim_control(F.col(c))).alias("name"), F.lit(is_left).alias("is_left"))
-    names = side(left, left_name, True).union(side(right, right_name, False)).groupBy("name").agg(F.max("is_left").alias("in_left"), F.max(~F.col("is_left")).alias("in_right"))
-    whole = _runs(F.col("name"), run)
-    short = F.flatten(F.array(*[_runs(F.col("name"), n) for n in range(1, run)])) if run > 1 else F.array().cast("array<string>")
-    index = names.select("name", "in_left", "in_right", F.explode(F.concat(whole, short)).alias("run"))
-    asks = names.select("name", "in_left", "in_right", F.explode(F.when(F.length("name") >= run, whole).otherwise(F.array("name"))).alias("run"))
-    count = index.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = asks.join(count, "run").groupBy("name", "in_left", "in_right").agg(F.min(F.struct("n", "run")).alias("least"))
-    inner = rarest.select(F.col("name").alias("inner"), F.col("in_left").alias("l"), F.col("in_right").alias("r"), F.col("least.run").alias("run"))
-    found = index.join(inner, "run").where(F.contains(F.col("name"), F.col("inner")))
-    pairs = F.filter(
-        F.array(
-            F.struct((F.col("l") & F.col("in_right")).alias("ok"), F.col("inner").alias(left_name), F.col("name").alias(right_name)),
-            F.struct((F.col("r") & F.col("in_left")).alias("ok"), F.col("name").alias(left_name), F.col("inner").alias(right_name)),
-        ),
-        lambda p: p["ok"],
-    )
-    return found.select(F.explode(pairs).alias("p")).select(f"p.{left_name}", f"p.{right_name}").distinct()
+    What a name holds has all of the name's runs. So each name asks for its rarest run on the other side only, and a join on that
+    run fetches the names to look at; a name shorter than a run is its own run, and one with a run that the other side lacks, or
+    longer than all there, asks for nothing. The asking names are stored: up to most_sent bytes they are sent to the other side's
+    names, so that none of these is repeated for its runs; beyond that only 128-bit ids are. Names are made distinct before, so
+    that one that stands in a third of the rows is looked at once. Null and blank names hold nothing; equal names hold each
+    other."""
+    a, b = _distinct(left, left_name), _distinct(right, right_name)
+    held = _inside(a, b, run, most_sent).select(F.col("inner").alias(left_name), F.col("outer").alias(right_name))
+    longer = _inside(b, a, run, most_sent).where("inner <> outer").select(F.col("outer").alias(left_name), F.col("inner").alias(right_name))
+    return held.union(longer)
 
 
 def containment_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, run: int = RUN, keep_unnamed: bool = False) -> DataFrame:

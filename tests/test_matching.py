@@ -34,6 +34,19 @@ def test_containment_makes_no_nested_loop(spark, sf):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_long_names_are_not_repeated_for_their_runs(spark):
+    draw = random.Random(5)
+    long = ["".join(draw.choices("abcdefgh ", k=20_000)) for _ in range(4)]
+    inner = [long[0][7:12], long[1][-3:], "z", long[2][500:700], long[3].upper(), "zzzz"]
+    a, b = spark.createDataFrame([(x,) for x in inner], "l string"), spark.createDataFrame([(x,) for x in long], "r string")
+    want = {(x.lower().strip(), y.strip()) for x in inner for y in long if x.lower().strip() in y}
+    for sent in (containment.MOST_SENT, 0):  # whole names stay where they are, or only ids meet
+        pairs = containment.containing_names(a, b, "l", "r", most_sent=sent)
+        assert {tuple(r) for r in pairs.collect()} == want
+    plan = containment.containing_names(a, b, "l", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(run" not in plan
+
+
 TEXT = "\n".join(["Results", "Cook", "  Blue Door ", "Lyon", "x", "Posted 2 weeks ago", "5 days ago", "Baker", "", "Actively reviewing applicants", "none", "Cook", "again", "Judge", "Viewed", "3 Jump to"])
 
 
