@@ -167,8 +167,16 @@ def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FP = f"fp AS (SELECT * EXCLUDE (title), {FINGERPRINT} AS fingerprint FROM (SELECT * REPLACE (lang AS company, CAST(NULL AS VARCHAR) AS location) FROM jobs) r)"
 
 
+_EARLIER = "CASE WHEN j.decision = 'KEEP' THEN (SELECT arg_min(o.source, (o.discovered_date, o.id)) FROM fp o WHERE o.{0} = j.{0} AND o.decision = 'KEEP' AND (j.is_aggregator OR NOT o.is_aggregator) AND (o.discovered_date, o.id) < (j.discovered_date, j.id)) END"
+
+
 def ded02_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.duplicate_of_system(_fingerprinted(spark, sf_dir)).where("duplicate_of IS NOT NULL").select("id", "source", "duplicate_of")
+    """Every posting with the first one that it repeats, if any: by its fingerprint of whole title, company and place, and as a
+    copy whoever posts it wherever."""
+    c = F.col
+    rows = _fingerprinted(spark, sf_dir).withColumns({"copied": c("fingerprint"), "fingerprint": keys.fingerprint(c("title"), c("company"), c("location"))})
+    found = filters.duplicate_of_system(rows).withColumns({"repeats": c("duplicate_of"), "fingerprint": c("copied")})
+    return filters.duplicate_of_system(found.drop("duplicate_of")).select("id", "source", c("repeats").alias("duplicate_of"), c("duplicate_of").alias("copy_of"))
 
 
 def ded03_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +263,8 @@ WHERE o.is_active AND NOT o.applied AND NOT o.hidden AND o.decision = 'KEEP' AND
     "ded01_ingest": f"""WITH {JOBS}, b AS (SELECT id, source, CASE WHEN id % 23 = 0 THEN '' ELSE CAST(id % 500 AS VARCHAR) END AS e FROM jobs), k AS (SELECT DISTINCT source, CAST(id % 400 AS VARCHAR) AS e FROM jobs WHERE id % 10 = 0),
 o AS (SELECT b.source, CASE WHEN b.e = '' THEN 'error' WHEN k.e IS NOT NULL OR row_number() OVER (PARTITION BY b.source, b.e ORDER BY id) > 1 THEN 'duplicate' ELSE 'created' END AS o FROM b LEFT JOIN k USING (source, e))
 SELECT source, count(*) FILTER (o = 'created') AS created, CAST(0 AS BIGINT) AS enriched, count(*) FILTER (o = 'duplicate') AS duplicate, count(*) FILTER (o = 'error') AS error FROM o GROUP BY source""",
-    "ded02_duplicates": f"""WITH {JOBS}, {_FP}, d AS (SELECT j.id, j.source, (SELECT arg_min(o.source, (o.discovered_date, o.id)) FROM fp o WHERE o.fingerprint = j.fingerprint AND o.decision = 'KEEP' AND (j.is_aggregator OR NOT o.is_aggregator) AND (o.discovered_date, o.id) < (j.discovered_date, j.id)) AS duplicate_of FROM fp j WHERE j.decision = 'KEEP') SELECT * FROM d WHERE duplicate_of IS NOT NULL""",
+    "ded02_duplicates": f"""WITH {JOBS}, own AS (SELECT *, {FINGERPRINT} AS own_fingerprint FROM jobs), {_FP.replace("FROM jobs", "FROM own")}
+SELECT j.id, j.source, {_EARLIER.format("own_fingerprint")} AS duplicate_of, {_EARLIER.format("fingerprint")} AS copy_of FROM fp j""",
     "ded03_enrich": f"""WITH {JOBS}, {_FP}, n AS (SELECT * FROM fp WHERE NOT is_aggregator AND is_active QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY discovered_date DESC, id DESC) = 1),
 l AS (SELECT fingerprint, source, min('https://x/' || lpad(CAST(id AS VARCHAR), 9, '0')) AS url FROM fp WHERE is_aggregator GROUP BY 1, 2)
 SELECT n.id, string_agg(l.source, ',' ORDER BY l.source) AS sources, string_agg(l.url, ',' ORDER BY l.source) AS urls FROM n JOIN l USING (fingerprint) GROUP BY n.id""",
