@@ -158,15 +158,16 @@ def block_links(first: list, second: list) -> list[tuple[int, int]]:
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members (bucket, node, component, k) of large buckets of k nodes. Of buckets that hold the same nodes,
+    """Links between members (bucket, node, n, component, k) of large buckets of k nodes. Of buckets that hold the same nodes,
     as those of a group that agrees in several bands, one is compared. Nodes are dealt to blocks before their sets join them,
-    so that the sets of a bucket never meet in one task."""
-    alike = members.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.max("k").alias("size"))
-    chosen = alike.groupBy("x", "y", "size").agg(F.min("bucket").alias("bucket")).select("bucket")
-    weight = members.join(sets.select("node", "n"), "node").groupBy("bucket").agg(F.sum("n").alias("weight"), F.count("*").alias("copies"))
+    so that the sets of a bucket never meet in one task; a node, which is in no more buckets than there are bands, meets its set
+    once for all of them."""
+    alike = members.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.max("k").alias("size"), F.sum("n").alias("weight"), F.count("*").alias("copies"))
+    weight = alike.groupBy("x", "y", "size").agg(F.min_by(F.struct("bucket", "weight", "copies"), "bucket").alias("chosen")).select("chosen.*")
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("weight") / BLOCK_ELEMENTS)).cast("int")
-    dealt = join_hot(members, weight.join(chosen, "bucket"), "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = dealt.select("bucket", "block", "blocks", "node", "component").join(sets.select("node", "elements"), "node")
+    dealt = join_hot(members, weight, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = dealt.groupBy("node").agg(F.collect_list(F.struct("bucket", "block", "blocks", "component")).alias("places"))
+    rows = placed.join(sets.select("node", "elements"), "node").select("node", "elements", F.explode("places").alias("place")).select("place.*", "node", "elements")
     packed = rows.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct("node", "component", "elements")).alias("rows"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     sent = packed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("leads"), "rows")
@@ -202,8 +203,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = _key(docs.select("doc_id", "text"))
     rows = stored(spark, _rows(keyed, False), "shingled")
-    nodes = stored(spark, rows.where("n > 0").select("node", "bands").dropDuplicates(["node"]), "nodes")
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))  # 40 times the rows: made at each use, never stored
+    nodes = stored(spark, rows.where("n > 0").select("node", "n", "bands").dropDuplicates(["node"]), "nodes")
+    spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))  # 40 times the rows: made at each use, never stored
     buckets = spread.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1")
     shared = stored(spark, spread.join(buckets, "bucket"), "buckets")
 
@@ -216,7 +217,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     found = stored(spark, components(links), "components")
 
     # what the stars leave open
-    placed = shared.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"), "k")
+    placed = shared.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"), "k")
     placed = stored(spark, placed, "placed")
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("_n")).where("p <> q AND _n > 2").select("bucket")
     unclear = stored(spark, placed.join(open_, "bucket", "left_semi"), "unclear")

@@ -112,3 +112,15 @@ def test_sketches_merge():
     x = mix(np.arange(1, 1001, dtype=np.uint64))
     parts = setsketch.registers(x, np.array([0, 400]))
     assert (parts.max(0) == setsketch.registers(x, np.array([0]))[0]).all()
+
+
+def test_sets_join_nodes_once_for_all_their_buckets(spark):
+    names = [bytes([k]) * 16 for k in range(90)]
+    members = spark.createDataFrame([(b, n, 5, n, 90) for b in range(6) for n in names], "bucket long, node binary, n long, component binary, k long")
+    sets = spark.createDataFrame([(n, 5, np.arange(5, dtype=np.uint64).tobytes()) for n in names], "node binary, n long, elements binary")
+    linked = near_dedup._in_blocks(members, sets)
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner, (node#" in x]
+    assert len(joins) == plan.count("collect_list(struct(bucket") == 2  # one for each side of the pairs of blocks
+    pairs = linked.collect()
+    assert {p[k] for p in pairs for k in (0, 1)} == set(names)
