@@ -35,14 +35,19 @@ def plain(path: str) -> Pick:
     return pick
 
 
+def _filled(c: Column) -> Column:
+    """blank_to_null of a value that is made once, however costly."""
+    return F.transform(F.array(c), blank_to_null)[0]
+
+
 def either(*picks: Pick) -> Pick:
     """The first value that isn't blank."""
-    return lambda v: F.coalesce(*[blank_to_null(p(v)) for p in picks])
+    return lambda v: F.coalesce(*[_filled(p(v)) for p in picks])
 
 
 def joined(sep: str, *picks: Pick) -> Pick:
     """The values that aren't blank, joined; null if there are none."""
-    return lambda v: blank_to_null(F.concat_ws(sep, *[blank_to_null(p(v)) for p in picks]))
+    return lambda v: _filled(F.concat_ws(sep, *[_filled(p(v)) for p in picks]))
 
 
 def through(f: Callable[[Column], Column], pick: Pick) -> Pick:
