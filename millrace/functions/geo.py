@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.dialect import jvm
+from millrace.functions.dialect import any_in_lowered
 from millrace.functions.text import is_blank, trim_control
 
 #: Country names and their codes.
@@ -52,17 +52,19 @@ def explicit(location: Column, home: tuple[str, ...] = ()) -> Column:
     by a bare code, by an upper-case code among the words."""
     low, trimmed = F.lower(location), trim_control(location)
     by_length = sorted(COUNTRY_NAMES, key=lambda n: (-len(n), n))
-    named = F.regexp_extract_all(low, F.lit("(" + "|".join(jvm(rf"\b{n.replace('.', chr(92) + '.')}\b", False) for n in by_length) + ")"), 1)
-    longest = F.array_min(F.transform(named, lambda n: F.struct((-F.length(n)).alias("n"), n.alias("name"))))["name"]
-    codes = F.create_map(*[F.lit(x) for pair in COUNTRY_NAMES.items() for x in pair])
-    names = F.try_element_at(codes, longest)
+    # each name is looked for as a text first; a pattern over all of them would try them at every character
+
+    def longest(text: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for n in by_length:
+            out = out.when(text.contains(n) & any_in_lowered(text, [rf"\b{n.replace('.', chr(92) + '.')}\b"]), COUNTRY_NAMES[n])
+        return out
+
+    names = F.transform(F.array(low), longest)[0]  # so that the text is lower-cased once
     bare = F.when(F.length(trimmed) == 2, _code(trimmed))
     words = F.filter(F.split(location, r"[,\s]+"), lambda w: w.rlike("^[A-Z]{2}$") & _code(w).isNotNull())
     found = F.coalesce(names, bare, F.try_element_at(F.transform(words, _code), F.lit(1)))
-    own = F.lit(False)
-    for pattern in home:
-        own = own | low.rlike(jvm(pattern))
-    return F.when(own, EXEMPT).otherwise(found) if home else found
+    return F.when(any_in_lowered(low, home), EXEMPT).otherwise(found) if home else found
 
 
 def city_candidates(location: Column) -> Column:

@@ -21,9 +21,14 @@ def resolve_places(rows: DataFrame, location: str, cities: DataFrame, home: tupl
     """rows with the code of their location's country: the one it names itself, else that of the first candidate that is a
     city of the table (city, iso, nth), which may be large: it is joined, and Spark broadcasts it only where it is small. Each
     distinct location is resolved once; blank and unknown ones have none."""
+    # a place is as long as its text is: what meets the cities, and the rows afterwards, is its 128-bit name
+    name = lambda c: F.unhex(F.md5(c))
     distinct = rows.where(~is_blank(F.col(location))).select(F.col(location).alias("_place")).distinct()
-    named = distinct.withColumn("_iso", geo.explicit(F.col("_place"), home))
-    candidates = named.where("_iso IS NULL").select("_place", F.posexplode(geo.city_candidates(F.col("_place"))).alias("_nth", "city"))
-    found = candidates.join(city_codes(cities), "city").groupBy("_place").agg(F.min_by("iso", "_nth").alias("_city_iso"))
-    resolved = named.join(found, "_place", "left").select("_place", F.coalesce("_iso", "_city_iso").alias(iso)).where(F.col(iso).isNotNull())
-    return rows.join(resolved, rows[location] == resolved["_place"], "left").drop("_place")
+    named = distinct.select("_place", name("_place").alias("_id"), geo.explicit(F.col("_place"), home).alias("_iso"))
+    # a place that names its country asks for no city, under a key of its own
+    asked = F.when(F.col("_iso").isNull(), geo.city_candidates(F.col("_place"))).otherwise(F.array(F.concat(F.lit("\0"), F.hex("_id"))))
+    candidates = named.select("_id", "_iso", F.posexplode(asked).alias("_nth", "city"))
+    codes = city_codes(cities).withColumnRenamed("iso", "_code")
+    first = F.min(F.when(F.col("_code").isNotNull(), F.struct("_nth", "_code")))["_code"]
+    resolved = candidates.join(codes, "city", "left").groupBy("_id").agg(F.coalesce(F.max("_iso"), first).alias(iso)).where(F.col(iso).isNotNull())
+    return rows.join(resolved, name(rows[location]) == resolved["_id"], "left").drop("_id")

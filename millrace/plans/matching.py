@@ -64,7 +64,7 @@ def src44_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of the postings' texts as cities: a dictionary that grows with them. Some have two codes."""
-    words = b.jobs(spark, sf_dir).select(F.explode(F.split(F.lower("description"), r"[^\p{L}]+")).alias("city")).where("length(city) > 5").distinct()
+    words = b.jobs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("description"), F.lit(r"\p{L}{6,}"), 0))).alias("city")).distinct()
     code = lambda shift: F.element_at(F.array(*map(F.lit, geo.CODES)), F.pmod(F.length("city") * 7 + F.ascii(F.right("city", F.lit(1))) + shift, F.lit(len(geo.CODES))) + 1)
     two = F.array(F.struct(F.lit(1).alias("nth"), code(0).alias("iso")), F.struct(F.lit(2).alias("nth"), code(3).alias("iso")))
     return words.select("city", F.explode(F.when(F.length("city") % 2 == 0, two).otherwise(F.slice(two, 1, 1))).alias("x")).select("city", "x.nth", "x.iso")

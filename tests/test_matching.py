@@ -88,3 +88,13 @@ def test_large_dictionary_is_joined_not_broadcast(spark):
         assert df.where("iso = 'AT'").count() == 50
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_places_meet_cities_by_short_names(spark):
+    rows = spark.createDataFrame([(1, "x, " * 5_000 + "Wien"), (2, "ulm"), (3, "x" * 9_000 + ", Deutschland"), (4, None)], "id int, place string")
+    cities = spark.createDataFrame([("wien", "AT", 0), ("ulm", "DE", 0)], "city string, iso string, nth int")
+    found = places.resolve_places(rows, "place", cities)
+    assert {r["id"]: r["iso"] for r in found.collect()} == {1: "AT", 2: "DE", 3: "DE", 4: None}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    generate = [x for x in plan.splitlines() if "Generate posexplode" in x]
+    assert generate and all("[_id#" in x and ", [_place#" not in x for x in generate)
