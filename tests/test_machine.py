@@ -102,6 +102,30 @@ def test_late_events_are_dropped(spark, tmp_path):
     assert [r for r in second if r not in first] == [(1, 4, "REPLIED", at(31), "REPLIED")]
 
 
+def test_state_has_no_more_rows_than_buckets(spark, tmp_path):
+    """Calls and state rows are of buckets, however many keys there are."""
+    rows = [(k, 2 * k + n, kind, ZERO + datetime.timedelta(days=n * 20, minutes=k), None) for k in range(3000) for n, kind in enumerate(("MESSAGE_SENT", "REPLIED"))]
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(folder)
+    query = relationships.run_available(machine.settled(spark.readStream.schema(EVENTS).parquet(folder), "0 seconds"), f"{tmp_path}/out", f"{tmp_path}/log")
+    assert query.awaitTermination(180)
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
+    assert plain(spark.read.parquet(f"{tmp_path}/out")) == replayed(rows, leading_end(rows))
+
+
+def test_keys_of_a_bucket_do_not_mix(spark, tmp_path):
+    """Keys that are texts in two buckets, events without a number, and a restart, against the batch form."""
+    schema = EVENTS.replace("relationship_id long", "relationship_id string")
+    rows = [(f"key {r[0]}", None if r[1] % 7 == 0 else r[1], *r[2:]) for r in drawn(302)]
+    folder, half = f"{tmp_path}/in", len(rows) // 2
+    for part in (rows[:half], rows[half:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        log = machine.settled(spark.readStream.schema(schema).parquet(folder), "0 seconds", buckets=2)
+        assert relationships.run_available(log, f"{tmp_path}/out", f"{tmp_path}/log").awaitTermination(180)
+    found = plain(spark.read.parquet(f"{tmp_path}/out"))
+    assert found == plain(state.ghosted_log(spark.createDataFrame(rows, schema), F.lit(leading_end(rows)))) and len({r[0] for r in found}) == 40
+
+
 def test_query_has_ghosts(spark, sf):
     log = b.machine_events(spark.read.parquet(f"{sf}/events.parquet"))
     assert plain(state.ghosted_log(log, F.lit("2030-01-01").cast("timestamp")))  # every silence has ended by then
