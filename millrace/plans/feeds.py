@@ -73,20 +73,26 @@ _BASE = f"WITH {JOBS}, r AS (SELECT id, 'T ' || title AS title, location, compan
 _SHOWN = "CAST(id AS VARCHAR) AS external_id, title, location, md5({}) AS description, 'https://x/' || id AS apply_url, discovered_date AS posted_date"
 
 
-def _escaped(c: Column) -> Column:
-    """Text as XML holds it; control characters, which XML can't hold, go."""
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+#: Characters that XML 1.1 holds as numbers only, or would read as other line breaks.
+_NUMBERED = r"[\x01-\x08\x0B-\x1F\x7F-\x9F\u2028]"
+
+
+def _escaped(text: Column) -> Column:
+    """Text as XML 1.1 holds it, control characters by their numbers; U+0000 goes, which no XML holds."""
+    c = text
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\0", "")):
         c = F.replace(c, F.lit(char), F.lit(name))
-    return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    number = lambda x: F.when(x.rlike(_NUMBERED), F.concat(F.lit("&#"), F.ascii(x), F.lit(";"))).otherwise(x)
+    return F.when(text.rlike(_NUMBERED), F.array_join(F.transform(F.split(c, ""), number), "")).otherwise(c)
 
 
 def src23_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSS documents of many postings, with whole titles and whole descriptions, cut by bytes."""
     day = F.date_format("discovered_date", "EEE, dd MMM yyyy")
     item = F.concat(F.lit("<item><guid>g"), F.col("id").cast("string"), F.lit("</guid><title>T "), _escaped(F.col("title")), F.lit("</title><link>https://x/jobs/"), F.col("id").cast("string"), F.lit("</link><pubDate>"), day, F.lit(" 10:00:00 +0000</pubDate><remoteStatus>none</remoteStatus><tt:locations><tt:location><tt:city>C"), (F.col("id") % 7).cast("string"), F.lit("</tt:city><tt:country>Y</tt:country></tt:location><tt:location><tt:city>D</tt:city></tt:location></tt:locations><description>&lt;b&gt;d&lt;/b&gt; "), _escaped(F.col("description")), F.lit("</description></item>"))
-    whole = F.concat(F.lit('<rss xmlns:tt="t"><channel>'), F.array_join("items", ""), F.lit("</channel></rss>"))
+    whole = F.concat(F.lit('<?xml version="1.1"?><rss xmlns:tt="t"><channel>'), F.array_join("items", ""), F.lit("</channel></rss>"))
     docs = _grouped(jobs(spark, sf_dir), item).select(whole.alias("payload"))
-    return documents.rss(docs).select("external_id", F.md5("title").alias("title"), "location", F.md5("description").alias("description"), "posted_date")
+    return documents.rss(docs, trimmed=False).select("external_id", F.md5("title").alias("title"), "location", F.md5("description").alias("description"), "posted_date")
 
 
 def src38_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

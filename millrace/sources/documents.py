@@ -12,14 +12,17 @@ from millrace.sources.json_feeds import at
 RSS_SCHEMA = "channel struct<item: array<struct<guid: string, link: string, title: string, description: string, pubDate: string, remoteStatus: string, locations: struct<location: array<struct<name: string, city: string, country: string>>>>>>"
 
 
-def rss(payloads: DataFrame) -> DataFrame:
-    """Items of an RSS document with namespaced locations, joined by `; ` with the remote status."""
+def rss(payloads: DataFrame, trimmed: bool = True) -> DataFrame:
+    """Items of an RSS document with namespaced locations, joined by `; ` with the remote status. Titles are trimmed like the other
+    fields, or left as they stand."""
     plain = F.regexp_replace("payload", r"(</?)[A-Za-z]+:", "$1")
-    items = payloads.select(F.explode(F.from_xml(plain, RSS_SCHEMA)["channel"]["item"]).alias("i"))
-    place = F.transform("i.locations.location", lambda x: F.concat_ws(", ", blank_to_null(x["city"]), blank_to_null(x["country"])))
-    remote = F.when(F.lower("i.remoteStatus") != "none", F.col("i.remoteStatus"))
-    by_link = F.nullif(F.regexp_extract("i.link", r"/jobs/(\d+)", 1), F.lit(""))
-    rows = items.select(F.coalesce(blank_to_null(F.col("i.guid")), by_link).alias("external_id"), F.col("i.title").alias("title"), blank_to_null(F.concat_ws("; ", place, F.array(remote))).alias("location"), strip_html(F.col("i.description")).alias("description"), F.col("i.link").alias("apply_url"), rfc1123_date(F.col("i.pubDate")).alias("posted_date"))
+    items = payloads.select(F.explode(F.from_xml(plain, RSS_SCHEMA, {"ignoreSurroundingSpaces": "false"})["channel"]["item"]).alias("i"))
+    guid, link, status = (trim_control(F.col(f"i.{n}")) for n in ("guid", "link", "remoteStatus"))
+    place = F.transform("i.locations.location", lambda x: F.concat_ws(", ", *[blank_to_null(trim_control(x[n])) for n in ("city", "country")]))
+    remote = F.when(F.lower(status) != "none", status)
+    by_link = F.nullif(F.regexp_extract(link, r"/jobs/(\d+)", 1), F.lit(""))
+    title = trim_control(F.col("i.title")) if trimmed else F.col("i.title")
+    rows = items.select(F.coalesce(blank_to_null(guid), by_link).alias("external_id"), title.alias("title"), blank_to_null(F.concat_ws("; ", place, F.array(remote))).alias("location"), strip_html(F.col("i.description")).alias("description"), link.alias("apply_url"), rfc1123_date(F.col("i.pubDate")).alias("posted_date"))
     return rows.where("external_id IS NOT NULL AND trim(title) <> ''")
 
 
