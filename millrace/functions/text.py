arr04_json_ld: a page is searched once for all readings of its JSON-LD; 579 to 218 CPU s/GB

Symptom: three readings of a page's JSON-LD and its posting cost 579 CPU seconds per GB (JVM 568, GC 10, Python 0; the profiler, 0.51 GB), without any shuffle.
Evidence: on 0.1 GB, local[6], the query took 17.2 s and building its pages 0.6 s; each search for scripts took about 2 s of it, and one ran for each reading and again for each kept text, as the optimizer shares nothing inside of transform and filter; `(.*?)</script>` tries its end at each character.
Fix: scripts are found in a projection of their own that the readings share; texts, headings and company names that a condition and its value both use are made once; both ends of a salary range come from one search; a script is read in runs up to its nearest end. The blocks' JSON is still parsed for each reading.
Effect: at 1 GB of input CPU 1741 -> 814 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 158 -> 84 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 9082 -> 3739 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 5.89 -> 5.89 GB, longest task 227 -> 128 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 655 -> 306 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 66 -> 22 s, most memory of a task 0 -> 0 MB.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def trim_control(c: Column) -> Column:
     return F.btrim(c, F.lit("".join(map(chr, range(33)))))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however costly and however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(~is_blank(c), c)
 

@@ -72,8 +72,8 @@ def _ld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arr04_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three readings of JSON-LD over whole texts, and the posting that a page gives."""
-    pages = _ld_pages(spark, sf_dir)
-    read = [F.md5(page_parts.ld_description(F.col("html"), r)).alias(f"as_{r}") for r in ("typed", "any", "open")]
+    pages = _ld_pages(spark, sf_dir).withColumn("_scripts", page_parts.ld_scripts(F.col("html")))
+    read = [F.md5(page_parts.ld_description(F.col("html"), r, F.col("_scripts"))).alias(f"as_{r}") for r in ("typed", "any", "open")]
     return documents.posting_page(pages).select("id", *read, "title", "company_name", "location", F.col("salary_min").cast("double").alias("salary_min"), F.col("salary_max").cast("double").alias("salary_max"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import blank_to_null, iso_date, rfc1123_date, salary, strip_html, trim_control
+from millrace.functions.text import blank_to_null, iso_date, once, rfc1123_date, salary, strip_html, trim_control
 from millrace.sources.json_feeds import at
+from millrace.sources.page_parts import SCRIPT_END
 
 RSS_SCHEMA = "channel struct<item: array<struct<guid: string, link: string, title: string, description: string, pubDate: string, remoteStatus: string, locations: struct<location: array<struct<name: string, city: string, country: string>>>>>>"
 
@@ -50,7 +51,7 @@ EURO_RANGE = "(\\d{1,3},\\d{3})\\s*[-\u2013]\\s*(\\d{1,3},\\d{3})\\s*\u20ac"
 
 def json_ld(html: Column) -> Column:
     """The first JSON-LD block of a page that is a job posting, as a variant."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
+    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>" + SCRIPT_END), 1)
     parsed = F.transform(blocks, lambda b: F.try_parse_json(b))
     return F.try_element_at(F.filter(parsed, lambda v: F.try_variant_get(v, "$.@type", "string").isin("JobPosting", "JobListing")), F.lit(1))
 
@@ -59,19 +60,20 @@ def posting_page(pages: DataFrame, html: str = "html") -> DataFrame:
     """title, company_name, location, description, posted_date and a salary range of pages: JSON-LD first, then the heading and
     the last `at` of the page's title. Several places are joined by commas; the range is the first in euros on the page."""
     ld = F.col("_ld")
-    heading = strip_html(F.nullif(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")))
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    parts = F.split(title, " at ")
+    heading = once(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), lambda h: strip_html(F.nullif(h, F.lit(""))))
+    parts = F.split(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), " at ")
+    company = once(parts, lambda p: F.when(F.size(p) > 1, blank_to_null(trim_control(F.element_at(p, -1)))))
+    salary_of = lambda end: salary(F.nullif(F.regexp_extract("_range", EURO_RANGE, end), F.lit("")))
     cities = F.transform(F.try_variant_get(ld, "$.jobLocation", "array<variant>"), lambda v: blank_to_null(F.try_variant_get(v, "$.address.addressLocality", "string")))
-    return pages.withColumn("_ld", json_ld(F.col(html))).withColumns({
+    return pages.withColumns({"_ld": json_ld(F.col(html)), "_range": F.regexp_extract(html, EURO_RANGE, 0)}).withColumns({
         "title": F.coalesce(at("$.title")(ld), heading, trim_control(parts[0])),
-        "company_name": F.coalesce(at("$.hiringOrganization.name")(ld), F.when(F.size(parts) > 1, blank_to_null(trim_control(F.element_at(parts, -1))))),
+        "company_name": F.coalesce(at("$.hiringOrganization.name")(ld), company),
         "location": F.coalesce(at("$.jobLocation.address.addressLocality")(ld), blank_to_null(F.array_join(F.filter(cities, lambda c: c.isNotNull()), ", "))),
         "description": strip_html(at("$.description")(ld)),
         "posted_date": iso_date(at("$.datePosted")(ld)),
-        "salary_min": salary(F.nullif(F.regexp_extract(html, EURO_RANGE, 1), F.lit(""))),
-        "salary_max": salary(F.nullif(F.regexp_extract(html, EURO_RANGE, 2), F.lit(""))),
-    }).drop("_ld")
+        "salary_min": salary_of(1),
+        "salary_max": salary_of(2),
+    }).drop("_ld", "_range")
 
 
 def listing_lines(payloads: DataFrame, key: str) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ENTITIES, blank_to_null, collapse
+from millrace.functions.text import ENTITIES, blank_to_null, collapse, is_blank, once
 
 #: Tags that don't part words; all others do. Tags that have no end.
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
@@ -19,6 +19,8 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: What is no page text: comments, scripts, styles, templates.
 _SILENT = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
 _TOKEN = r"(?s)(<[a-zA-Z/!?](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>|<|[^<]+)"
+#: What a script holds, up to its nearest end: as (.*?)</script>, but read in runs without a `<` instead of by characters.
+SCRIPT_END = r"((?:[^<]+|<(?!/script>))*+)</script>"
 #: Selectors of descriptions, in the order of trial, and the phrases that tell how many postings a listing has.
 BLOCK_SELECTORS = (".rich-text-content", ".jb-description-item")
 DETAIL_SELECTORS = (".jobdescription", ".job-description", "[class*=jobDescription]", ".contentWithSidePanel__content", "main", "#content")
@@ -120,26 +122,33 @@ def page_offsets(listings: DataFrame, size: int = 25, html: str = "html") -> Dat
     return listings.select("*", F.explode(F.when(n > size, F.sequence(F.lit(size), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))).alias("offset"))
 
 
-def ld_blocks(html: Column, open_arrays: bool = False) -> Column:
-    """The JSON-LD blocks of a page as variants, or those in their arrays; blocks that aren't JSON are null."""
-    found = F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script>"""), 1)
+def ld_scripts(html: Column) -> Column:
+    """The texts of a page's JSON-LD blocks."""
+    return F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json[^>]*>""" + SCRIPT_END), 1)
+
+
+def ld_blocks(found: Column, open_arrays: bool = False) -> Column:
+    """The JSON-LD blocks of a page, of which ld_scripts found the texts, as variants, or those in their arrays; blocks that
+    aren't JSON are null."""
     if not open_arrays:
         return F.transform(found, lambda b: F.try_parse_json(b))
     opened = lambda b: F.when(b.rlike(r"^\s*\["), F.from_json(b, "array<string>")).otherwise(F.array(b))
     return F.transform(F.flatten(F.transform(found, opened)), lambda b: F.try_parse_json(b))
 
 
-def ld_description(html: Column, reading: str) -> Column:
+def ld_description(html: Column, reading: str, scripts: Column | None = None) -> Column:
     """The description of a page's JSON-LD by one of three readings: `typed` takes job postings only, `any` whatever has a
-    description, `open` job postings, job listings and what has no type, in arrays too, if the description is long enough."""
+    description, `open` job postings, job listings and what has no type, in arrays too, if the description is long enough.
+    scripts: a column of what ld_scripts found, so that several readings search a page once."""
     kind = lambda v: F.try_variant_get(v, "$.@type", "string")
     text = lambda v: F.try_variant_get(v, "$.description", "string")
     wanted = {
         "typed": lambda v: kind(v) == "JobPosting",
-        "any": lambda v: blank_to_null(text(v)).isNotNull(),
+        "any": lambda v: ~is_blank(text(v)),
         "open": lambda v: F.coalesce(kind(v).isin("JobPosting", "JobListing"), F.lit(True)) & (F.length(text(v)) > LEAST_LD),
     }[reading]
-    return blank_to_null(text(F.try_element_at(F.filter(ld_blocks(html, reading == "open"), wanted), F.lit(1))))
+    blocks = ld_blocks(ld_scripts(html) if scripts is None else scripts, reading == "open")
+    return once(text(F.try_element_at(F.filter(blocks, wanted), F.lit(1))), blank_to_null)
 
 
 def page_description(html: Column) -> Column:

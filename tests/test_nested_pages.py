@@ -4,6 +4,7 @@ import csv
 import io
 import random
 
+from millrace.plans import nested_pages
 from millrace.sources import documents, page_parts, posters
 from pyspark.sql import functions as F
 
@@ -76,6 +77,49 @@ def test_readings_of_json_ld(spark):
     assert [x[0] for x in pages.orderBy("k").select(page_parts.page_description(F.col("html"))).collect()] == [text, None, text, text, "m" * 101, None]
 
 
+def test_scripts_end_at_the_nearest_end(spark):
+    ld = '<script type="application/ld+json">'
+    cases = [
+        f"{ld}a < b </ script> </SCRIPT>x</script>{ld}</script>",
+        f"{ld}<{'<' * 100_000}/script>",
+        f"{ld}never </script {ld}closed",
+        f"{ld}{ld}\n\u20ac \U0001f600</script><ScRiPt id=1 TYPE = 'application/LD+json' x>2</sCRIPT>",
+        "<script data-of=application/ld+json>{</script>",
+        "",
+        None,
+    ]
+    lazy = F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json[^>]*>(.*?)</script>"""), 1)
+    rows = _pages(spark, *cases).orderBy("k").select(page_parts.ld_scripts(F.col("html")).alias("found"), lazy.alias("lazy")).collect()
+    assert [r["found"] for r in rows] == [r["lazy"] for r in rows]
+    assert [None if r["found"] is None else len(r["found"]) for r in rows] == [2, 1, 0, 2, 0, 0, None]
+
+
+def test_a_page_is_searched_once_for_all_readings(spark):
+    ld = lambda body: f'<script type="application/ld+json">{body}</script>'
+    text = "t" * 60
+    cases = [ld(f'{{"@type": "JobPosting", "description": "{d}"}}') for d in (text, " \\n", "", "brief")]
+    cases += [ld("[broken") + ld(f'{{"description": "{text}"}}'), ld(f'[null, 5, {{"description": "{text}"}}, "x"]'), ld("null") + ld("7"), ld('{"@type": ["JobPosting"], "description": {"a": 1}}'), "", None]
+    pages = _pages(spark, *cases).withColumn("_scripts", page_parts.ld_scripts(F.col("html")))
+    both = [page_parts.ld_description(F.col("html"), r, s) for s in (None, F.col("_scripts")) for r in ("typed", "any", "open")]
+    rows = [tuple(r) for r in pages.orderBy("k").select(*both).collect()]
+    assert [r[:3] for r in rows] == [r[3:] for r in rows]
+    assert [r[:3] for r in rows[:4]] == [(text,) * 3, (None,) * 3, (None,) * 3, ("brief", "brief", None)]
+    assert rows[5][:3] == (None, None, text) and rows[6:7] + rows[8:] == [(None,) * 6] * 3 and rows[7][:2] == (None, '{"a":1}')
+    plan = nested_pages.arr04_json_ld(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(html") == 2  # for the readings, and for the posting, which takes other scripts too
+
+
+def test_ranges_headings_and_companies(spark):
+    cases = ["9,000 - 1,500 € 1,000-2,000€", "12,000\n–\t15,500€ 1,000-2,000 €", "1234,567-890,123 € x", "€", "", None]
+    pages = _pages(spark, *cases)
+    rows = documents.posting_page(pages).orderBy("k").collect()
+    assert [(r["salary_min"], r["salary_max"]) for r in rows] == [(9000, 1500), (12000, 15500), (234567, 890123), (None, None), (None, None), (None, None)]
+    assert rows[0].asDict().keys() == {"k", "html", "title", "company_name", "location", "description", "posted_date", "salary_min", "salary_max"}
+    titled = _pages(spark, "<title>Cook at  at Sea </title><h1></h1>", "<title>Cook at </title><h1><b></b></h1>", "<title> Cook</title><h1> A <i>b</i>&amp;lt;</h1><h1>C</h1>", "none", None)
+    found = [(r["title"], r["company_name"]) for r in documents.posting_page(titled).orderBy("k").collect()]
+    assert found == [("Cook", "Sea"), ("", None), ("A b&lt;", None), ("", None), (None, None)]
+
+
 def test_posting_page_without_json_ld(spark):
     row = documents.posting_page(_pages(spark, "<title>Cook at sea at Blue Door </title><h1>Cook &amp; more</h1>12,000-15,500 €")).first()
     assert (row["title"], row["company_name"], row["location"], float(row["salary_min"]), float(row["salary_max"])) == ("Cook & more", "Blue Door", None, 12000.0, 15500.0)
