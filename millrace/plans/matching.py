@@ -23,11 +23,8 @@ def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies against the postings' whole titles, whichever holds the other; pairs of names, with their rows counted."""
     companies, jobs = _hosts(spark, sf_dir), b.jobs(spark, sf_dir).select("id", "title")
-    pairs = containment.containing_names(companies, jobs, "company", "title")
-    clean = lambda c: F.lower(F.btrim(F.col(c), F.lit("".join(map(chr, range(33))))))
-    hosts = companies.groupBy(clean("company").alias("company")).agg(F.count("*").alias("n_company"))
-    titles = jobs.groupBy(F.md5(clean("title")).alias("title")).agg(F.count("*").alias("n_title"))
-    return pairs.select("company", F.md5("title").alias("title")).join(hosts, "company").join(titles, "title").select("company", "title", "n_company", "n_title")
+    pairs = containment.containing_names(companies, jobs, "company", "title", counted=("n_company", "n_title"))
+    return pairs.select("company", F.md5("title").alias("title"), "n_company", "n_title")
 
 
 def join10_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
