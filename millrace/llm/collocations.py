@@ -146,6 +146,12 @@ def _passing(words: Words, lang: str, n: int, frequent: np.ndarray | None, enoug
     return np.flatnonzero(passed), _bucket(hashes[n][further])
 
 
+def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in no order, and how often each is there."""
+    found = pa.array(values).value_counts()
+    return found.field("values").to_numpy(), found.field("counts").to_numpy()
+
+
 def _phrases(words: Words, ends: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray]:
     """The distinct phrases of n words that end at ends, and how often each does."""
     most = len(words.known)
@@ -153,10 +159,12 @@ def _phrases(words: Words, ends: np.ndarray, n: int) -> tuple[pa.Array, np.ndarr
         key = np.zeros(len(ends), np.int64)
         for k in range(n - 1, -1, -1):
             key = key * most + words.codes[ends - k]
-        _, at, counts = np.unique(key, return_index=True, return_counts=True)
+        keys, counts = _tally(key)
+        codes = [keys // most**k % most for k in range(n - 1, -1, -1)]
     else:
-        _, at, counts = np.unique(np.stack([words.codes[ends - k] for k in range(n)], 1), axis=0, return_index=True, return_counts=True)
-    parts = [words.known.take(pa.array(words.codes[ends[at] - k])) for k in range(n - 1, -1, -1)]
+        rows, counts = np.unique(np.stack([words.codes[ends - k] for k in range(n - 1, -1, -1)], 1), axis=0, return_counts=True)
+        codes = rows.T
+    parts = [words.known.take(pa.array(c)) for c in codes]
     joined = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if n > 1 else parts[0]
     return joined.cast(pa.large_string()).cast(pa.string()), counts
 
@@ -204,14 +212,18 @@ def _bitmap(parts: DataFrame, least: int) -> np.ndarray:
 
 
 def _marks(phrases: DataFrame, least: int) -> DataFrame:
-    """Parts in which the buckets of the given phrases have enough."""
+    """Parts in which the buckets of the given phrases, all of as many words, have enough."""
     kind = np.min_scalar_type(least)
 
     def run(batches):
         counts = np.zeros(BUCKETS, kind)
         for batch in batches:
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
-                first, *rest = _hashes(phrase.encode().split(b" "), lang)[:, None]
+            langs = batch.column("lang").dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                own = batch.column("phrase").filter(pc.equal(langs.indices, code))
+                words = pc.split_pattern(own, " ").flatten().dictionary_encode()
+                known = _hashes(words.dictionary.cast(pa.binary()).to_pylist(), lang)
+                first, *rest = known[words.indices.to_numpy()].reshape(len(own), -1).T
                 counts[_bucket(functools.reduce(_longer, rest, first))] = least
         yield _parts(counts)
 
@@ -230,8 +242,12 @@ class _Heap:
         self.rows += len(phrases)
         if self.rows > HELD:
             self._meet()
-            if self.rows > HELD // 2:
+            if self.rows > HELD // 2:  # the more frequent half stays, as its phrases come again
+                whole = self.parts[0]
+                rare = pc.less_equal(whole["n"], pc.quantile(whole["n"], interpolation="lower")[0])
+                kept, self.parts = whole.filter(pc.invert(rare)), [whole.filter(rare)]
                 yield from self.out()
+                self.parts, self.rows = [kept], len(kept)
 
     def _meet(self) -> None:
         whole = pa.concat_tables(self.parts).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
@@ -240,7 +256,8 @@ class _Heap:
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            self._meet()
+            if len(self.parts) > 1:
+                self._meet()
             for batch in self.parts[0].to_batches():
                 nothing = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *nothing], names=["lang", "phrase", "n", "slot", "counts"])
@@ -264,7 +281,7 @@ def _counted(texts: DataFrame, n: int, least: int, further: bool, maps: tuple[np
                         continue
                     ends, longer = _passing(words, lang, n, frequent, enough)
                     if further:
-                        place, found = np.unique(longer, return_counts=True)
+                        place, found = _tally(longer)
                         buckets[place] = np.minimum(buckets[place] + found, least)
                     yield from heap.add(lang, *_phrases(words, ends, n))
         yield from heap.out()
@@ -310,16 +327,17 @@ def mine(docs: DataFrame, least: int = LEAST, words: int = WORDS, top: int = TOP
 
 def _weakest_cut(candidates: DataFrame, f: DataFrame) -> DataFrame:
     """lang, phrase, a, l, r and score of each candidate, by the cut of the lowest score. What a cut gives is frequent itself,
-    so f has it. Numbers have up to 15 digits, their products up to 38."""
+    so f has it. A cut's parts are the phrase, which needn't travel beside them, and cuts meet by what the caller joins by, without
+    a. Numbers have up to 15 digits, their products up to 38."""
     split, k = F.split("phrase", " "), F.col("k")
     cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(split, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(split, k + 1, F.col("words") - k), " ").alias("rest"))
+    cuts = cuts.select("lang", "a", "k", F.array_join(F.slice(split, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(split, k + 1, F.col("words") - k), " ").alias("rest"))
     side = lambda part, name: f.select("lang", F.col("phrase").alias(part), F.col("f").alias(name))
     cuts = cuts.join(side("first", "l"), ["lang", "first"]).join(side("rest", "r"), ["lang", "rest"])
     exact = "CAST({} AS DECIMAL(15, 0))".format
     score = F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * {exact('a')} * {exact('a')}) div ({exact('l')} * {exact('r')})")
-    least = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
-    return cuts.groupBy("lang", "phrase", "a").agg(least).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    least = F.min(F.struct(score.alias("score"), "k", "l", "r", "a")).alias("cut")
+    return cuts.groupBy("lang", F.concat_ws(" ", "first", "rest").alias("phrase")).agg(least).select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.score")
 
 
 def _ranked(phrases: DataFrame, top: int) -> DataFrame:

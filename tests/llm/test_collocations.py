@@ -109,3 +109,65 @@ def test_empty_and_frequentless(spark):
     assert co.mine(spark.createDataFrame([(1, "only once here", "en")], DOCS)).count() == 0
     with pytest.raises(ValueError):
         co.mine(empty, words=4)
+
+
+def test_marks_are_the_buckets_of_each_phrase(spark):
+    phrases = [("en", "a b"), ("en", "b a"), ("de", "a b"), ("", "É x\x00y"), ("en", "日本 b"), ("de", "a a")]
+    for kept in (phrases, [(l, p.split(" ")[0]) for l, p in phrases], [(l, f"{p} z") for l, p in phrases]):
+        want = set()
+        for lang, phrase in kept:
+            first, *rest = (co._hashes([w.encode()], lang) for w in phrase.split(" "))
+            want.add(int(co._bucket(co.functools.reduce(co._longer, rest, first))[0]))
+        marks = co._marks(spark.createDataFrame(kept, "lang string, phrase string").coalesce(1), 10)
+        assert set(co.np.flatnonzero(co.np.unpackbits(co._bitmap(marks, 10))).tolist()) == want
+
+
+def test_phrases_of_rounds_with_many_words():
+    codes = co.np.array([0, 1, 2, 0, 1, 2, 2, 2], co.np.int64)
+    begins = co.np.zeros(len(codes), bool)
+    words = co.Words(codes, begins, pa.array([b"a", b"b", b"c"], pa.large_binary()), 0)
+
+    class Many(list):  # as if a round had so many distinct words that three of them don't fit into a number
+        take = staticmethod(words.known.take)
+
+        def __len__(self):
+            return 1 << 22
+
+    for n in (1, 2, 3):
+        ends = co.np.arange(n - 1, len(codes))
+        found = [co._phrases(w, ends, n) for w in (words, words._replace(known=Many()))]
+        counted = [dict(zip(p.to_pylist(), c.tolist(), strict=True)) for p, c in found]
+        assert counted[0] == counted[1] == Counter(" ".join("abc"[c] for c in codes[e - n + 1 : e + 1]) for e in ends)
+
+
+def test_held_phrases_are_counted_whole_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(co, "HELD", 8)
+    draw, heap, rows, want = random.Random(5), co._Heap(), [], Counter()
+    for k in range(60):
+        some = Counter(draw.choices(["often", "and often", "x", *(f"u{k}-{i}" for i in range(6))], [5, 5, 2, *[1] * 6], k=12))
+        for lang in ("en", ""):
+            want.update({(lang, p): n for p, n in some.items()})
+            rows += heap.add(lang, pa.array([*some]), co.np.array([*some.values()]))
+        assert heap.rows <= 8
+    rows += heap.out()
+    assert not heap.rows and not [*heap.out()]
+    got, sent = Counter(), Counter()
+    for batch in rows:
+        for r in batch.to_pylist():
+            got[r["lang"], r["phrase"]] += r["n"]
+            sent[r["phrase"]] += 1
+    assert got == want and sent["often"] < 60
+
+
+def test_cuts_meet_the_phrases_around_without_another_exchange(spark):
+    f = spark.createDataFrame([("en", "a b c", 3, 10), ("en", "a b", 2, 12), ("en", "b c", 2, 40), ("en", "a", 1, 50), ("en", "b", 1, 60), ("en", "c", 1, 70)], "lang string, phrase string, words int, f long")
+    cut = co._weakest_cut(f.where("words > 1"), f)
+    assert {r["phrase"]: (r["a"], r["l"], r["r"], r["score"]) for r in cut.collect()} == {"a b c": (10, 50, 40, 50_000), "a b": (12, 50, 60, 48_000), "b c": (40, 60, 70, 380_952)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        around = f.groupBy("lang", "phrase").agg(F.max("f").alias("around"))
+        plan = cut.join(around, ["lang", "phrase"], "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(lang#\d+, phrase#\d+, a#", plan)) == 0
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 6  # the cuts three times, both sides of parts, and around
